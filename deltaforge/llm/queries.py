@@ -25,6 +25,31 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on at least 10 sites stay in their first document only."""
+    from deltaforge.llm.lines import dedup_lines
+
+    found = dedup_lines(_table(spark, sf_dir, "documents"), min_sites=10)
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, u.line AS line, u.place AS place
+  FROM (SELECT doc_id, source, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) AS z FROM documents), LATERAL (SELECT z[1] AS line, z[2] AS place) AS u
+), common AS (
+  SELECT line, min(doc_id * 1000000 + place) AS first FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT l.doc_id, l.place, l.line, c.line IS NOT NULL AND l.doc_id * 1000000 + l.place <> c.first AS gone
+  FROM lines l LEFT JOIN common c ON l.line = c.line
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+  CAST(length(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS BIGINT) AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 10-word windows of benchmark items."""
     from deltaforge.llm.decontaminate import decontaminate
@@ -33,10 +58,44 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: The contract's own conversation: two texts that hold control strings of common templates.
+EXTRA_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and number -7, formatted and read back."""
+    from deltaforge.llm.chat import format_conversations, linear_messages, read_turns
+
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", EXTRA_TEXT), (-7, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
+    made = format_conversations(linear_messages(rows.unionByName(extra)))
+    back = made.select(F.col("tree").alias("conv_id"), "formatted", read_turns(F.col("formatted")).alias("turns"))
+    trained = F.array_join(F.transform(F.filter("turns", lambda m: m["loss"]), lambda m: m["text"]), "")
+    every = F.array_join(F.transform("turns", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP8_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{EXTRA_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{EXTRA_TEXT}'
+), e AS (
+  SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS n,
+    length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS m FROM c
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + m + 16) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_best_fit_packing, op6_decontamination)
+    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op6_decontamination, op8_chat_formatting)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op8_chat_formatting": OP8_SQL}
