@@ -35,7 +35,7 @@ COMMON_SHINGLES = 400_000
 #: Sizes that are weighed for the light side.
 LIGHT_MAX = 20
 #: Rounds in which each node meets one other of its lists, before all remaining pairs are compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 WORDS = {"non_space": NON_SPACE, "alnum": ALNUM}
 
 
@@ -75,24 +75,35 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """About a bit a shingle: whether an even or odd number of shingles fall on it.
+
+    Two sets differ in at least as many shingles as their parities in bits; half as many bits are the halves' XOR.
+    """
+    m = 1 << max(6, int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _first_pass(n: int, kind: str, id_col: str, text_col: str):
     """Per document its size and the digest of its set; per chunk the common words and shingles."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bits", pa.list_(pa.int64()))])
 
     def common(kind_of: int, chunk: list[np.ndarray]):
         keys, counts = np.unique(np.concatenate(chunk), return_counts=True)
         keys, counts = keys[counts >= LOCAL], counts[counts >= LOCAL]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind_of, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind_of, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.list_(pa.int64()))], schema=schema)
 
     def run(batches):
         kept, held = ([], []), 0
         for batch in batches:
-            ids, sizes, digests = batch.column(id_col), [], []
+            ids, sizes, digests, bits = batch.column(id_col), [], [], []
             for lo, hi, h, offs in words(batch.column(text_col), WORDS[kind]):
                 for k in range(hi - lo):
                     s = shingles(h[offs[k] : offs[k + 1]], n)
                     sizes.append(len(s))
                     digests.append(_digest(s) if len(s) else None)
+                    bits.append(parities(s) if len(s) else None)
                     kept[1].append(s)
                     held += len(s)
                 kept[0].append(h)
@@ -100,12 +111,12 @@ def _first_pass(n: int, kind: str, id_col: str, text_col: str):
                     yield common(1, kept[0])
                     yield common(2, kept[1])
                     kept, held = ([], []), 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
         if held:
             yield common(1, kept[0])
             yield common(2, kept[1])
 
-    return run, "kind int, key long, n long, digest binary"
+    return run, "kind int, key long, n long, digest binary, bits array<bigint>"
 
 
 class Rarity:
@@ -179,26 +190,81 @@ def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_co
     return run, "key long, doc long"
 
 
-def _sets(n: int, kind: str, id_col: str, text_col: str):
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("s", pa.list_(pa.int64()))])
+#: Bits of the filter of wanted ids that goes to all tasks: half a megabyte, however many ids there are.
+FILTER_BITS = 1 << 22
+
+
+def _texts(read: DataFrame, wanted: DataFrame, n: int, kind: str) -> DataFrame:
+    """Texts of wanted ids, compressed, with the digest of their set: (id, digest, z).
+
+    A filter of fixed size keeps most other texts out of the shuffle; the join that follows keeps out the rest.
+    """
+    spark = read.sparkSession
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    rows = wanted.select(place.alias("at")).selectExpr("shiftright(at, 6) AS k", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("k").agg(F.bit_or("bit")).collect()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[[r[0] for r in rows]] = [r[1] for r in rows]
+    shared = spark.sparkContext.broadcast(bits)
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("z", pa.binary())])
 
     def run(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = batch.column(id_col)
-            for lo, hi, h, offs in words(batch.column(text_col), WORDS[kind]):
+            at = batch.column("at").to_numpy()
+            part = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
+            done = 0
+            for lo, hi, h, offs in words(part.column("text"), WORDS[kind]):
                 found = [shingles(h[offs[k] : offs[k + 1]], n) for k in range(hi - lo)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([_digest(s) if len(s) else None for s in found], pa.binary()), lists], schema=schema)
+                texts = [squeeze((t or "").encode()) for t in part.column("text").slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id").slice(lo, hi - lo), pa.array([_digest(s) if len(s) else None for s in found], pa.binary()), pa.array(texts, pa.binary())], schema=schema)
+                done = hi
+            assert done == part.num_rows
+
+    return read.where("id is not null").select("id", "text", place.alias("at")).mapInArrow(run, "id long, digest binary, z binary")
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, read: DataFrame, n: int, percent: int, kind: str, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets link: parities first, then the sets themselves."""
+    for side in "ab":
+        pairs = pairs.join(marks.select(*[F.col(c).alias(to) for c, to in (("rep", side), ("size", f"n{side}"), ("digest", f"d{side}"), ("bits", f"p{side}"))]), side)
+
+    def halved(c: str, other: str):
+        half = (F.size(c) / 2).cast("int")
+        return F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
 
-    return run, "id long, digest binary, s array<bigint>"
+    apart = F.aggregate(F.zip_with(halved("pa", "pb"), halved("pb", "pa"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    pairs = pairs.where((F.abs(F.log2(F.size("pa")) - F.log2(F.size("pb"))) > 1.5) | ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b", "da", "db")
+    pairs = scratch.write(pairs, "close")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = scratch.write(_texts(read, wanted, n, kind), "texts")
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("digest").alias(f"d{side}"), F.col("z").alias(f"z{side}")), [side, f"d{side}"])
 
+    def run(batches):
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        last, known = None, None
+
+        def made(z):
+            (_, _, h, _), *_ = words(pa.array([expand(z)], pa.binary()), WORDS[kind])
+            return shingles(h, n)
+
+        for batch in batches:
+            yes = []
+            for one, two in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist(), strict=True):
+                if one != last:
+                    last, known = one, made(one)
+                other = made(two)
+                both = len(np.intersect1d(known, other, assume_unique=True))
+                yes.append(100 * both >= percent * (len(known) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets link."""
-    a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    found = scratch.write(pairs.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"), "found")
+    scratch.drop(texts)
+    return found
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str = "non_space", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +284,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first, schema = _first_pass(n, kind, "id", "text")
     facts = scratch.write(read.mapInArrow(first, schema), "facts")
-    nodes = facts.where("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), "digest")
+    nodes = facts.where("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), "digest", "bits")
 
     tables = []
     for kind_of, top, step in ((1, COMMON_WORDS, 1.0), (2, COMMON_SHINGLES, 1.0)):
@@ -240,10 +306,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
     lists = scratch.write(shared.join(member, shared.doc == member.id).select("key", "rep", "size").distinct(), "lists")
     scratch.drop(shared)
 
-    wanted = member.where("id = rep").join(lists.select("rep").distinct(), "rep", "left_semi").select("id", "digest")
-    making, schema = _sets(n, kind, "id", "text")
-    made = read.where("id is not null").join(wanted.select("id"), "id", "left_semi").mapInArrow(making, schema)
-    sets = scratch.write(made.join(wanted, ["id", "digest"], "left_semi").select("id", "s"), "sets")
+    marks = scratch.write(nodes.select("id", "digest", "bits").join(member.where("id = rep").join(lists.select("rep").distinct(), "rep", "left_semi"), ["id", "digest"]).select("rep", "size", "digest", "bits").dropDuplicates(["rep"]), "marks")
 
     links = None
     comp = None
@@ -263,8 +326,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
             one, two = now.alias("one"), now.alias("two")
             pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.comp") != F.col("two.comp")) & (100 * F.col("one.size") >= percent * F.col("two.size")) & (100 * F.col("two.size") >= percent * F.col("one.size")))
             pairs = pairs.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
-        found = scratch.write(_verified(scratch.write(pairs, "pairs"), sets, percent), "found")
-        if found.isEmpty() and k < STAR_ROUNDS:
+        pairs = scratch.write(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        found = _verified(pairs, marks, read, n, percent, kind, scratch)
+        if found.isEmpty():
             continue
         links = found if links is None else scratch.write(links.unionByName(found), "links")
         comp = scratch.write(components(links, scratch), "comp")

@@ -92,10 +92,31 @@ FROM e GROUP BY conv_id
 """
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every row whose vec_id is divisible by 100."""
+    from deltaforge.llm.topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op6_decontamination, op8_chat_formatting)
+    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op6_decontamination, op8_chat_formatting, op9_exact_top_k)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_top_k": OP9_SQL}
