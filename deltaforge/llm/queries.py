@@ -50,6 +50,14 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier selects out of all documents, with their expected grade (0 toxic, 1 of low quality, 2 good)."""
+    from deltaforge.llm.quality import select_documents
+
+    found = select_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_probability", 6).alias("tail_probability"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 10-word windows of benchmark items."""
     from deltaforge.llm.decontaminate import decontaminate
@@ -114,7 +122,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op6_decontamination, op8_chat_formatting, op9_exact_top_k)
+    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op5_quality_classifier, op6_decontamination, op8_chat_formatting, op9_exact_top_k)
     return {f.__name__: f for f in named}
 
 
