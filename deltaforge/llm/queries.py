@@ -50,6 +50,27 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to seekable bundles and read back from them."""
+    from deltaforge.llm.warc import read_archives, write_archives
+
+    found = read_archives(write_archives(_table(spark, sf_dir, "pages"), least=100))
+    read = found.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("own"))
+    stored = read.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to")).agg(F.max_by("size", "own").alias("first_size"), F.max("own").alias("first_own"))
+    full = read.join(stored, "refers_to", "left")
+    return full.select("page_id", F.coalesce("size", "first_size").alias("payload_bytes"), F.coalesce("own", "first_own").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.h = f.h AND d.n >= 100
+"""
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier selects out of all documents, with their expected grade (0 toxic, 1 of low quality, 2 good)."""
     from deltaforge.llm.quality import select_documents
@@ -122,9 +143,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op5_quality_classifier, op6_decontamination, op8_chat_formatting, op9_exact_top_k)
+    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op4_warc, op5_quality_classifier, op6_decontamination, op8_chat_formatting, op9_exact_top_k)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_top_k": OP9_SQL}
