@@ -142,8 +142,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of all documents."""
+    from deltaforge.llm.lm import pseudo_likelihood
+
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op4_warc, op5_quality_classifier, op6_decontamination, op8_chat_formatting, op9_exact_top_k)
+    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op4_warc, op5_quality_classifier, op6_decontamination, op8_chat_formatting, op9_exact_top_k, op10_lm_scoring)
     return {f.__name__: f for f in named}
 
 
