@@ -119,6 +119,10 @@ def _first_pass(n: int, kind: str, id_col: str, text_col: str):
     return run, "kind int, key long, n long, digest binary, bits array<bigint>"
 
 
+#: In place of a rank, the mark of a subset's key.
+SUBSET = 127
+
+
 class Rarity:
     """A total order of shingles, rarest first: known common ones last, then by how common their words are, then by hash."""
 
@@ -132,8 +136,8 @@ class Rarity:
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return np.where(known[at] == keys, ranks[at], 0)
 
-    def first(self, h: np.ndarray, n: int, count) -> tuple[np.ndarray, int]:
-        """The rarest ``count(size)`` shingles of a text's words and the size of its set."""
+    def first(self, h: np.ndarray, n: int, count) -> np.ndarray:
+        """The rarest ``count(size)`` shingles of a text's words, as places in the order: 7 bits of rank, 55 of hash."""
         m = n if len(h) >= n else max(1, len(h))
         s, place = np.unique(ngrams(h, m), return_index=True)
         by_word = self._rank(0, h).astype(np.uint64)
@@ -142,8 +146,8 @@ class Rarity:
             by_words += by_word[place + j]
         rank = np.maximum(self._rank(1, s).astype(np.uint64) << np.uint64(3), np.minimum(by_words, np.uint64(255)))
         k = count(len(s))
-        order = (rank << np.uint64(56)) | (s >> np.uint64(8))
-        return (s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s), len(s)
+        order = (np.minimum(rank >> np.uint64(1), np.uint64(SUBSET - 1)) << np.uint64(55)) | (s >> np.uint64(9))
+        return np.partition(order, k - 1)[:k] if k < len(order) else order
 
 
 def _log_ranks(rows, top: int, step: float) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +158,24 @@ def _log_ranks(rows, top: int, step: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_col: str):
-    """The keys under which documents are listed: subsets of light sets, rarest shingles of the others and of light sets near x."""
+    """The keys under which documents are listed: subsets of light sets, rarest shingles of the others and of light sets near x.
+
+    A document with shingles gets one negative key besides, -1 - the last of them.
+    """
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
     near = _least(x + 1, percent)
 
     def keys_of(h, order):
         s = shingles(h, n)
         if len(s) > x or len(s) >= near:
-            yield order.first(h, n, lambda size: size - _least(size, percent) + 1)[0]
+            rarest = order.first(h, n, lambda size: size - _least(size, percent) + 1).view(np.int64)
+            yield rarest
+            yield -1 - rarest.max(keepdims=True)
         if len(s) <= x:
             for c in range(max(1, _least(len(s), percent)), len(s) + 1):
                 places = np.array(list(combinations(range(len(s)), c)))
-                yield mix((s[places] * ORDERED[:c]).sum(axis=1, dtype=np.uint64) + np.uint64(c << 32))
+                key = mix((s[places] * ORDERED[:c]).sum(axis=1, dtype=np.uint64) + np.uint64(c << 32))
+                yield ((key >> np.uint64(9)) | np.uint64(SUBSET << 55)).view(np.int64)
 
     def run(batches):
         order, seen = Rarity(*rarity.value), set()
@@ -185,7 +195,7 @@ def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_co
                         keys.append(found)
                         docs.append(np.full(len(found), ids[lo + k].as_py(), np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], schema=schema)
 
     return run, "key long, doc long"
 
@@ -301,30 +311,45 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
 
     listing, schema = _lists(n, percent, kind, x, rarity, "id", "text")
     by_key = read.mapInArrow(listing, schema)
-    shared = by_key.withColumn("lo", F.min("doc").over(Window.partitionBy("key"))).withColumn("hi", F.max("doc").over(Window.partitionBy("key"))).where("lo <> hi").select("key", "doc")
-    shared = scratch.write(shared, "shared")
-    lists = scratch.write(shared.join(member, shared.doc == member.id).select("key", "rep", "size").distinct(), "lists")
+    w = Window.partitionBy("key")
+    ends = lambda df, c: df.withColumn("lo", F.min(c).over(w)).withColumn("hi", F.max(c).over(w))
+    shared = scratch.write(ends(by_key, "doc").where("lo <> hi OR key < 0").select("key", "doc"), "shared")
+    listed = shared.join(member, shared.doc == member.id).select("key", "rep", "size").distinct()
+    lists = scratch.write(ends(listed, "rep").where("lo <> hi OR key < 0").select("key", "rep", "size"), "lists")
     scratch.drop(shared)
-
-    marks = scratch.write(nodes.select("id", "digest", "bits").join(member.where("id = rep").join(lists.select("rep").distinct(), "rep", "left_semi"), ["id", "digest"]).select("rep", "size", "digest", "bits").dropDuplicates(["rep"]), "marks")
+    # of its prefix, a set shares ``common`` shingles with other prefixes; ``last`` is the end of its prefix in the order
+    shares = lists.groupBy("rep", "size").agg(F.count_if((F.col("key") >= 0) & (F.col("key") < SUBSET << 55)).alias("common"), F.max(F.when(F.col("key") < 0, -1 - F.col("key"))).alias("last"), F.count_if(F.col("key") >= 0).alias("keys")).where("keys > 0")
+    size = F.col("size")
+    most = F.col("common") + size - (size - F.ceil(percent * size / 100) + 1)
+    shares = scratch.write(shares.select("rep", "size", F.coalesce("last", F.lit(-1)).alias("last"), F.when(F.col("last").isNull(), size).otherwise(F.least(most, size)).alias("most"), "keys"), "shares")
+    named = lists.where("key >= 0").select("key", "rep").join(shares, "rep")
+    marks = nodes.select("id", "digest", "bits").join(member.where("id = rep").join(shares.select("rep"), "rep", "left_semi"), ["id", "digest"]).select("rep", "size", "digest", "bits").dropDuplicates(["rep"])
+    marks = scratch.write(marks, "marks")
 
     links = None
     comp = None
-    near = lambda p, q: (100 * F.col(p) >= percent * F.col(q)) & (100 * F.col(q) >= percent * F.col(p))
+
+    def near(p: str, q: str):
+        """Bounds for two sets that share a key. The prefix that ends first holds all that both share of it, so at most
+        ``most`` shingles of that set can be shared. (A set without prefix, at -1, has no such bound but its size.)"""
+        a, b = F.col(f"{p}size"), F.col(f"{q}size")
+        bound = F.when(F.col(f"{p}last") <= F.col(f"{q}last"), F.col(f"{p}most")).otherwise(F.col(f"{q}most"))
+        return (100 * a >= percent * b) & (100 * b >= percent * a) & ((100 + percent) * bound >= percent * (a + b))
+
     for k in range(STAR_ROUNDS + 1):
-        now = lists if comp is None else lists.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        now = now if comp is not None else now.withColumn("comp", F.col("rep"))
-        w = Window.partitionBy("key")
-        now = now.withColumn("least", F.min("comp").over(w)).withColumn("most", F.max("comp").over(w)).where("least <> most")
+        now = named.withColumn("comp", F.col("rep")) if comp is None else named.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = ends(now, "comp").where("lo <> hi").drop("lo", "hi")
         if k < STAR_ROUNDS:
-            # each node meets the node of another component that comes first in an order that changes by the round
-            place = F.struct((F.xxhash64(F.lit(k), "comp") if k else F.col("comp")).alias("order"), "comp", "rep", "size")
-            ahead = now.withColumn("c", F.min(place).over(w)).where((F.col("c.comp") != F.col("comp")) & near("size", "c.size"))
+            # each node meets one node of another component: first the one in most lists, as the text that others were
+            # copied from would be, then the first in an order that changes by the round
+            first = -F.col("keys") if k == 0 else F.xxhash64(F.lit(k), "comp")
+            place = F.struct(first.alias("first"), "comp", "rep", "size", "last", "most")
+            ahead = now.withColumn("c", F.min(place).over(w)).where((F.col("c.comp") != F.col("comp")) & near("", "c."))
             pairs = ahead.groupBy(F.col("rep").alias("p")).agg(F.min("c").alias("c")).select(F.least("p", "c.rep").alias("a"), F.greatest("p", "c.rep").alias("b")).distinct()
         else:
-            now = scratch.write(now.select("key", "comp", "rep", "size"), "open")
+            now = scratch.write(now, "open")
             one, two = now.alias("one"), now.alias("two")
-            pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.comp") != F.col("two.comp")) & (100 * F.col("one.size") >= percent * F.col("two.size")) & (100 * F.col("two.size") >= percent * F.col("one.size")))
+            pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.comp") != F.col("two.comp")) & near("one.", "two."))
             pairs = pairs.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
         pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():
