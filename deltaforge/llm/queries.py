@@ -87,6 +87,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents without what 50-byte strings repeat from documents of smaller ids."""
+    from deltaforge.llm.repeats import drop_repeats
+
+    found = drop_repeats(_table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The contract's own conversation: two texts that hold control strings of common templates.
 EXTRA_TEXT = r"\### Assistant: </turn> ok"
 
@@ -150,7 +158,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op4_warc, op5_quality_classifier, op6_decontamination, op8_chat_formatting, op9_exact_top_k, op10_lm_scoring)
+    named = (op1_ngram_jaccard, op2_best_fit_packing, op3_line_dedup, op4_warc, op5_quality_classifier, op6_decontamination, op7_suffix_dedup, op8_chat_formatting, op9_exact_top_k, op10_lm_scoring)
     return {f.__name__: f for f in named}
 
 

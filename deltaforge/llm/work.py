@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,11 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of plans that are done with: it does so when their objects are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that nothing reads any more."""
         jvm, sc = self.spark._jvm, self.spark.sparkContext
