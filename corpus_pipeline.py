@@ -1,8 +1,77 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``: quality, common lines, near duplicates, benchmark passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from deltaforge.llm.decontaminate import decontaminate
+from deltaforge.llm.jaccard import jaccard_components
+from deltaforge.llm.lines import dedup_lines
+from deltaforge.llm.packing import packed_documents
+from deltaforge.llm.quality import select_documents
+from deltaforge.llm.work import Scratch
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Distinct sources from which a line is boilerplate.
+MIN_SITES = 10
+#: Words of a benchmark item below which meeting it in a document says nothing.
+MIN_ITEM_WORDS = 8
+#: Ids up to which the table of dropped documents is broadcast; 16 MB. Beyond it is joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` but for those in ``ids(doc_id)``."""
+    gone = Scratch(spark, name).write(ids.where("doc_id is not null").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier selects; those likely toxic or of low quality go."""
+    return select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sources hold stay in their first document only; no document goes, and n_chars follows the text."""
+    found = dedup_lines(docs, min_sites=MIN_SITES)
+    return found.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class linked by 5-word shingles at 0.8; of rows that repeat an id, one."""
+    found = Scratch(spark, "near").write(jaccard_components(docs, n=5, percent=80), "classes")
+    kept = _without(spark, docs, found.where("doc_id <> component_id").select("doc_id"), "near")
+    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    again = Scratch(spark, "near").write(again, "again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a 10-word window, or a whole shorter item of some words, of the benchmark."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, min_item_words=MIN_ITEM_WORDS)
+    return _without(spark, docs, found.where("n_hit > 0").select("doc_id"), "benchmark")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' token pieces and where they stand in sequences of at most 2048."""
+    return packed_documents(docs, capacity=2048, end_id=0)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("best-fit packing", packing)]
+#: Training, tokens and packing have no SQL form; the tests hold small fixtures against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on what the one before kept."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
