@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from deltaforge.llm.hashing import CODES, PIECE, mix, pieces, powers, text_buffer
 from deltaforge.llm.work import Scratch
 
 #: Nodes of the search for one filling, and of the search over whole solutions of the last sequences.
@@ -227,6 +228,131 @@ class WordIds(dict):
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
 
+#: Bytes of texts that are split in bulk: as above but without the apostrophe, of whose suffixes the tokenizer makes words.
+_BULK = np.zeros(256, bool)
+_BULK[[9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = True
+_BULK[39] = False
+#: 0 white space, 1 letters, 2 digits, each a word, 3 all else.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+_SLOTS = 1 << 20
+
+
+class BulkIds:
+    """Ids of texts by looking up all words of about a megabyte at once in an open table of word hashes."""
+
+    def __init__(self, tokenizer):
+        self.one_by_one = WordIds(tokenizer)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.starts, self.sizes = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        self.used, self.flat, self.n = 0, np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of known hashes; -1 for others."""
+        slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        at = self.keys[slot]
+        out = np.where(at == h, slot, -1)
+        open_ = np.flatnonzero((at != h) & (at != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (_SLOTS - 1)
+            at = self.keys[slot[open_]]
+            hit = at == h[open_]
+            out[open_[hit]] = slot[open_[hit]]
+            open_ = open_[~hit & (at != 0)]
+        return out
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        known = self.one_by_one
+        known.learn(sorted(set(words) - known.keys()))
+        for h, w in zip(hashes, words, strict=True):
+            ids = np.frombuffer(known[w], "<u4")
+            slot = h & (_SLOTS - 1)
+            while self.keys[slot]:
+                slot = (slot + 1) & (_SLOTS - 1)
+            while self.n + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.keys[slot], self.starts[slot], self.sizes[slot] = h, self.n, len(ids)
+            self.flat[self.n : self.n + len(ids)] = ids
+            self.n += len(ids)
+            self.used += 1
+        if len(known) > 10_000:  # those words are in the table now
+            known.clear()
+
+    def run(self, d: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie side by side, and where each text's begin."""
+        n = len(d)
+        kind = _KIND[d]
+        edge = np.zeros(n + 1, bool)
+        edge[starts] = True
+        new = np.empty(n + 1, bool)
+        new[0] = new[n] = True
+        new[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | edge[1:n]
+        bounds = np.flatnonzero(new)
+        word = kind[bounds[:-1]] != 0
+        s, e = bounds[:-1][word], bounds[1:][word]
+        pw, inv = powers(n)
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(CODES[d] * pw[:n], out=total[1:])
+        h = mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        slot = self.find(h)
+        if (missing := np.flatnonzero(slot < 0)).size:
+            new_h, first = np.unique(h[missing], return_index=True)
+            if self.used + len(new_h) > _SLOTS // 2:
+                self.clear()
+                new_h, first = np.unique(h, return_index=True)
+                missing = np.arange(len(h))
+            at = missing[first]
+            self.learn(new_h.tolist(), [d[a:b].tobytes().decode().lower() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
+            slot[missing] = self.find(h[missing])
+        size = self.sizes[slot]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        ids = self.flat[np.repeat(self.starts[slot] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(s, starts)]
+
+    def encode(self, column: pa.Array):
+        """By row its ids, as an array of little-endian 32-bit numbers; null counts as empty."""
+        data, offs = text_buffer(column)
+        for lo, hi in pieces(offs):
+            base, end = int(offs[lo]), int(offs[hi])
+            d, starts = data[base:end], offs[lo : hi + 1] - base
+            odd = np.concatenate(([0], np.cumsum(~_BULK[d] | _marked(d))))
+            plain = odd[starts[1:]] == odd[starts[:-1]]
+            if plain.all() and end - base <= 4 * PIECE:
+                ids, first = self.run(d, starts)
+                for k in range(hi - lo):
+                    yield ids[first[k] : first[k + 1]]
+                continue
+            for k in range(hi - lo):
+                own = d[starts[k] : starts[k + 1]]
+                if plain[k]:
+                    yield np.concatenate([np.zeros(0, np.uint32), *(self.run(part, np.array([0, len(part)]))[0] for part in _parts(own))])
+                else:
+                    yield np.frombuffer(self.one_by_one.encode([own.tobytes().decode()])[0], "<u4")
+
+
+def _marked(d: np.ndarray) -> np.ndarray:
+    """Characters that the bulk split leaves to the tokenizer: times, divided by, dotted capital I, n with apostrophe; marks of special tokens."""
+    out = np.zeros(len(d), bool)
+    out[1:] = ((d[:-1] == 0xC3) & ((d[1:] == 0x97) | (d[1:] == 0xB7))) | ((d[:-1] == 0xC4) & (d[1:] == 0xB0)) | ((d[:-1] == 0xC5) & (d[1:] == 0x89)) | ((d[:-1] == 60) & (d[1:] == 124))
+    return out
+
+
+def _parts(d: np.ndarray):
+    """A text in parts of about a megabyte, cut at white space."""
+    a = 0
+    while a < len(d):
+        b = min(len(d), a + PIECE)
+        while b < len(d) and _KIND[d[b]]:
+            b += 1
+        yield d[a:b]
+        a = b
+
+
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut each document's ids into pieces of at most ``capacity``.
 
@@ -238,25 +364,20 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """
     fields = [(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        known = WordIds(Tokenizer.from_file(tokenizer or public_tokenizers.path("word_bpe_49k.json")))
+        known = BulkIds(Tokenizer.from_file(tokenizer or public_tokenizers.path("word_bpe_49k.json")))
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, 500)
-                at += 500
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), known.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[a : a + 4 * capacity]
-                        rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] * with_ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            docs_, rows = batch.column(0).to_pylist(), []
+            for doc, ids in zip(docs_, known.encode(batch.column(1)), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
+                for k, a in enumerate(range(0, len(ids), capacity)):
+                    own = ids[a : a + capacity]
+                    rows.append((doc, k, a, len(own), zlib.crc32(own), *([own.astype(np.int32)] * with_ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     sql = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(run, sql)
