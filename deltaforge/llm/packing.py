@@ -201,7 +201,7 @@ class WordIds(dict):
         """Ids of many words in one call."""
         for at in range(0, len(words), 1000):
             part, own, k = words[at : at + 1000], [], 0
-            for i in self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids:
+            for i in self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids:
                 own.append(i)
                 if i in self.ends:
                     self[part[k]] = np.array(own, "<u4").tobytes()
@@ -237,7 +237,7 @@ _KIND = np.full(256, 3, np.uint8)
 _KIND[[9, 10, 13, 32]] = 0
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[48:58] = 2
-_SLOTS = 1 << 20
+_SLOTS = 1 << 21
 
 
 class BulkIds:
@@ -248,7 +248,7 @@ class BulkIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+        self.keys, self.starts, self.sizes = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
         self.used, self.flat, self.n = 0, np.zeros(1 << 16, np.uint32), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -309,7 +309,7 @@ class BulkIds:
             at = missing[first]
             self.learn(new_h.tolist(), [d[a:b].tobytes().decode().lower() for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
             slot[missing] = self.find(h[missing])
-        size = self.sizes[slot]
+        size = self.sizes[slot].astype(np.int64)
         ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
         ids = self.flat[np.repeat(self.starts[slot] - ends[:-1], size) + np.arange(ends[-1])]
         return ids, ends[np.searchsorted(s, starts)]

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from deltaforge.llm.hashing import CODES, NON_SPACE, RAW_CODES, mix, pieces, powers, text_buffer
+from deltaforge.llm.work import settle
 
 BUCKETS = 1 << 18
 #: Labelled rows that the fit uses at most.
@@ -66,10 +67,14 @@ def _shape(upper: int, letters: int, size: int, distinct: int, tokens: int) -> l
     return [int(mix(np.array([100 + 16 * k + v], np.uint64))[0] % np.uint64(BUCKETS)) for k, v in enumerate(steps)]
 
 
+#: Bytes of text that are taken at once; each needs about a hundred bytes meanwhile.
+PIECE = 1 << 18
+
+
 def features(column: pa.Array):
     """By row its distinct features. Whole texts; a null or empty text has only its shape."""
     data, offs = text_buffer(column)
-    for lo, hi in pieces(offs):
+    for lo, hi in pieces(offs, PIECE):
         if hi - lo == 1 and offs[hi] - offs[lo] > 1 << 22:  # a very long text in parts of a few megabytes
             found, shape, first = [], np.zeros(3, np.int64), int(offs[lo])
             while first < offs[hi]:
@@ -170,6 +175,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE
     knows nothing and its bar is 0.
     """
     spark = docs.sparkSession
+    settle(spark)
     rated = ratings.where(F.col(id_col).isNotNull() & F.col("grade").between(0, levels - 1)).groupBy(id_col).agg(F.min("grade").alias("grade"))
     chosen = []
     for g in range(levels):

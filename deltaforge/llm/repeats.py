@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from deltaforge.llm.hashing import RAW_CODES, mix, pieces, powers, text_buffer
-from deltaforge.llm.work import Scratch
+from deltaforge.llm.work import Scratch, partitions
 
 DIGIT = 16
 _BITS = np.uint64(20)
@@ -90,17 +90,97 @@ def anchors(column: pa.Array, length: int):
             yield lo, a - base, d, np.array([0, len(d)]), Anchors(d, np.array([0, len(d)]), length)
 
 
-def _first_digits(length: int):
-    schema = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("doc", pa.int64())])
+#: Anchors that a task sorts at once, and that a partition of the first pass should get.
+SORTED = 1_000_000
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _unpacked(blob: bytes, n: int, columns: int) -> list[np.ndarray]:
+    return [np.frombuffer(blob, np.int64, n, 8 * n * k) for k in range(columns)]
+
+
+def _pairs(a: np.ndarray, r: np.ndarray, d: np.ndarray):
+    """Sort by anchor, surroundings and document; by row the smallest document of its surroundings."""
+    order = np.lexsort((d, r, a))
+    a, r, d = a[order], r[order], d[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]))) if len(a) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return a, r, d, new, d[first][np.cumsum(new) - 1] if len(a) else d
+
+
+def _first_digits(length: int, bits: int):
+    """Anchors, sorted and packed by the leading bits of their hash: (part, kind, n, blob).
+
+    Kind 0 has anchors, surroundings and documents. Documents that share surroundings with a smaller document of the same
+    task are settled here; kind 1 passes them on, dealt evenly, so what a third of all documents hold loads no part.
+    """
+    schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+
+    def flush(held, turn):
+        a, r, d, new, least = _pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        rows = []
+        later = np.flatnonzero(d > least)
+        for k in range(0, len(later), 1 << 16):
+            own = later[k : k + (1 << 16)]
+            rows.append(((turn + k * 40_503) % (1 << bits), 1, len(own), _packed(a[own] ^ r[own], d[own])))
+        a, r, d = a[new], r[new], d[new]
+        part = a >> (63 - bits)  # hashes are kept to 63 bits
+        ends = np.searchsorted(part, np.arange((1 << bits) + 1))
+        rows += [(k, 0, int(q - p), _packed(a[p:q], r[p:q], d[p:q])) for k, (p, q) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if q > p]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
+        held, n, turn = [], 0, 1
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, _, _, x in anchors(batch.column(1), length):
                 if len(x.at):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.hash.view(np.int64)), pa.array(x.around().view(np.int64)), pa.array(ids[lo + x.doc])], schema=schema)
+                    held.append((_folded(x.hash), x.around().view(np.int64), ids[lo + x.doc]))
+                    n += len(x.at)
+                if n >= SORTED:
+                    yield flush(held, turn)
+                    held, n, turn = [], 0, turn * 7919 % 1_000_003
+        if n:
+            yield flush(held, turn)
+
+    return run, "part long, kind int, n int, blob binary"
+
+
+def _folded(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(1)).view(np.int64)
+
 
-    return run, "anchor long, around long, doc long"
+def _flags():
+    """Of a part's anchors those that aren't done: (doc, key, kind), kind 1 repeats for sure, kind 2 open."""
+    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("kind", pa.int32())])
+
+    def made(doc, key, kind):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(np.full(len(doc), kind, np.int32))], schema=schema)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for kind, n, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "n", "blob")), strict=True):
+                if kind:
+                    key, doc = _unpacked(blob, n, 2)
+                    yield made(doc, key, 1)
+                else:
+                    held.append(_unpacked(blob, n, 3))
+        if held:
+            a, r, d, new, least = _pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            del held
+            anchor = np.concatenate(([True], a[1:] != a[:-1]))
+            group, first = np.cumsum(anchor) - 1, np.flatnonzero(anchor)
+            differ = (np.maximum.reduceat(least, first) > np.minimum.reduceat(least, first))[group]
+            key = a ^ r
+            sure = d > least
+            yield made(d[sure], key[sure], 1)
+            yield made(d[new & differ], key[new & differ], 2)
+
+    return run, "doc long, key long, kind int"
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +206,7 @@ def _second_digits(length: int):
             ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             sure, open_ = ([np.sort(np.array(v or [], np.int64)) for v in batch.column(c).to_pylist()] for c in ("sure", "open"))
             for lo, base, d, starts, x in anchors(batch.column("text"), length):
-                key = (x.hash ^ x.around()).view(np.int64)
+                key = _folded(x.hash) ^ x.around().view(np.int64)
                 first = np.searchsorted(x.doc, np.arange(len(starts)))
                 out = [[], [], [], [], []]
                 for k in range(len(starts) - 1):
@@ -183,13 +263,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     read = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    run, fields = _first_digits(length)
-    found = read.mapInArrow(run, fields)
-    one, both = Window.partitionBy("anchor"), Window.partitionBy("anchor", "around")
-    found = found.withColumn("mine", F.min("doc").over(both))
-    found = found.withColumn("first", F.min("doc").over(one)).withColumn("differ", F.max("mine").over(one) > F.col("first"))
-    kind = F.when(F.col("doc") > F.col("mine"), F.lit(1)).when(F.col("differ"), F.lit(2))
-    flagged = scratch.write(found.select("doc", F.col("anchor").bitwiseXOR(F.col("around")).alias("key"), kind.alias("kind")).where("kind is not null"), "flagged")
+    size = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(partitions(spark), size // 18 // SORTED)
+    bits = min(20, int(4 * parts - 1).bit_length())
+    run, fields = _first_digits(length, bits)
+    dealt = read.mapInArrow(run, fields).repartition(parts, "part")
+    run, fields = _flags()
+    flagged = scratch.write(dealt.mapInArrow(run, fields), "flagged")
+    del dealt
     scratch.free()
 
     of = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("key")))
@@ -197,6 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     run, fields = _second_digits(length)
     halves = scratch.write(read.withColumn("row", F.xxhash64("text")).join(flags, "id").select("id", "row", "text", "sure", "open").mapInArrow(run, fields), "halves")
     scratch.drop(flagged)
+    del flags, flagged
     scratch.free()
 
     by_key = Window.partitionBy("key")

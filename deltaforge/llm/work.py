@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of the batches that go to Python workers, where the session has Spark's defaults: rows are whole texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def settle(spark: SparkSession) -> None:
+    """Keep batches of texts small; a session that has set its own sizes keeps them."""
+    for key, (default, own) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,6 +35,7 @@ class Scratch:
     """Tables written under one fresh folder. A written table cuts lineage: a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
+        settle(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
