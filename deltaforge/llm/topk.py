@@ -168,7 +168,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
             ids, q = np.array([r.id for r in found]), np.array([r.v for r in found], np.int64).reshape(len(found), dim)
             floor = np.full(len(found), -(1 << 63), np.int64)
             if dim in seeds:
-                sid, sv = np.array([i for i, _ in seeds[dim]]), np.array([v for _, v in seeds[dim]], np.int64).reshape(-1, dim)
+                sid, sv = np.array([i for i, _ in seeds[dim]]), np.array([v for _, v in seeds[dim]], np.int64).reshape(len(seeds[dim]), dim)
                 best = Best(len(ids), k, floor)
                 s = products(q, sv)
                 x, y = np.nonzero(sid[None, :] != ids[:, None])
