@@ -55,3 +55,12 @@ def long_or_blocks(spark: SparkSession, n: int = 1_000_000, block: int = 65_536)
     a = timed("long", difference(long, long), n)
     b = timed("blocks", block_differences(made, made), n)
     return a, b, a.seconds / max(b.seconds, 1e-9)
+
+
+def parallel_speedup(spark: SparkSession, n: int = 1_000_000, parts: int | None = None) -> tuple[Timing, Timing, float]:
+    """Encoding n elements in one partition and in many, and how many times faster many are."""
+    parts = parts or spark.sparkContext.defaultParallelism
+    scales = spark.createDataFrame([("l", 0.01)], "layer string, scale float")
+    rows = lambda k: spark.range(0, n, 1, k).select(F.lit("l").alias("layer"), F.col("id").alias("idx"), F.sin("id").cast("float").alias("delta"))
+    one, many = (timed(what, codec.int8_encode(rows(k), scales), n) for what, k in (("one partition", 1), (f"{parts} partitions", parts)))
+    return one, many, one.seconds / max(many.seconds, 1e-9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -15,7 +17,20 @@ CONF = {
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName("deltaforge").config(map=CONF | conf)
-    return (builder.master(master) if master else builder).getOrCreate()
+    return reachable((builder.master(master) if master else builder).getOrCreate())
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, if its folder isn't on their path already.
+
+    That serves a local master and clusters with a shared file system; elsewhere give the package with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in (environment.get("PYTHONPATH") or "").split(os.pathsep) if p]
+    if root not in [*paths, *os.environ.get("PYTHONPATH", "").split(os.pathsep)]:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
 
 
 def engine_info(spark: SparkSession) -> dict[str, str]:

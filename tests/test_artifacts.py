@@ -191,3 +191,16 @@ def test_adapter(spark, tmp_path):
     (tmp_path / "ad" / "a.bin").write_bytes(b"xyz")
     made = artifact.compress_adapter(str(tmp_path / "ad"), str(tmp_path / "out"), spark)
     assert made["compressed_bytes"] == 3 and spark.read.parquet(str(tmp_path / "out" / "adapter")).first().name == "a.bin"
+
+
+def test_int8_quality_of_spread_layers(spark, sf):
+    from deltaforge.plans.validate import int8_quality
+
+    found = int8_quality(fixtures.base_model(spark, sf), fixtures.fine_tune(spark, sf), 3, 100).collect()
+    assert len(found) == 3 and all(r.ratio > 1.9 and r.max_error < 0.02 for r in found)
+
+
+def test_parallel_speedup(spark):
+    from deltaforge.measure import parallel_speedup
+
+    assert parallel_speedup(spark, 1000, 2)[2] > 0
