@@ -60,7 +60,9 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     while not (ahead := step.where("up is not null").select("t", "n", "up")).isEmpty() and 1 << len(jumps) <= size:
         jumps.append(ahead)
         far = step.select("t", F.col("n").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"))
-        step = scratch.write(step.join(far, ["t", "up"], "left").select("t", "n", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), F.col("up2").alias("up")), "step")
+        reached = step.where("up is null")  # the root: nothing more to look up
+        further = step.where("up is not null").join(far, ["t", "up"], "left").select("t", "n", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), F.col("up2").alias("up"))
+        step = scratch.write(reached.select("t", "n", "score", "up").unionByName(further), "step")
     leaves = step.where("up is null").join(known.select("t", F.col("p").alias("n")).distinct(), ["t", "n"], "left_anti")
     leaves = leaves.join(rows.select("t", "n", "node"), ["t", "n"])
     ranked = leaves.withColumn("path", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "node", "n"))).where(F.col("path") <= paths)
