@@ -23,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from deltaforge.llm.graph import components
-from deltaforge.llm.hashing import ALNUM, NON_SPACE, ORDERED, mix, ngrams, words
+from deltaforge.llm.hashing import ALNUM, NON_SPACE, ORDERED, mix, ngrams, steady, words
 from deltaforge.llm.work import Scratch
 
 #: Shingles counted together before those of fewer than LOCAL are forgotten; a shingle of more than twice LOCAL * chunks documents is surely found.
-CHUNK = 2_000_000
-LOCAL = 8
+CHUNK = 1_000_000
+LOCAL = 6
 #: Rows of the two broadcast tables of common words and shingles, 16 bytes each.
 COMMON_WORDS = 65_536
 COMMON_SHINGLES = 400_000
+#: Sets of several documents up to which their table is broadcast, 24 bytes each; beyond it is joined by shuffle.
+BROADCAST_SETS = 200_000
 #: Sizes that are weighed for the light side.
 LIGHT_MAX = 20
 #: Rounds in which each node meets one other of its lists, before all remaining pairs are compared.
@@ -150,11 +152,12 @@ class Rarity:
         return np.partition(order, k - 1)[:k] if k < len(order) else order
 
 
-def _log_ranks(rows, top: int, step: float) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.array([r[0] for r in rows[:top]], np.int64).view(np.uint64)
-    ranks = np.array([max(1, min(255 / 8, step * np.log2(r[1]))) for r in rows[:top]]).astype(np.uint8)
+def _log_ranks(counted: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``top`` most frequent keys of ``counted(key, n)``, sorted, and the rounded-down logarithms of their counts."""
+    table = counted.orderBy(F.desc("n"), "key").limit(top).toArrow()
+    keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
     at = np.argsort(keys)
-    return keys[at], ranks[at]
+    return keys[at], np.clip(np.log2(np.maximum(n[at], 1)), 1, 31).astype(np.uint8)
 
 
 def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_col: str):
@@ -189,7 +192,7 @@ def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_co
                         continue
                     if (d := hash(own.tobytes())) in seen:  # an equal text of this task is listed already
                         continue
-                    if len(seen) < 200_000:
+                    if len(seen) < 50_000:
                         seen.add(d)
                     for found in keys_of(own, order):
                         keys.append(found)
@@ -232,7 +235,7 @@ def _texts(read: DataFrame, wanted: DataFrame, n: int, kind: str) -> DataFrame:
                 done = hi
             assert done == part.num_rows
 
-    return read.where("id is not null").select("id", "text", place.alias("at")).mapInArrow(run, "id long, digest binary, z binary")
+    return read.where("id is not null").select("id", "text", place.alias("at")).mapInArrow(steady(run), "id long, digest binary, z binary")
 
 
 def _verified(pairs: DataFrame, marks: DataFrame, read: DataFrame, n: int, percent: int, kind: str, scratch: Scratch) -> DataFrame:
@@ -272,7 +275,7 @@ def _verified(pairs: DataFrame, marks: DataFrame, read: DataFrame, n: int, perce
                 yes.append(100 * both >= percent * (len(known) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes))
 
-    found = scratch.write(pairs.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"), "found")
+    found = scratch.write(pairs.select("a", "b", "za", "zb").mapInArrow(steady(run), "a long, b long"), "found")
     scratch.drop(texts)
     return found
 
@@ -293,24 +296,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
     scratch = Scratch(spark, "jaccard")
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first, schema = _first_pass(n, kind, "id", "text")
-    facts = scratch.write(read.mapInArrow(first, schema), "facts")
+    facts = scratch.write(read.mapInArrow(steady(first), schema), "facts")
     nodes = facts.where("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), "digest", "bits")
 
     tables = []
-    for kind_of, top, step in ((1, COMMON_WORDS, 1.0), (2, COMMON_SHINGLES, 1.0)):
+    for kind_of, top in ((1, COMMON_WORDS), (2, COMMON_SHINGLES)):
         counted = facts.where(F.col("kind") == kind_of).groupBy("key").agg(F.sum("n").alias("n"))
-        tables += _log_ranks(counted.orderBy(F.desc("n"), "key").limit(top).collect(), top, step)
+        tables += _log_ranks(counted, top)
     rarity = spark.sparkContext.broadcast(tables)
     histogram = {r[0]: r[1] for r in nodes.where(F.col("n_shingles").between(1, 2 * LIGHT_MAX)).groupBy("n_shingles").count().collect()}
     x = boundary(histogram, percent)
 
     # one node for equal sets: the smallest id
     whole = nodes.where("digest is not null and id is not null").groupBy("id").agg(F.min(F.struct("digest", F.col("n_shingles").alias("size"))).alias("x")).select("id", "x.*")
-    reps = whole.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = scratch.write(whole.join(reps, "digest").select("id", "rep", "size", "digest"), "members")
+    many = scratch.write(whole.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"), "copied")
+    few = many.count() <= BROADCAST_SETS
+    member = whole.join(F.broadcast(many) if few else many, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), "size", "digest")
+    member = scratch.write(member, "members")
 
     listing, schema = _lists(n, percent, kind, x, rarity, "id", "text")
-    by_key = read.mapInArrow(listing, schema)
+    by_key = read.mapInArrow(steady(listing), schema)
     w = Window.partitionBy("key")
     ends = lambda df, c: df.withColumn("lo", F.min(c).over(w)).withColumn("hi", F.max(c).over(w))
     shared = scratch.write(ends(by_key, "doc").where("lo <> hi OR key < 0").select("key", "doc"), "shared")
