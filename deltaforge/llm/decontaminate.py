@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deltaforge.llm.hashing import ALNUM, ngrams, words
+from deltaforge.llm.hashing import ALNUM, ngrams, steady, words
 from deltaforge.llm.work import Scratch
 
 #: Characters of benchmark text that are broadcast at once, as windows of 64-bit words.
@@ -134,7 +134,7 @@ def _counts(docs: DataFrame, shared) -> dict[tuple[int, int], int]:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(at), pa.array(total[at])], names=["s", "k", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "s long, k long, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(steady(run), "s long, k long, n long").groupBy("s", "k").agg(F.sum("n").alias("n")).collect()
     return {(s, int(shared.value[s][k])): n for s, k, n in rows}
 
 
@@ -203,7 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, min_ite
                     out = [part.column("id"), *([] if last else [part.column("text")]), pa.array(np.diff(offs)), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string())), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], span)]
                     yield pa.RecordBatch.from_arrays(out, names=["id", *([] if last else ["text"]), "n_words", "items", "spans"])
 
-        found = (read if b == 0 else found).mapInArrow(mark, f"id {kind}, " + ("" if b == blocks - 1 else "text string, ") + state)
+        found = (read if b == 0 else found).mapInArrow(steady(mark), f"id {kind}, " + ("" if b == blocks - 1 else "text string, ") + state)
         if b < blocks - 1:
             found = scratch.write(found, "marked")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

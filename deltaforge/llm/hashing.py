@@ -1,21 +1,37 @@
 """Vectorised words and word n-grams of UTF-8 texts.
 
 Words are maximal runs of word bytes of the ASCII-lower-cased text; they are hashed to 64 bits by a polynomial over
-randomly drawn byte codes, all words of a piece of about a megabyte in one go. Pieces are cut at documents or, inside
+randomly drawn byte codes, all words of a piece of a quarter megabyte in one go. Pieces are cut at documents or, inside
 a longer document, between words, so that memory doesn't grow with the longest text.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MASK = (1 << 64) - 1
 
 
+def steady(run):
+    """The same function over batches, after which the worker gives unused memory back: workers live on from stage to stage."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def _splitmix(n: int, seed: int) -> np.ndarray:
     """``n`` fixed pseudo-random 64-bit numbers."""
     out, x = [], seed

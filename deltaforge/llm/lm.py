@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deltaforge.llm.hashing import ALNUM, words
+from deltaforge.llm.hashing import ALNUM, steady, words
 from deltaforge.llm.work import Scratch
 
 TOKENS = 1 << 17
@@ -216,4 +216,4 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(s), mean], names=[id_col, "n_tokens", "log_likelihood", "per_token"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, log_likelihood double, per_token double")
+    return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, log_likelihood double, per_token double")

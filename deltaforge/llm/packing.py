@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from deltaforge.llm.hashing import CODES, PIECE, mix, pieces, powers, text_buffer
+from deltaforge.llm.hashing import CODES, PIECE, mix, pieces, powers, steady, text_buffer
 from deltaforge.llm.work import Scratch
 
 #: Nodes of the search for one filling, and of the search over whole solutions of the last sequences.
@@ -380,7 +380,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     sql = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(run, sql)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(steady(run), sql)
 
 
 def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:

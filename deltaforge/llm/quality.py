@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deltaforge.llm.hashing import CODES, NON_SPACE, RAW_CODES, mix, pieces, powers, text_buffer
+from deltaforge.llm.hashing import CODES, NON_SPACE, RAW_CODES, mix, pieces, powers, steady, text_buffer
 from deltaforge.llm.work import settle
 
 BUCKETS = 1 << 18
@@ -211,7 +211,7 @@ def score_documents(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tail.sum(axis=1)), pa.array(tail[:, -1])], names=[*batch.schema.names, "expected_grade", "tail_probability"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names).mapInArrow(run, f"{fields}, expected_grade double, tail_probability double")
+    return docs.select(*names).mapInArrow(steady(run), f"{fields}, expected_grade double, tail_probability double")
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

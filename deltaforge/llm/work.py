@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltaforge.session import reachable
+
 
 #: Rows and bytes of the batches that go to Python workers, where the session has Spark's defaults: rows are whole texts.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def settle(spark: SparkSession) -> None:
-    """Keep batches of texts small; a session that has set its own sizes keeps them."""
+    """Keep batches of texts small, but for a session that has set its own sizes; let workers import the package."""
+    reachable(spark)
     for key, (default, own) in BATCHES.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, own)
@@ -51,9 +55,15 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def free(self) -> None:
-        """Let Spark delete the shuffle files of plans that are done with: it does so when their objects are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark delete the shuffle files of plans that are done with.
+
+        It does so when their objects are collected: first Python's, whose release reaches the JVM a moment later, then
+        the JVM's own.
+        """
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.3)
+            self.spark._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that nothing reads any more."""
