@@ -20,13 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from deltaforge.llm.hashing import RAW_CODES, mix, pieces, powers, text_buffer
+from deltaforge.llm.hashing import RAW_CODES, mix, pieces, powers, steady, text_buffer
 from deltaforge.llm.work import Scratch, partitions
 
 DIGIT = 16
 _BITS = np.uint64(20)
 _LOW = np.uint64((1 << 20) - 1)
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 
 class Anchors:
@@ -193,42 +193,85 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], b[np.append(first[1:] - 1, len(b) - 1)]
 
 
+def _gathered(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The bytes from each a to b, as a column."""
+    size = b - a
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    data = d[np.repeat(a - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _second_digits(length: int):
     """From texts with their flagged surroundings: spans that are repeats for sure, and halves of open windows.
 
-    Rows (doc, row, key, at, bytes): key null for a span from ``at`` as long as two packed numbers say, else a half.
+    Rows (doc, row, key, at, size, z): key null for a span of ``size`` bytes from ``at``, else the 33 bytes of a half and
+    in z the bytes of its windows.
     """
-    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("z", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("z", pa.binary())])
     half = (length - DIGIT) // 2
 
+    def told(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Keys made unlike in unlike rows."""
+        return keys.view(np.uint64) + (doc.astype(np.uint64) + np.uint64(1)) * _ODD
+
     def run(batches):
         for batch in batches:
             ids, rows = batch.column("id").to_numpy(), batch.column("row").to_numpy()
-            sure, open_ = ([np.sort(np.array(v or [], np.int64)) for v in batch.column(c).to_pylist()] for c in ("sure", "open"))
+            flags = {}
+            for kind in ("sure", "open"):
+                column = batch.column(kind)
+                flags[kind] = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
             for lo, base, d, starts, x in anchors(batch.column("text"), length):
-                key = _folded(x.hash) ^ x.around().view(np.int64)
-                first = np.searchsorted(x.doc, np.arange(len(starts)))
-                out = [[], [], [], [], []]
-                for k in range(len(starts) - 1):
-                    own = slice(first[k], first[k + 1])
-                    row = lo + k
-                    hit = np.isin(key[own], sure[row])
-                    a, b = _merged(x.lo[own][hit], x.hi[own][hit] + length)
-                    for s, e in zip((a - starts[k] + base).tolist(), (b - a).tolist(), strict=True):
-                        for c, v in zip(out, (ids[row], rows[row], None, s, e.to_bytes(8, "big")), strict=True):
-                            c.append(v)
-                    hit = np.isin(key[own], open_[row])
-                    for at, p, q in zip(x.at[own][hit].tolist(), x.lo[own][hit].tolist(), x.hi[own][hit].tolist(), strict=True):
-                        cut = at - half  # windows that start before it hold the bytes before the anchor, the others those after
-                        for s, e, u, v in ((p, min(q, cut - 1), cut, at + DIGIT), (max(p, cut), q, at, at + length - half)):
-                            if s <= e:
-                                sign = int(x.strings(np.array([u]), np.array([v])).view(np.int64)[0]) ^ (u == cut)
-                                for c, w in zip(out, (ids[row], rows[row], sign, s - int(starts[k]) + base, d[s : e + length].tobytes()), strict=True):
-                                    c.append(w)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    return run, "doc long, row long, key long, at long, z binary"
+                if not len(x.at):
+                    continue
+                n, key, hit = len(starts) - 1, told(_folded(x.hash) ^ x.around().view(np.int64), x.doc), {}
+                for kind, (flat, ends) in flags.items():
+                    own = np.repeat(np.arange(n), np.diff(ends[lo : lo + n + 1]))
+                    hit[kind] = np.isin(key, told(flat[ends[lo] : ends[lo + n]], own))
+                doc, a, b = x.doc[hit["sure"]], x.lo[hit["sure"]], x.hi[hit["sure"]] + length
+                if len(a):
+                    first = np.flatnonzero(np.concatenate(([True], (a[1:] > b[:-1]) | (doc[1:] != doc[:-1]))))
+                    last, doc = np.append(first[1:] - 1, len(b) - 1), doc[first]
+                    nulls = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + doc]), pa.array(rows[lo + doc]), nulls[0], pa.array(a[first] - starts[doc] + base), pa.array(b[last] - a[first]), nulls[1]], schema=schema)
+                doc, at, p, q = (c[hit["open"]] for c in (x.doc, x.at, x.lo, x.hi))
+                cut = at - half  # windows that start before it hold the bytes before the anchor, the others those after
+                for left, s, e in ((True, p, np.minimum(q, cut - 1)), (False, np.maximum(p, cut), q)):
+                    ok = s <= e
+                    if ok.any():
+                        s, e, u, k = s[ok], e[ok], at[ok], doc[ok]
+                        sign = x.strings(cut[ok], u + DIGIT) ^ np.uint64(1) if left else x.strings(u, u + length - half)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + k]), pa.array(rows[lo + k]), pa.array(sign.view(np.int64)), pa.array(s - starts[k] + base), pa.array(e - s + length), _gathered(d, s, e + length)], schema=schema)
+
+    return run, "doc long, row long, key long, at long, size long, z binary"
+
+
+#: Bits of the filter of keys that more than one document has, which goes to all tasks: 2 MB, however many keys there are.
+FILTER_BITS = 1 << 24
+
+
+def _shared(halves: DataFrame, scratch: Scratch) -> DataFrame:
+    """Halves whose key stands in more than one document; a fixed-size filter spares most others the shuffle."""
+    spark = halves.sparkSession
+    found = halves.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
+    found = scratch.write(found, "keys")
+    place = f"pmod(key, {FILTER_BITS})"
+    words = found.selectExpr(f"shiftright({place}, 6) AS k", f"shiftleft(1L, cast({place} % 64 AS int)) AS bit").groupBy("k").agg(F.bit_or("bit").alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for k, v in words.toLocalIterator():
+        bits[k] = v
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            at = batch.column("key").to_numpy() & (FILTER_BITS - 1)
+            yield batch.filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1))
+
+    return halves.mapInArrow(run, halves.schema).join(found, "key", "left_semi")
 
 
 def _windows(length: int):
@@ -267,28 +310,46 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     parts = max(partitions(spark), size // 18 // SORTED)
     bits = min(20, int(4 * parts - 1).bit_length())
     run, fields = _first_digits(length, bits)
-    dealt = read.mapInArrow(run, fields).repartition(parts, "part")
+    dealt = read.mapInArrow(steady(run), fields).repartition(parts, "part")
     run, fields = _flags()
-    flagged = scratch.write(dealt.mapInArrow(run, fields), "flagged")
+    flagged = scratch.write(dealt.mapInArrow(steady(run), fields), "flagged")
     del dealt
     scratch.free()
 
     of = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("key")))
     flags = flagged.groupBy(F.col("doc").alias("id")).agg(of(1).alias("sure"), of(2).alias("open"))
     run, fields = _second_digits(length)
-    halves = scratch.write(read.withColumn("row", F.xxhash64("text")).join(flags, "id").select("id", "row", "text", "sure", "open").mapInArrow(run, fields), "halves")
+    halves = scratch.write(read.withColumn("row", F.xxhash64("text")).join(flags, "id").select("id", "row", "text", "sure", "open").mapInArrow(steady(run), fields), "halves")
     scratch.drop(flagged)
     del flags, flagged
     scratch.free()
 
-    by_key = Window.partitionBy("key")
-    shared = halves.where("key is not null").withColumn("lo", F.min("doc").over(by_key)).withColumn("hi", F.max("doc").over(by_key)).where("lo <> hi").select("key", "doc", "row", "at", "z")
+    shared = _shared(halves.where("key is not null"), scratch).select("key", "doc", "row", "at", "z")
     run, fields = _windows(length)
-    windows = shared.mapInArrow(run, fields).withColumn("first", F.min("doc").over(Window.partitionBy("key", "window"))).where("doc > first")
-    repeats = scratch.write(windows.groupBy("doc", "row").agg(F.collect_set("at").alias("at")), "repeats")
-    sure = halves.where("key is null").select("doc", "row", F.struct(F.col("at").alias("start"), F.conv(F.hex("z"), 16, 10).cast("long").alias("size")).alias("s"))
-    single = repeats.select("doc", "row", F.explode("at").alias("at")).select("doc", "row", F.struct(F.col("at").alias("start"), F.lit(length).cast("long").alias("size")).alias("s"))
-    return sure.unionByName(single).groupBy(F.col("doc").alias("id"), "row").agg(F.collect_list("s").alias("spans"))
+    windows = shared.mapInArrow(steady(run), fields).withColumn("first", F.min("doc").over(Window.partitionBy("key", "window"))).where("doc > first")
+    repeats = windows.groupBy("doc", "row").agg(F.collect_set("at").alias("at")).mapInArrow(_joined(length), "doc long, row long, spans array<struct<start:bigint,size:bigint>>")
+    sure = halves.where("key is null").groupBy("doc", "row").agg(F.collect_list(F.struct(F.col("at").alias("start"), "size")).alias("spans"))
+    both = scratch.write(sure.unionByName(repeats), "spans")
+    scratch.drop(halves)
+    del halves, shared, windows, repeats, sure
+    scratch.free()
+    return both.groupBy(F.col("doc").alias("id"), "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _joined(length: int):
+    """The starts of repeated windows of a text as spans."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch.column("at"):
+                a = np.sort(v.values.to_numpy())
+                a, b = _merged(a, a + length)
+                out.append([{"start": s, "size": e - s} for s, e in zip(a.tolist(), b.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(out, kind)], names=["doc", "row", "spans"])
+
+    return run
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
