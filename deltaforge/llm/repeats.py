@@ -11,7 +11,8 @@ the smallest hash, which equal windows choose alike. The passes are
    one document only are done.
 3. the whole window: what is left is grouped by its ``length`` bytes. Equal groups are exactly the repeated windows.
 
-Digits are compared by 64-bit hashes, windows by 128 bits in all.
+Digits are compared by 64-bit hashes, windows by 128 bits in all. Shuffle files of a pass are let go before the next pass
+writes its own, so disk holds one pass at a time.
 """
 
 from __future__ import annotations
