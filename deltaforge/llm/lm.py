@@ -5,8 +5,8 @@ sees the two words on either side of a hidden one and predicts its class, and th
 token's share of its class. A document's score is the sum over its words of the logarithm of their conditional
 probability given both sides.
 
-The counts cover all documents. The network is trained in numpy on a fixed share of all documents, dealt into shards by
-a hash, so that there are as many more shards as the corpus is larger; each shard trains from the same start and the
+The counts cover all documents, and so does the training of the network, in numpy: documents are dealt into shards by a
+hash, so that there are as many more shards as the corpus is larger; each shard trains from the same start and the
 weights are averaged.
 """
 
@@ -30,8 +30,9 @@ CLASSES = 128
 SIDES = (-2, -1, 1, 2)
 WIDTH = 16
 HIDDEN = 32
-#: One document in so many is trained on, about so many a shard.
-TRAIN_ONE_IN = 16
+#: One document in so many is trained on: all.
+TRAIN_ONE_IN = 1
+#: Documents a shard, about.
 SHARD_DOCS = 2000
 BATCH = 512
 RATE = 0.1
@@ -174,9 +175,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col: str
             t = _token(hashes)
             sides.append(neighbours(v.embedding[t], offs))
             klass.append(v.klass[t])
-        if sides and sum(map(len, klass)):
+        n = int(sum(map(len, klass)) > 0)  # a shard without words has no say in the average
+        if n:
             net.train(np.concatenate(sides), np.concatenate(klass))
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n": pa.array([1], pa.int64()), "w": pa.array([net.flat().astype(np.float64).tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "w": pa.array([(n * net.flat().astype(np.float64)).tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(len(Network.start().flat()))
@@ -190,7 +192,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col: str
         made = scratch.write(made.withColumn("up", F.floor(F.col("shard") / 16)).groupBy("up").applyInArrow(add, fields), "networks")
         shards = -(-shards // 16)
     rows = sorted(made.collect(), key=lambda r: r.shard)
-    if not rows:
+    if not any(r.n for r in rows):
         return Network.start()
     return Network.of(sum(np.frombuffer(r.w) for r in rows) / sum(r.n for r in rows))
 

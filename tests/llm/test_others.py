@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaforge.llm import chat, lm, quality, topk, warc
+from deltaforge.llm.work import Scratch
 from tests.llm.data import SCHEMA, WORDS, documents, sentence, table
 
 PAGES = "page_id long, url string, html string, payload binary"
@@ -223,6 +224,14 @@ def test_language_model(spark):
     assert max(abs(found[k] - again[k]) for k in found) < 1e-3
 
 
+def test_language_model_trains_on_every_document(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, sentence(rng, 30)) for k in range(5)], "doc_id long, text string")
+    vocabulary = lm.Vocabulary.of(lm.token_counts(docs))
+    nets = [lm.train(docs.where(F.col("doc_id") != k), vocabulary, Scratch(spark, "lm")).flat() for k in (-1, *range(5))]
+    assert all(not np.array_equal(nets[0], n) for n in nets[1:])  # each document left out makes a difference
+
+
 def test_language_model_of_messy_rows(spark):
     docs = table(spark)
     found = lm.pseudo_likelihood(docs).collect()
