@@ -1,17 +1,19 @@
 """Masked pseudo-likelihood by a bidirectional window network.
 
-A word is a token by its hash. The most frequent tokens are classes of their own, the others share classes; a network
-sees the two words on either side of a hidden one and predicts its class, and the corpus counts of all words give a
-token's share of its class. A document's score is the sum over its words of the logarithm of their conditional
-probability given both sides.
-
-The counts cover all documents, and so does the training of the network, in numpy: documents are dealt into shards by a
-hash, so that there are as many more shards as the corpus is larger; each shard trains from the same start and the
-weights are averaged.
+A network sees the two words on either side of a hidden one and predicts it by a binary tree over the words, a Huffman
+tree of their counts: each frequent word is a leaf of its own, the others share leaves with words about as frequent, in
+which a word has its share of the counts. A document's score is the sum over its words of the logarithm of their
+conditional probability given both sides.
+
+Words are counted exactly over all documents. The counts of the most frequent ones go to all tasks; those of the rest,
+however many there are, meet their words in a join. The training, in numpy, covers all documents too: they are dealt
+into shards by a hash, so that there are as many more shards as the corpus is larger; each shard trains from the same
+start, which gives every word its share of the counts, and the weights are averaged.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +23,16 @@ from pyspark.sql import DataFrame, functions as F
 from deltaforge.llm.hashing import ALNUM, steady, words
 from deltaforge.llm.work import Scratch
 
-TOKENS = 1 << 17
-#: Embeddings: one each of the frequent tokens, as many shared by the others, and one for the edge of a text.
-FREQUENT = 4096
-EMBEDDINGS = 2 * FREQUENT + 1
-SINGLE = 64
-CLASSES = 128
+#: Words that are leaves and have embeddings of their own.
+FREQUENT = 8192
+#: Embeddings that the other words share.
+SHARED = 4096
+#: Words, at most, whose counts go to all tasks; the counts of the rest are joined.
+KNOWN = 1 << 18
+#: Steps of the histogram of counts to a doubling.
+STEPS = 8
+#: Word positions counted together before they go to Spark.
+CHUNK = 1 << 21
 SIDES = (-2, -1, 1, 2)
 WIDTH = 16
 HIDDEN = 32
@@ -34,29 +40,117 @@ HIDDEN = 32
 TRAIN_ONE_IN = 1
 #: Documents a shard, about.
 SHARD_DOCS = 2000
-BATCH = 512
-RATE = 0.1
+BATCH = 1024
+#: Depth of the tree down to which a batch's nodes are one matrix.
+NEAR = 7
+RATE = 0.2
 SEED = 5
 
 
+def tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A Huffman tree: by leaf the length of its path; by depth and leaf twice the inner node plus the turn there; by node the log odds of turning.
+
+    Inner nodes are numbered from the root down.
+    """
+    n = len(weights)
+    heap = [(int(w), k) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    below, odds = [], []
+    for node in range(n, 2 * n - 1):
+        (v, a), (w, b) = heapq.heappop(heap), heapq.heappop(heap)
+        below.append((a, b))
+        odds.append(np.log(w / v))
+        heapq.heappush(heap, (v + w, node))
+    paths, number, level = [()] * n, [], [(2 * n - 2, ())] if n > 1 else []
+    while level:
+        deeper = []
+        for node, path in level:
+            for turn, child in enumerate(below[node - n]):
+                if child < n:
+                    paths[child] = (*path, (len(number), turn))
+                else:
+                    deeper.append((child, (*path, (len(number), turn))))
+            number.append(node - n)
+        level = deeper
+    length = np.array([len(x) for x in paths])
+    steps = np.zeros((length.max(), n), np.uint16)
+    for leaf, path in enumerate(paths):
+        for depth, (node, turn) in enumerate(path):
+            steps[depth, leaf] = 2 * node + turn
+    return length, steps, np.array([odds[k] for k in number] or [0], np.float32)
+
+
 @dataclass
 class Vocabulary:
-    """What the counts of tokens over all documents say."""
-
-    embedding: np.ndarray  # by token
-    klass: np.ndarray  # by token
-    share: np.ndarray  # by token: log P(token | its class)
+    """What the counts of words over all documents say."""
+
+    known: np.ndarray  # sorted hashes of words
+    leaf: np.ndarray  # by known word, and that of all others as last
+    embedding: np.ndarray  # by known word; -1 for those that share one, and as last
+    share: np.ndarray  # by known word: log P(word | its leaf); for the others as last that of a word of one occurrence
+    frequent: int
+    length: np.ndarray  # the tree
+    steps: np.ndarray
+    odds: np.ndarray
+    least: int  # count from which a word is known
 
     @staticmethod
-    def of(counts: np.ndarray) -> Vocabulary:
-        order = np.lexsort((np.arange(TOKENS), -counts))
-        embedding = FREQUENT + np.arange(TOKENS) % FREQUENT
-        embedding[order[:FREQUENT]] = np.arange(FREQUENT)
-        klass = SINGLE + np.arange(TOKENS) % (CLASSES - SINGLE)
-        klass[order[:SINGLE]] = np.arange(SINGLE)
-        smooth = counts + 0.5
-        total = np.bincount(klass, weights=smooth, minlength=CLASSES)
-        return Vocabulary(embedding.astype(np.int32), klass.astype(np.int32), np.log(smooth / total[klass]).astype(np.float32))
+    def of(counted: DataFrame) -> Vocabulary:
+        """From ``counted(word, n)``; at most ``KNOWN`` rows reach the driver, and a histogram of the logarithms of n."""
+        steps = counted.groupBy(F.floor(F.log2("n") * STEPS).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+        taken, least, rest = 0, 1 << 62, 0
+        for r in sorted(steps, key=lambda r: -r.step):
+            if rest or taken + r.words > KNOWN:
+                rest += r.n
+            else:
+                taken, least = taken + r.words, r.least
+        top = counted.where(F.col("n") >= least).toArrow()
+        word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+        at = np.argsort(word)
+        word, n = word[at], n[at]
+        rank = np.empty(len(n), np.int64)
+        rank[np.lexsort((word, -n))] = np.arange(len(n))
+        own = rank < FREQUENT
+        # the other known words by the doublings of their counts, then those that aren't known
+        group = np.log2(np.maximum(n, 1)).astype(np.int64)
+        _, band = np.unique(group[~own], return_inverse=True)
+        leaf = rank.copy()
+        leaf[~own] = own.sum() + band
+        size = np.bincount(leaf, weights=n, minlength=1).astype(np.int64)
+        if rest or not len(n):
+            size = np.append(size[: leaf.max(initial=-1) + 1], max(rest, 1))
+        last = len(size) - 1
+        share = np.append(np.log(n / size[leaf]), -np.log(size[last])).astype(np.float32)
+        return Vocabulary(word, np.append(leaf, last), np.append(np.where(own, rank, -1), -1), share, int(own.sum()), *tree(size), least)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where words stand in ``known``; its length for others."""
+        if not len(self.known):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, at, len(self.known))
+
+    def embeddings(self, h: np.ndarray, places: np.ndarray) -> np.ndarray:
+        found = self.embedding[places]
+        return np.where(found < 0, self.frequent + (h % np.uint64(SHARED)).astype(np.int64), found)
+
+    @property
+    def edge(self) -> int:
+        """The embedding of the edge of a text, the last."""
+        return self.frequent + SHARED
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The paths of leaves that are sorted by falling length, by depth: row, inner node, turn; and by depth where it begins."""
+        length = self.length[leaf]
+        deep = np.arange(length[0])[:, None] < length
+        ends = np.concatenate(([0], np.cumsum(np.searchsorted(-length, -np.arange(length[0])))))
+        at = np.flatnonzero(deep)
+        step = self.steps[: length[0]].take(leaf, axis=1).ravel().take(at)
+        return at % len(leaf), step >> 1, step & 1, ends
+
+    def falling(self, leaf: np.ndarray) -> np.ndarray:
+        """An order of rows by falling length of their leaves' paths."""
+        return np.argsort((255 - self.length[leaf]).astype(np.uint8), kind="stable")
 
 
 @dataclass
@@ -64,73 +158,110 @@ class Network:
     e: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
-    w2: np.ndarray
+    w2: np.ndarray  # by inner node of the tree
     b2: np.ndarray
 
     @staticmethod
-    def start(seed: int = SEED) -> Network:
+    def start(v: Vocabulary, seed: int = SEED) -> Network:
+        """A network that gives each word its share of the counts, whatever its sides."""
         rng = np.random.default_rng(seed)
         draw = lambda *s, by: (rng.standard_normal(s) * by).astype(np.float32)
-        return Network(draw(EMBEDDINGS, WIDTH, by=0.1), draw(len(SIDES) * WIDTH, HIDDEN, by=0.2), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLASSES, by=0.1), np.zeros(CLASSES, np.float32))
+        return Network(draw(v.edge + 1, WIDTH, by=0.1), draw(len(SIDES) * WIDTH, HIDDEN, by=0.2), np.zeros(HIDDEN, np.float32), np.zeros((len(v.odds), HIDDEN), np.float32), v.odds.copy())
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.e, self.w1, self.b1, self.w2, self.b2)])
 
     @staticmethod
-    def of(flat: np.ndarray) -> Network:
+    def of(flat: np.ndarray, v: Vocabulary) -> Network:
         out, at = [], 0
-        for like in vars(Network.start()).values():
+        for like in vars(Network.start(v)).values():
             out.append(flat[at : at + like.size].reshape(like.shape).astype(np.float32))
             at += like.size
         return Network(*out)
 
-    def log_probabilities(self, sides: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        """log P(class | both sides) of each hidden word; ``sides`` has its neighbours' embeddings in columns."""
+    def log_probabilities(self, v: Vocabulary, sides: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """log P(leaf | both sides) of each hidden word; ``sides`` has its neighbours' embeddings in columns."""
         parts = [self.e @ self.w1[k * WIDTH : (k + 1) * WIDTH] for k in range(len(SIDES))]
-        out = np.empty(len(klass), np.float32)
-        for a in range(0, len(klass), 4096):
-            s = sides[a : a + 4096]
-            h = parts[0][s[:, 0]]
+        out = np.empty(len(leaf), np.float32)
+        for a in range(0, len(leaf), 1024):
+            order = v.falling(leaf[a : a + 1024])
+            s, y = sides[a : a + 1024][order], leaf[a : a + 1024][order]
+            h = parts[0].take(s[:, 0], axis=0)
             for k in range(1, len(SIDES)):
-                h += parts[k][s[:, k]]
-            z = np.tanh(h + self.b1) @ self.w2 + self.b2
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(s)), klass[a : a + 4096]]
-            out[a : a + 4096] = own - np.log(np.exp(z).sum(axis=1))
+                h += parts[k].take(s[:, k], axis=0)
+            h = np.tanh(h + self.b1)
+            row, node, turn, ends = v.paths(y)
+            z = np.einsum("ij,ij->i", self.w2.take(node, axis=0), h.take(row, axis=0)) + self.b2[node]
+            np.negative(z, out=z, where=turn.astype(bool))
+            z = -np.maximum(z, 0) - np.log1p(np.exp(-np.abs(z)))  # log of the logistic function of -z
+            total = np.zeros(len(y), np.float32)
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                total[: j - i] += z[i:j]
+            out[a + order] = total
         return out
 
-    def train(self, sides: np.ndarray, klass: np.ndarray, seed: int = SEED, rate: float = RATE) -> None:
+    def train(self, v: Vocabulary, sides: np.ndarray, leaf: np.ndarray, seed: int = SEED, rate: float = RATE) -> None:
         """One pass of gradient descent over all positions in an order fixed by ``seed``."""
-        order = np.random.default_rng(seed).permutation(len(klass))
-        g = [np.full(x.shape, 1e-4, np.float32) for x in (self.w1, self.b1, self.w2, self.b2)]
-        ge = np.full(EMBEDDINGS, 1e-4, np.float32)
+        order = np.random.default_rng(seed).permutation(len(leaf))
+        g = [np.full(x.shape, 1e-4, np.float32) for x in (self.w1, self.b1)]
+        ge, g2, gb = (np.full(len(x), 1e-4, np.float32) for x in (self.e, self.w2, self.b2))
+
+        def step(at, d2, db):
+            _descend(self.w2, g2, at, d2, rate)
+            gb[at] += db * db
+            self.b2[at] -= rate * db / np.sqrt(gb[at])
+
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
-            s, y, n = sides[rows], klass[rows], len(rows)
-            x = self.e[s].reshape(n, -1)
+            rows = rows[v.falling(leaf[rows])]
+            s, n = sides[rows].ravel(), len(rows)
+            row, node, turn, ends = v.paths(leaf[rows])
+            if not len(node):
+                continue
+            x = self.e.take(s, axis=0).reshape(n, -1)
             h = np.tanh(x @ self.w1 + self.b1)
-            z = h @ self.w2 + self.b2
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(n), y] -= 1
-            p /= n
-            dh = (p @ self.w2.T) * (1 - h * h)
+            own, seen = self.w2.take(node, axis=0), h.take(row, axis=0)
+            z = np.einsum("ij,ij->i", own, seen) + self.b2[node]
+            d = ((1 / (1 + np.exp(-z)) - turn) / n).astype(np.float32)
+            own *= d[:, None]
+            dh = np.zeros_like(h)
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                dh[: j - i] += own[i:j]
+            dh *= 1 - h * h
+            # nodes near the root as a matrix, those farther down by runs
+            m = ends[min(NEAR, len(ends) - 1)]
+            near = np.zeros((n, min(1 << NEAR, len(self.b2))), np.float32)
+            near[row[:m], node[:m]] = d[:m]
+            step(slice(near.shape[1]), near.T @ h, near.sum(axis=0))
+            if m < len(node):
+                by = m + np.argsort(node[m:], kind="stable")
+                at, first = _runs(node[by])
+                step(at, np.add.reduceat(seen.take(by, axis=0) * d[by, None], first, axis=0), np.add.reduceat(d[by], first))
             dx = (dh @ self.w1.T).reshape(n * len(SIDES), WIDTH)
-            for v, sq, d in zip((self.w1, self.b1, self.w2, self.b2), g, (x.T @ dh, dh.sum(axis=0), h.T @ p, p.sum(axis=0)), strict=True):
-                sq += d * d
-                v -= rate * d / np.sqrt(sq)
-            flat = s.ravel()
-            by = np.argsort(flat, kind="stable")
-            at, first = np.unique(flat[by], return_index=True)
-            d = np.add.reduceat(dx[by], first, axis=0)
-            ge[at] += (d * d).mean(axis=1)
-            self.e[at] -= rate * d / np.sqrt(ge[at])[:, None]
-
-
-def neighbours(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
+            for p, sq, to in zip((self.w1, self.b1), g, (x.T @ dh, dh.sum(axis=0)), strict=True):
+                sq += to * to
+                p -= rate * to / np.sqrt(sq)
+            by = np.argsort(s, kind="stable")
+            at, first = _runs(s[by])
+            _descend(self.e, ge, at, np.add.reduceat(dx.take(by, axis=0), first, axis=0), rate)
+
+
+def _descend(rows: np.ndarray, squares: np.ndarray, at, by: np.ndarray, rate: float) -> None:
+    """A step of some rows of a table, each at a rate that falls with the mean squares of its own steps."""
+    squares[at] += np.einsum("ij,ij->i", by, by) / np.float32(by.shape[1])
+    rows[at] -= by * (np.float32(rate) / np.sqrt(squares[at]))[:, None]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array, and where each begins."""
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return x[start], start
+
+
+def neighbours(ids: np.ndarray, offs: np.ndarray, edge: int) -> np.ndarray:
     """Embeddings on both sides of each word, the edge's where a text ends; texts lie side by side."""
     n, doc = len(ids), np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    out = np.full((n, len(SIDES)), EMBEDDINGS - 1, np.int32)
+    out = np.full((n, len(SIDES)), edge, np.uint16)
     for k, side in enumerate(SIDES):
         at = np.arange(n) + side
         ok = (at >= 0) & (at < n)
@@ -139,25 +270,26 @@ def neighbours(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _token(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(TOKENS)).astype(np.int64)
-
+def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """How often each word stands in all documents: (word, n), words by their hashes."""
 
-def token_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each token stands in all documents; at most ``TOKENS`` rows reach the driver."""
+    def counted(chunk: list[np.ndarray]):
+        word, n = np.unique(np.concatenate(chunk), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     def run(batches):
-        total = np.zeros(TOKENS, np.int64)
+        chunk, held = [], 0
         for batch in batches:
             for _, _, h, _ in words(batch.column(0), ALNUM):
-                total += np.bincount(_token(h), minlength=TOKENS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
+                chunk.append(h)
+                held += len(h)
+                if held >= CHUNK:
+                    yield counted(chunk)
+                    chunk, held = [], 0
+        if held:
+            yield counted(chunk)
 
-    counts = np.zeros(TOKENS, np.int64)
-    for token, n in docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
-        counts[token] = n
-    return counts
+    return docs.select(text_col).mapInArrow(steady(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", one_in: int = TRAIN_ONE_IN) -> Network:
@@ -170,20 +302,21 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col: str
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending")])
-        v, net, sides, klass = known.value, Network.start(), [], []
+        v, sides, leaf = known.value, [], []
+        net = Network.start(v)
         for _, _, hashes, offs in words(table.column("text").combine_chunks(), ALNUM):
-            t = _token(hashes)
-            sides.append(neighbours(v.embedding[t], offs))
-            klass.append(v.klass[t])
-        n = int(sum(map(len, klass)) > 0)  # a shard without words has no say in the average
+            at = v.places(hashes)
+            sides.append(neighbours(v.embeddings(hashes, at), offs, v.edge))
+            leaf.append(v.leaf[at])
+        n = int(sum(map(len, leaf)) > 0)  # a shard without words has no say in the average
         if n:
-            net.train(np.concatenate(sides), np.concatenate(klass))
+            net.train(v, np.concatenate(sides), np.concatenate(leaf))
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "w": pa.array([(n * net.flat().astype(np.float64)).tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(len(Network.start().flat()))
+        total = 0
         for w in table.sort_by([("shard", "ascending")]).column("w"):
-            total += np.frombuffer(w.as_py())
+            total = total + np.frombuffer(w.as_py())
         return pa.table({"shard": pa.array([table.column("up")[0].as_py()], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
 
     fields = "shard long, n long, w binary"
@@ -193,8 +326,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col: str
         shards = -(-shards // 16)
     rows = sorted(made.collect(), key=lambda r: r.shard)
     if not any(r.n for r in rows):
-        return Network.start()
-    return Network.of(sum(np.frombuffer(r.w) for r in rows) / sum(r.n for r in rows))
+        return Network.start(vocabulary)
+    return Network.of(sum(np.frombuffer(r.w) for r in rows) / sum(r.n for r in rows), vocabulary)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = TRAIN_ONE_IN) -> DataFrame:
@@ -204,18 +337,25 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    vocabulary = Vocabulary.of(token_counts(docs, text_col))
+    counted = scratch.write(token_counts(docs, text_col), "counted")
+    vocabulary = Vocabulary.of(counted)
     shared = spark.sparkContext.broadcast((vocabulary, train(docs, vocabulary, scratch, id_col, text_col, one_in)))
 
     def run(batches):
         v, net = shared.value
         for batch in batches:
-            for lo, hi, h, offs in words(batch.column(1), ALNUM):
-                t = _token(h)
-                p = net.log_probabilities(neighbours(v.embedding[t], offs), v.klass[t]).astype(np.float64) + v.share[t]
+            for lo, hi, h, offs in words(batch.column(2), ALNUM):
+                at = v.places(h)
+                p = net.log_probabilities(v, neighbours(v.embeddings(h, at), offs, v.edge), v.leaf[at]).astype(np.float64) + v.share[at]
                 total = np.concatenate(([0.0], np.cumsum(p)))
-                n, s = np.diff(offs), np.round(total[offs[1:]] - total[offs[:-1]], 4)
-                mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(s), mean], names=[id_col, "n_tokens", "log_likelihood", "per_token"])
-
-    return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, log_likelihood double, per_token double")
+                other = at == len(v.known)
+                ends = np.concatenate(([0], np.cumsum(other)))[offs]
+                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[other].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(total[offs[1:]] - total[offs[:-1]]), rest], names=["row", "id", "n", "s", "rest"])
+
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col))
+    scored = scratch.write(read.mapInArrow(steady(run), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n long, s double, rest array<bigint>"), "scored")
+    # a word that isn't known was scored as one that occurs once; what it occurs more often is added
+    more = scored.select("row", F.explode("rest").alias("word")).join(counted.where(F.col("n").between(2, vocabulary.least - 1)), "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    out = scored.join(more, "row", "left").withColumn("s", F.round(F.col("s") + F.coalesce("more", F.lit(0.0)), 4))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("s").alias("log_likelihood"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("per_token"))

@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import math
 import os
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +234,35 @@ def test_language_model_trains_on_every_document(spark):
     assert all(not np.array_equal(nets[0], n) for n in nets[1:])  # each document left out makes a difference
 
 
+@pytest.mark.parametrize(("known", "frequent"), [(1 << 18, 8192), (300, 50), (0, 0)])
+def test_words_are_counted_exactly(spark, monkeypatch, known, frequent):
+    """Without training a score is that of the exact shares of all words, however few of their counts go to all tasks."""
+    monkeypatch.setattr(lm, "KNOWN", known)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5)) % 100_000}" for _ in range(60)) for _ in range(200)] + ["", None]
+    n = Counter(w for t in texts for w in (t or "").split())
+    assert len(n) > 800 and max(n.values()) > 1000
+    docs = spark.createDataFrame([(k % 190, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in lm.pseudo_likelihood(docs, one_in=1 << 60).collect())
+    want = sorted((k % 190, len((t or "").split()), sum(math.log(n[w] / n.total()) for w in (t or "").split())) for k, t in enumerate(texts))
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert max(abs(f[2] - w[2]) for f, w in zip(found, want, strict=True)) < 0.01
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    rng = np.random.default_rng(2)
+    size = rng.integers(1, 1000, 700)
+    v = lm.Vocabulary(*[np.zeros(0)] * 4, 700, *lm.tree(size), 1)
+    net = lm.Network.start(v)
+    sides, leaf = rng.integers(0, 40, (100_000, 4)).astype(np.uint16), rng.integers(0, 700, 100_000)
+    leaf[sides[:, 0] == 3] = 5  # what a side tells
+    net.train(v, sides, leaf)
+    p, q = (np.exp(net.log_probabilities(v, np.full((700, 4), side, np.uint16), np.arange(700)).astype(float)) for side in (3, 4))
+    assert abs(p.sum() - 1) < 1e-4 and abs(q.sum() - 1) < 1e-4
+    assert p[5] > 10 * q[5]
+
+
 def test_language_model_of_messy_rows(spark):
     docs = table(spark)
     found = lm.pseudo_likelihood(docs).collect()
