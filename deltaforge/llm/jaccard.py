@@ -357,8 +357,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
             pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.comp") != F.col("two.comp")) & near("one.", "two."))
             pairs = pairs.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
         pairs = scratch.write(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # no head of a list is near another node of it; other pairs of the list may be
+            continue
         found = _verified(pairs, marks, read, n, percent, kind, scratch)
         if found.isEmpty():
             continue

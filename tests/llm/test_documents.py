@@ -5,12 +5,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from deltaforge.llm import packing
 from deltaforge.llm.decontaminate import decontaminate
-from deltaforge.llm.jaccard import boundary, jaccard_components
+from deltaforge.llm.hashing import NON_SPACE, words
+from deltaforge.llm.jaccard import Rarity, boundary, jaccard_components
 from deltaforge.llm.lines import dedup_lines
 from deltaforge.llm.packing import packed_documents
 from deltaforge.llm.repeats import drop_repeats
@@ -87,6 +89,26 @@ def test_jaccard_of_copies_without_their_original(spark):
     assert set(found.values()) == {1}
 
 
+def _hidden(n, percent):
+    """Texts c, p and q, parts of c, where all that p and q list is also listed by c, too large to link with either."""
+    for seed in range(1000):
+        c = [f"s{seed}x{k}" for k in range(60)]
+        rarest = []
+        for words_ in (c, c[:24], c[:25]):
+            ((_, _, h, _),) = words(pa.array([" ".join(words_)]), NON_SPACE)
+            rarest.append(set(Rarity([], [], [], []).first(h, n, lambda size: size - -(-percent * size // 100) + 1).tolist()))
+        if rarest[1] & rarest[2] <= rarest[0]:
+            yield [" ".join(x) for x in (c, c[:24], c[:25])]
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3), (3, 1, 2)])
+def test_jaccard_where_no_head_of_a_list_is_near(spark, ids):
+    for texts, _ in zip(_hidden(4, 85), range(2)):
+        rows = list(zip(ids, texts))
+        found = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+        assert found == classes(rows, 4, 85) and len(set(found.values())) == 2
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_components(empty).collect() == []
 
