@@ -163,7 +163,7 @@ def _log_ranks(counted: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray]:
 def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_col: str):
     """The keys under which documents are listed: subsets of light sets, rarest shingles of the others and of light sets near x.
 
-    A document with shingles gets one negative key besides, -1 - the last of them.
+    A document with shingles gets one negative key besides, -1 - the last of them. ``several`` tells ids of several sets.
     """
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
     near = _least(x + 1, percent)
@@ -183,17 +183,18 @@ def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_co
     def run(batches):
         order, seen = Rarity(*rarity.value), set()
         for batch in batches:
-            ids = batch.column(id_col)
+            ids, several = batch.column(id_col), batch.column("several")
             for lo, hi, h, offs in words(batch.column(text_col), WORDS[kind]):
                 keys, docs = [], []
                 for k in range(hi - lo):
                     own = h[offs[k] : offs[k + 1]]
                     if not len(own) or not ids[lo + k].is_valid:
                         continue
-                    if (d := hash(own.tobytes())) in seen:  # an equal text of this task is listed already
-                        continue
-                    if len(seen) < 50_000:
-                        seen.add(d)
+                    if not several[lo + k].as_py():  # an id of several sets may be a node of another one
+                        if (d := hash(own.tobytes())) in seen:  # an equal text of this task is listed already
+                            continue
+                        if len(seen) < 50_000:
+                            seen.add(d)
                     for found in keys_of(own, order):
                         keys.append(found)
                         docs.append(np.full(len(found), ids[lo + k].as_py(), np.int64))
@@ -315,7 +316,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
     member = scratch.write(member, "members")
 
     listing, schema = _lists(n, percent, kind, x, rarity, "id", "text")
-    by_key = read.mapInArrow(steady(listing), schema)
+    several = scratch.write(nodes.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("id", F.lit(True).alias("several")), "several")
+    n_several = several.count()
+    marked = read.join(F.broadcast(several) if n_several <= BROADCAST_SETS else several, "id", "left") if n_several else read.withColumn("several", F.lit(None).cast("boolean"))
+    by_key = marked.select("id", "text", "several").mapInArrow(steady(listing), schema)
     w = Window.partitionBy("key")
     ends = lambda df, c: df.withColumn("lo", F.min(c).over(w)).withColumn("hi", F.max(c).over(w))
     shared = scratch.write(ends(by_key, "doc").where("lo <> hi OR key < 0").select("key", "doc"), "shared")

@@ -109,6 +109,14 @@ def test_jaccard_where_no_head_of_a_list_is_near(spark, ids):
         assert found == classes(rows, 4, 85) and len(set(found.values())) == 2
 
 
+def test_jaccard_of_an_id_with_two_texts(spark):
+    """Whichever of its texts is the node of id 1, the other one's copies keep their links."""
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(1, one), (1, two), (2, one), (3, one + " end"), (4, two), (5, two + " end")]
+    found = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4, 85).collect()}
+    assert found in ({1: 1, 2: 1, 3: 1, 4: 4, 5: 4}, {1: 1, 2: 2, 3: 2, 4: 1, 5: 1})
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_components(empty).collect() == []
 
