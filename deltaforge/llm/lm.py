@@ -40,10 +40,10 @@ HIDDEN = 32
 TRAIN_ONE_IN = 1
 #: Documents a shard, about.
 SHARD_DOCS = 2000
-BATCH = 1024
+BATCH = 512
 #: Depth of the tree down to which a batch's nodes are one matrix.
 NEAR = 7
-RATE = 0.2
+RATE = 0.1
 SEED = 5
 
 
