@@ -2,10 +2,9 @@
 
 Only lengths matter to packing, and there are at most as many as a sequence has places. So the driver gets a histogram
 of lengths, whose size doesn't grow with the corpus, and works out patterns, each a list of lengths that fill one
-sequence and how often it is used. Around the largest length left it enumerates fillings, largest lengths first; one is
-dropped if another takes its place with fewer, larger pieces, and a branch ends where the waste it must leave is no
-less than the best filling's. The last sequences are packed by branch and bound over whole solutions, with best fit as
-the first incumbent. Pieces then find their place by their rank among those of their length.
+sequence and how often it is used. Around the largest length left it takes the fullest filling of a depth-first search
+of limited nodes, without dominance or a bound on waste. Only the last sequences are packed by branch and bound over
+whole solutions, with undominated fillings, bounds and best fit as the first incumbent. Pieces then find their place by their rank among those of their length.
 """
 
 from __future__ import annotations
