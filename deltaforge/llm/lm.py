@@ -50,7 +50,7 @@ NEAR = 4
 RATE = 0.2
 SEED = 5
 #: Positions that are scored together.
-SCORED = 4096
+SCORED = 8192
 
 
 def tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,10 +372,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch, id_col: str
     start = Network.of(np.frombuffer(first[0].w, np.float32), vocabulary) if first else None
     if shards == 1:
         return start or Network.start(vocabulary)
-    made, n = trained(part.where(~own).repartition(shards - 1, "h"), start), shards - 1
-    while n > 16:  # sums of sixteen, until the driver gets sixteen at most
+    made = trained(part.where(~own).repartition(shards - 1, "h"), start)
+    while made.count() > 16:  # sums of sixteen, until the driver gets sixteen at most
         made = scratch.write(made.withColumn("up", F.floor(F.col("shard") / 16)).groupBy("up").applyInArrow(add, "shard long, n long, w binary"), "networks")
-        n = -(-n // 16)
     rows = sorted(made.collect(), key=lambda r: r.shard)
     if not rows:
         return start or Network.start(vocabulary)
