@@ -6,9 +6,9 @@ heavy: they are put into inverted lists under their rarest shingles, as many as
 sets to meet in a list; light sets within reach of a heavy one stand in those lists too. The boundary is the size up
 to which enumerating costs less than the lists, by the histogram of sizes over all documents.
 
-Lists aren't expanded into pairs. Equal sets are one node from the start. In the first rounds every node is compared
-with one other of its lists, and what links is joined into components; then only pairs that share a list and lie in
-different components remain, and all of those are compared. So no link between different components is lost, while a
+Lists aren't expanded into pairs. A node is a set, whichever documents have it, so equal sets are one from the start. In
+the first rounds every node is compared with one other of its lists, and what links is joined into components; then only
+pairs that share a list and lie in different components remain, and all of those are compared. So no link between different components is lost, while a
 group of n copies costs about n comparisons.
 """
 
@@ -32,8 +32,6 @@ LOCAL = 6
 #: Rows of the two broadcast tables of common words and shingles, 16 bytes each.
 COMMON_WORDS = 65_536
 COMMON_SHINGLES = 400_000
-#: Sets of several documents up to which their table is broadcast, 24 bytes each; beyond it is joined by shuffle.
-BROADCAST_SETS = 200_000
 #: Sizes that are weighed for the light side.
 LIGHT_MAX = 20
 #: Rounds in which each node meets one other of its lists, before all remaining pairs are compared.
@@ -73,8 +71,9 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(h, n if len(h) >= n else max(1, len(h)))) if len(h) else h
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _node(s: np.ndarray) -> int:
+    """The name of a set: 64 bits of its digest."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -88,23 +87,23 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(n: int, kind: str, id_col: str, text_col: str):
-    """Per document its size and the digest of its set; per chunk the common words and shingles."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bits", pa.list_(pa.int64()))])
+    """Per document its set's name and size; per chunk the common words and shingles."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def common(kind_of: int, chunk: list[np.ndarray]):
         keys, counts = np.unique(np.concatenate(chunk), return_counts=True)
         keys, counts = keys[counts >= LOCAL], counts[counts >= LOCAL]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind_of, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.list_(pa.int64()))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind_of, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.list_(pa.int64()))], schema=schema)
 
     def run(batches):
         kept, held = ([], []), 0
         for batch in batches:
-            ids, sizes, digests, bits = batch.column(id_col), [], [], []
+            ids, sizes, sets, bits = batch.column(id_col), [], [], []
             for lo, hi, h, offs in words(batch.column(text_col), WORDS[kind]):
                 for k in range(hi - lo):
                     s = shingles(h[offs[k] : offs[k + 1]], n)
                     sizes.append(len(s))
-                    digests.append(_digest(s) if len(s) else None)
+                    sets.append(_node(s) if len(s) else None)
                     bits.append(parities(s) if len(s) else None)
                     kept[1].append(s)
                     held += len(s)
@@ -113,12 +112,12 @@ def _first_pass(n: int, kind: str, id_col: str, text_col: str):
                     yield common(1, kept[0])
                     yield common(2, kept[1])
                     kept, held = ([], []), 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
         if held:
             yield common(1, kept[0])
             yield common(2, kept[1])
 
-    return run, "kind int, key long, n long, digest binary, bits array<bigint>"
+    return run, "kind int, key long, n long, node long, bits array<bigint>"
 
 
 #: In place of a rank, the mark of a subset's key.
@@ -160,16 +159,19 @@ def _log_ranks(counted: DataFrame, top: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.clip(np.log2(np.maximum(n[at], 1)), 1, 31).astype(np.uint8)
 
 
-def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_col: str):
-    """The keys under which documents are listed: subsets of light sets, rarest shingles of the others and of light sets near x.
+#: Sets of a task that are remembered, so that their copies aren't listed again.
+SEEN = 200_000
 
-    A document with shingles gets one negative key besides, -1 - the last of them. ``several`` tells ids of several sets.
+
+def _lists(n: int, percent: int, kind: str, x: int, rarity):
+    """The keys under which sets are listed: subsets of light sets, rarest shingles of the others and of light sets near x.
+
+    A set gets one negative key besides, -1 - the last of its prefix.
     """
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
     near = _least(x + 1, percent)
 
-    def keys_of(h, order):
-        s = shingles(h, n)
+    def keys_of(h, s, order):
         if len(s) > x or len(s) >= near:
             rarest = order.first(h, n, lambda size: size - _least(size, percent) + 1).view(np.int64)
             yield rarest
@@ -183,25 +185,26 @@ def _lists(n: int, percent: int, kind: str, x: int, rarity, id_col: str, text_co
     def run(batches):
         order, seen = Rarity(*rarity.value), set()
         for batch in batches:
-            ids, several = batch.column(id_col), batch.column("several")
-            for lo, hi, h, offs in words(batch.column(text_col), WORDS[kind]):
-                keys, docs = [], []
+            for lo, hi, h, offs in words(batch.column(0), WORDS[kind]):
+                keys, nodes, sizes, n_keys = [], [], [], []
                 for k in range(hi - lo):
                     own = h[offs[k] : offs[k + 1]]
-                    if not len(own) or not ids[lo + k].is_valid:
+                    if not len(own):
+                        continue
+                    s = shingles(own, n)
+                    if (node := _node(s)) in seen:
                         continue
-                    if not several[lo + k].as_py():  # an id of several sets may be a node of another one
-                        if (d := hash(own.tobytes())) in seen:  # an equal text of this task is listed already
-                            continue
-                        if len(seen) < 50_000:
-                            seen.add(d)
-                    for found in keys_of(own, order):
-                        keys.append(found)
-                        docs.append(np.full(len(found), ids[lo + k].as_py(), np.int64))
+                    if len(seen) < SEEN:
+                        seen.add(node)
+                    found = list(keys_of(own, s, order))
+                    keys += found
+                    nodes.append(node)
+                    sizes.append(len(s))
+                    n_keys.append(sum(map(len, found)))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), n_keys)), pa.array(np.repeat(np.array(sizes, np.int32), n_keys))], schema=schema)
 
-    return run, "key long, doc long"
+    return run, "key long, node long, size int"
 
 
 #: Bits of the filter of wanted ids that goes to all tasks: half a megabyte, however many ids there are.
@@ -209,7 +212,7 @@ FILTER_BITS = 1 << 22
 
 
 def _texts(read: DataFrame, wanted: DataFrame, n: int, kind: str) -> DataFrame:
-    """Texts of wanted ids, compressed, with the digest of their set: (id, digest, z).
+    """One text, compressed, of each set that a document of the wanted ids has: (node, z).
 
     A filter of fixed size keeps most other texts out of the shuffle; the join that follows keeps out the rest.
     """
@@ -219,42 +222,45 @@ def _texts(read: DataFrame, wanted: DataFrame, n: int, kind: str) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[[r[0] for r in rows]] = [r[1] for r in rows]
     shared = spark.sparkContext.broadcast(bits)
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("z", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("z", pa.binary())])
 
     def run(batches):
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze, seen = zstandard.ZstdCompressor(level=1).compress, set()
         for batch in batches:
             at = batch.column("at").to_numpy()
-            part = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
-            done = 0
-            for lo, hi, h, offs in words(part.column("text"), WORDS[kind]):
-                found = [shingles(h[offs[k] : offs[k + 1]], n) for k in range(hi - lo)]
-                texts = [squeeze((t or "").encode()) for t in part.column("text").slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id").slice(lo, hi - lo), pa.array([_digest(s) if len(s) else None for s in found], pa.binary()), pa.array(texts, pa.binary())], schema=schema)
-                done = hi
-            assert done == part.num_rows
+            part = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)).column("text")
+            for lo, hi, h, offs in words(part, WORDS[kind]):
+                nodes, texts = [], []
+                for k in range(hi - lo):
+                    s = shingles(h[offs[k] : offs[k + 1]], n)
+                    if len(s) and (node := _node(s)) not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(node)
+                        nodes.append(node)
+                        texts.append(squeeze(part[lo + k].as_buffer()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary())], schema=schema)
 
-    return read.where("id is not null").select("id", "text", place.alias("at")).mapInArrow(steady(run), "id long, digest binary, z binary")
+    return read.select("text", place.alias("at")).mapInArrow(steady(run), "node long, z binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, marks: DataFrame, read: DataFrame, n: int, percent: int, kind: str, scratch: Scratch) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets link: parities first, then the sets themselves."""
     for side in "ab":
-        pairs = pairs.join(marks.select(*[F.col(c).alias(to) for c, to in (("rep", side), ("size", f"n{side}"), ("digest", f"d{side}"), ("bits", f"p{side}"))]), side)
+        pairs = pairs.join(marks.select(*[F.col(c).alias(to) for c, to in (("node", side), ("size", f"n{side}"), ("id", f"i{side}"), ("bits", f"p{side}"))]), side)
 
     def halved(c: str, other: str):
         half = (F.size(c) / 2).cast("int")
         return F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
 
     apart = F.aggregate(F.zip_with(halved("pa", "pb"), halved("pb", "pa"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    pairs = pairs.where((F.abs(F.log2(F.size("pa")) - F.log2(F.size("pb"))) > 1.5) | ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b", "da", "db")
+    pairs = pairs.where((F.abs(F.log2(F.size("pa")) - F.log2(F.size("pb"))) > 1.5) | ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b", "ia", "ib")
     pairs = scratch.write(pairs, "close")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = pairs.select(F.col("ia").alias("id")).unionByName(pairs.select(F.col("ib").alias("id")))
     texts = scratch.write(_texts(read, wanted, n, kind), "texts")
     for side in "ab":
-        pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("digest").alias(f"d{side}"), F.col("z").alias(f"z{side}")), [side, f"d{side}"])
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("z").alias(f"z{side}")), side)
 
     def run(batches):
         import zstandard
@@ -288,51 +294,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
     :param percent: two documents link when 100 * |A & B| >= percent * |A | B|.
     :param kind: ``non_space`` or ``alnum`` words, ASCII letters lower-cased.
     :returns: one row per input row: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id that can be reached.
-        Rows that repeat an id are one node, with the set of one of them (that of the least digest). A row without id
-        has no component. Ids are 64-bit integers. Other columns are ignored; an empty table gives an empty result.
+        Rows that repeat an id are documents each, linked by their texts, not by the id. A row without id has no
+        component, and nothing links by it. A very long text is compared whole. Ids are 64-bit integers. Other columns
+        are ignored; an empty table gives an empty result.
 
-    Sets are compared by 64-bit hashes of their shingles, and equal sets found by 128-bit digests.
+    Shingles are compared by 64-bit hashes, and equal sets found by 64 bits of a digest of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first, schema = _first_pass(n, kind, "id", "text")
     facts = scratch.write(read.mapInArrow(steady(first), schema), "facts")
-    nodes = facts.where("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), "digest", "bits")
+    docs_ = facts.where("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), "node", "bits")
+    nodes = docs_.where("node is not null and id is not null")
 
     tables = []
     for kind_of, top in ((1, COMMON_WORDS), (2, COMMON_SHINGLES)):
         counted = facts.where(F.col("kind") == kind_of).groupBy("key").agg(F.sum("n").alias("n"))
         tables += _log_ranks(counted, top)
     rarity = spark.sparkContext.broadcast(tables)
-    histogram = {r[0]: r[1] for r in nodes.where(F.col("n_shingles").between(1, 2 * LIGHT_MAX)).groupBy("n_shingles").count().collect()}
+    histogram = {r[0]: r[1] for r in docs_.where(F.col("n_shingles").between(1, 2 * LIGHT_MAX)).groupBy("n_shingles").count().collect()}
     x = boundary(histogram, percent)
 
-    # one node for equal sets: the smallest id
-    whole = nodes.where("digest is not null and id is not null").groupBy("id").agg(F.min(F.struct("digest", F.col("n_shingles").alias("size"))).alias("x")).select("id", "x.*")
-    many = scratch.write(whole.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"), "copied")
-    few = many.count() <= BROADCAST_SETS
-    member = whole.join(F.broadcast(many) if few else many, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), "size", "digest")
-    member = scratch.write(member, "members")
-
-    listing, schema = _lists(n, percent, kind, x, rarity, "id", "text")
-    several = scratch.write(nodes.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("id", F.lit(True).alias("several")), "several")
-    n_several = several.count()
-    marked = read.join(F.broadcast(several) if n_several <= BROADCAST_SETS else several, "id", "left") if n_several else read.withColumn("several", F.lit(None).cast("boolean"))
-    by_key = marked.select("id", "text", "several").mapInArrow(steady(listing), schema)
+    listing, schema = _lists(n, percent, kind, x, rarity)
+    by_key = read.where("id is not null").select("text").mapInArrow(steady(listing), schema)
     w = Window.partitionBy("key")
     ends = lambda df, c: df.withColumn("lo", F.min(c).over(w)).withColumn("hi", F.max(c).over(w))
-    shared = scratch.write(ends(by_key, "doc").where("lo <> hi OR key < 0").select("key", "doc"), "shared")
-    listed = shared.join(member, shared.doc == member.id).select("key", "rep", "size").distinct()
-    lists = scratch.write(ends(listed, "rep").where("lo <> hi OR key < 0").select("key", "rep", "size"), "lists")
-    scratch.drop(shared)
+    lists = scratch.write(ends(by_key, "node").where("lo <> hi OR key < 0").select("key", "node", "size").distinct(), "lists")
     # of its prefix, a set shares ``common`` shingles with other prefixes; ``last`` is the end of its prefix in the order
-    shares = lists.groupBy("rep", "size").agg(F.count_if((F.col("key") >= 0) & (F.col("key") < SUBSET << 55)).alias("common"), F.max(F.when(F.col("key") < 0, -1 - F.col("key"))).alias("last"), F.count_if(F.col("key") >= 0).alias("keys")).where("keys > 0")
+    shares = lists.groupBy("node", "size").agg(F.count_if((F.col("key") >= 0) & (F.col("key") < SUBSET << 55)).alias("common"), F.max(F.when(F.col("key") < 0, -1 - F.col("key"))).alias("last"), F.count_if(F.col("key") >= 0).alias("keys")).where("keys > 0")
     size = F.col("size")
     most = F.col("common") + size - (size - F.ceil(percent * size / 100) + 1)
-    shares = scratch.write(shares.select("rep", "size", F.coalesce("last", F.lit(-1)).alias("last"), F.when(F.col("last").isNull(), size).otherwise(F.least(most, size)).alias("most"), "keys"), "shares")
-    named = lists.where("key >= 0").select("key", "rep").join(shares, "rep")
-    marks = nodes.select("id", "digest", "bits").join(member.where("id = rep").join(shares.select("rep"), "rep", "left_semi"), ["id", "digest"]).select("rep", "size", "digest", "bits").dropDuplicates(["rep"])
+    shares = scratch.write(shares.select("node", "size", F.coalesce("last", F.lit(-1)).alias("last"), F.when(F.col("last").isNull(), size).otherwise(F.least(most, size)).alias("most"), "keys"), "shares")
+    named = lists.where("key >= 0").select("key", "node").join(shares, "node")
+    marks = nodes.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
     marks = scratch.write(marks, "marks")
 
     links = None
@@ -346,20 +341,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
         return (100 * a >= percent * b) & (100 * b >= percent * a) & ((100 + percent) * bound >= percent * (a + b))
 
     for k in range(STAR_ROUNDS + 1):
-        now = named.withColumn("comp", F.col("rep")) if comp is None else named.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = named.withColumn("comp", F.col("node")) if comp is None else named.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         now = ends(now, "comp").where("lo <> hi").drop("lo", "hi")
         if k < STAR_ROUNDS:
             # each node meets one node of another component: first the one in most lists, as the text that others were
             # copied from would be, then the first in an order that changes by the round
             first = -F.col("keys") if k == 0 else F.xxhash64(F.lit(k), "comp")
-            place = F.struct(first.alias("first"), "comp", "rep", "size", "last", "most")
+            place = F.struct(first.alias("first"), "comp", "node", "size", "last", "most")
             ahead = now.withColumn("c", F.min(place).over(w)).where((F.col("c.comp") != F.col("comp")) & near("", "c."))
-            pairs = ahead.groupBy(F.col("rep").alias("p")).agg(F.min("c").alias("c")).select(F.least("p", "c.rep").alias("a"), F.greatest("p", "c.rep").alias("b")).distinct()
+            pairs = ahead.groupBy(F.col("node").alias("p")).agg(F.min("c").alias("c")).select(F.least("p", "c.node").alias("a"), F.greatest("p", "c.node").alias("b")).distinct()
         else:
             now = scratch.write(now, "open")
             one, two = now.alias("one"), now.alias("two")
-            pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.comp") != F.col("two.comp")) & near("one.", "two."))
-            pairs = pairs.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
+            pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.comp") != F.col("two.comp")) & near("one.", "two."))
+            pairs = pairs.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
         pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():  # no head of a list is near another node of it; other pairs of the list may be
             continue
@@ -368,7 +363,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
             continue
         links = found if links is None else scratch.write(links.unionByName(found), "links")
         comp = scratch.write(components(links, scratch), "comp")
-    if comp is None:
-        comp = member.select("id", F.col("rep").alias("comp")).limit(0)
-    top = nodes.join(member.select("id", "rep"), "id", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    return top.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id"))
+    # a component is named by the smallest id of its sets' documents
+    least = nodes.groupBy("node").agg(F.min("id").alias("least"))
+    if comp is not None:
+        linked = least.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = linked.groupBy("comp").agg(F.min("least").alias("least"))
+        least = linked.select("node", "comp").join(named, "comp").select("node", "least")
+    found = docs_.join(least, "node", "left")
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
