@@ -88,12 +88,12 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 def _first_pass(n: int, kind: str, id_col: str, text_col: str):
     """Per document its set's name and size; per chunk the common words and shingles."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64())), ("text_hash", pa.int64())])
 
     def common(kind_of: int, chunk: list[np.ndarray]):
         keys, counts = np.unique(np.concatenate(chunk), return_counts=True)
         keys, counts = keys[counts >= LOCAL], counts[counts >= LOCAL]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind_of, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.list_(pa.int64()))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind_of, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.list_(pa.int64())), pa.nulls(len(keys), pa.int64())], schema=schema)
 
     def run(batches):
         kept, held = ([], []), 0
@@ -112,12 +112,12 @@ def _first_pass(n: int, kind: str, id_col: str, text_col: str):
                     yield common(1, kept[0])
                     yield common(2, kept[1])
                     kept, held = ([], []), 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(bits, pa.list_(pa.int64())), batch.column("text_hash")], schema=schema)
         if held:
             yield common(1, kept[0])
             yield common(2, kept[1])
 
-    return run, "kind int, key long, n long, node long, bits array<bigint>"
+    return run, "kind int, key long, n long, node long, bits array<bigint>, text_hash long"
 
 
 #: In place of a rank, the mark of a subset's key.
@@ -287,12 +287,14 @@ def _verified(pairs: DataFrame, marks: DataFrame, read: DataFrame, n: int, perce
     return found
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str = "non_space", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str = "non_space", id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
     """Classes of documents linked by the Jaccard similarity of their word n-gram sets.
 
     :param n: words a shingle; a text of fewer words is one shingle; a null or wordless text has none and links with nothing.
     :param percent: two documents link when 100 * |A & B| >= percent * |A | B|.
     :param kind: ``non_space`` or ``alnum`` words, ASCII letters lower-cased.
+    :param detail: add ``class_id long``, which tells classes apart even where rows repeat an id (null without shingles or
+        id), and ``text_hash long``, the ``xxhash64`` of the row's text.
     :returns: one row per input row: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id that can be reached.
         Rows that repeat an id are documents each, linked by their texts, not by the id. A row without id has no
         component, and nothing links by it. A very long text is compared whole. Ids are 64-bit integers. Other columns
@@ -302,10 +304,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     first, schema = _first_pass(n, kind, "id", "text")
     facts = scratch.write(read.mapInArrow(steady(first), schema), "facts")
-    docs_ = facts.where("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), "node", "bits")
+    docs_ = facts.where("kind = 0").select(F.col("key").alias("id"), F.col("n").alias("n_shingles"), "node", "bits", "text_hash")
     nodes = docs_.where("node is not null and id is not null")
 
     tables = []
@@ -365,9 +367,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, kind: str
         comp = scratch.write(components(links, scratch), "comp")
     # a component is named by the smallest id of its sets' documents
     least = nodes.groupBy("node").agg(F.min("id").alias("least"))
-    if comp is not None:
+    if comp is None:
+        least = least.withColumn("class_id", F.col("node"))
+    else:
         linked = least.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         named = linked.groupBy("comp").agg(F.min("least").alias("least"))
-        least = linked.select("node", "comp").join(named, "comp").select("node", "least")
+        least = linked.select("node", "comp").join(named, "comp").select("node", "least", F.col("comp").alias("class_id"))
     found = docs_.join(least, "node", "left")
-    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
+    own = lambda c: F.when(F.col("id").isNotNull(), c)
+    more = [own(F.col("class_id")).alias("class_id"), "text_hash"] if detail else []
+    return found.select(F.col("id").alias(id_col), "n_shingles", own(F.coalesce("least", "id")).alias("component_id"), *more)

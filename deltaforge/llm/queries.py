@@ -51,14 +51,10 @@ FROM marked GROUP BY doc_id
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written to seekable bundles and read back from them."""
-    from deltaforge.llm.warc import read_archives, write_archives
-
-    found = read_archives(write_archives(_table(spark, sf_dir, "pages"), least=100))
-    read = found.select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("own"))
-    stored = read.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to")).agg(F.max_by("size", "own").alias("first_size"), F.max("own").alias("first_own"))
-    full = read.join(stored, "refers_to", "left")
-    return full.select("page_id", F.coalesce("size", "first_size").alias("payload_bytes"), F.coalesce("own", "first_own").alias("payload_digest"), "record_type", "refers_to")
+    """All pages, written to seekable bundles and read back from them; each revisit is resolved to the response it names."""
+    from deltaforge.llm.warc import read_archives, resolved, write_archives
+
+    return resolved(read_archives(write_archives(_table(spark, sf_dir, "pages"), least=100)))
 
 
 OP4_SQL = """

@@ -6,7 +6,8 @@ the query's largest coordinates bound where a vector's own may lie and most fall
 low, the bucket is cut at the length below which no vector can reach the bound (length pruning). What is left gets its
 exact integer product. Bounds start from the longest vectors of all and rise from bucket to bucket.
 
-Queries are taken in blocks of bounded size, each against all rows.
+Queries are taken in blocks of bounded size, each against all rows; a block's results are written before the next block
+is read, so the driver holds one block. Integers are exact at any size: where products may pass 64 bits they are Python's.
 """
 
 from __future__ import annotations
@@ -24,12 +25,23 @@ SEEDS = 1024
 #: Cosine threshold from which coordinates prune better than lengths, and the coordinates that are looked at.
 STEEP = 0.6
 FOCUS = 3
-LIMIT = float(1 << 52)
+#: Bytes of a score beyond 64 bits, as a number over 0 that sorts like the score; integers of up to 1024 bits a component.
+WIDE = 260
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def length(x: np.ndarray) -> float:
+    """The norm of a vector; the largest number if it is beyond that."""
+    top = float(np.abs(x).max(initial=0))
+    if top < 1e150:
+        return float(np.sqrt(np.sum(x**2)))
+    with np.errstate(over="ignore"):
+        return min(float(top * np.sqrt(np.sum((x / top) ** 2))), np.finfo(np.float64).max)
 
 
 def _integers(scale: int):
-    """Rows with an id and a whole finite vector, as integers, with length and norm."""
-    schema = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("norm", pa.float64()), ("v", pa.list_(pa.int64()))])
+    """Rows with an id and a whole finite vector, as whole numbers in double precision, with length and norm."""
+    schema = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("norm", pa.float64()), ("v", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
@@ -39,24 +51,30 @@ def _integers(scale: int):
                 v = part.column("v")
                 flat, offs = v.flatten(), np.concatenate(([0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
                 x = np.floor(scale * flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False))
-                bad = np.concatenate(([0], np.cumsum(~(np.abs(x) < LIMIT))))  # null, NaN, infinite or too large
+                bad = np.concatenate(([0], np.cumsum(~np.isfinite(x))))
                 ok = bad[offs[1:]] == bad[offs[:-1]]
-                rows = [x[a:b].astype(np.int64) for a, b, good in zip(offs[:-1], offs[1:], ok, strict=True) if good]
+                rows = [x[a:b] for a, b, good in zip(offs[:-1], offs[1:], ok, strict=True) if good]
                 ids = part.column("id").filter(pa.array(ok))
-                norms = [float(np.sqrt(np.sum(r.astype(np.float64) ** 2))) for r in rows]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(r) for r in rows], pa.int32()), pa.array(norms, pa.float64()), pa.array(rows, pa.list_(pa.int64()))], schema=schema)
+                norms = [length(r) for r in rows]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(r) for r in rows], pa.int32()), pa.array(norms, pa.float64()), pa.array(rows, pa.list_(pa.float64()))], schema=schema)
 
-    return run, "id long, dim int, norm double, v array<bigint>"
+    return run, "id long, dim int, norm double, v array<double>"
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: in floating point where every sum is below 2 ** 53."""
+    """Exact integer products of rows of whole numbers: in floating point where every sum is below 2 ** 53, else as 64 bits or as Python's integers."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if top < 2.0**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if top < 2.0**63:
-        return q @ c.T
-    return (q.astype(object) @ c.T.astype(object)).clip(-(1 << 63), (1 << 63) - 1).astype(np.int64)
+        return (q @ c.T).astype(np.int64)
+    if top < 2.0**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(q).astype(object) @ whole(c).astype(object).T
+
+
+def joined(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Scores side by side; as Python's integers if either are."""
+    return np.concatenate([s, t]) if s.dtype == t.dtype else np.concatenate([s.astype(object), t.astype(object)])
 
 
 class Best:
@@ -70,12 +88,15 @@ class Best:
     def add(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
         if not len(q):
             return
-        q, s, i = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.i, i])
-        order = np.lexsort((i, ~s, q))
+        q, s, i = np.concatenate([self.q, q]), joined(self.s, s), np.concatenate([self.i, i])
+        falling = np.unique(-s, return_inverse=True)[1] if s.dtype == object else ~s
+        order = np.lexsort((i, falling, q))
         q, s, i = q[order], s[order], i[order]
         first = np.searchsorted(q, np.arange(self.n))
         rank = np.arange(len(q)) - first[q]
         full = rank == self.k - 1
+        if s.dtype == object:
+            self.floor = self.floor.astype(object)
         self.floor[q[full]] = np.maximum(self.floor[q[full]], s[full])
         keep = rank < self.k
         self.q, self.s, self.i = q[keep], s[keep], i[keep]
@@ -83,11 +104,14 @@ class Best:
 
 def search_bucket(best: Best, qid: np.ndarray, q: np.ndarray, qnorm: np.ndarray, cid: np.ndarray, c: np.ndarray, cnorm: np.ndarray) -> None:
     """Add a bucket's candidates, given by falling norm."""
-    bound = best.floor.astype(np.float64)
-    reach = qnorm * cnorm[0] if len(cnorm) else qnorm
+    bound = np.array([max(-1e300, min(float(x), 1e300)) if abs(x) < 1 << 1000 else (1e300 if x > 0 else -1e300) for x in best.floor.tolist()])
+    with np.errstate(over="ignore"):
+        reach = qnorm * cnorm[0] if len(cnorm) else qnorm
+    sound = reach < 1e300  # beyond it nothing is pruned
+    reach = np.where(sound, reach, 1e300)
     slack = 1e-9 * (np.abs(bound) + reach + 1)
-    alive = bound <= reach + slack
-    cosine = np.where(reach > 0, (bound - slack) / np.where(reach > 0, reach, 1), -1.0)
+    alive = (bound <= reach + slack) | ~sound
+    cosine = np.where(sound & (reach > 0), (bound - slack) / np.where(reach > 0, reach, 1), -1.0)
     steep = alive & (cosine >= STEEP)
     for k in np.flatnonzero(steep):
         unit = q[k] / qnorm[k]
@@ -105,7 +129,7 @@ def search_bucket(best: Best, qid: np.ndarray, q: np.ndarray, qnorm: np.ndarray,
     flat = np.flatnonzero(alive & ~steep)
     if len(flat):
         # the shortest vector that can still reach the least demanding query's bound
-        need = np.where(bound[flat] > 0, (bound[flat] - slack[flat]) / np.maximum(qnorm[flat], 1e-300), 0.0)
+        need = np.where((bound[flat] > 0) & sound[flat], (bound[flat] - slack[flat]) / np.maximum(qnorm[flat], 1e-300), 0.0)
         cut = int(np.searchsorted(-cnorm, -need.min() * (1 - 1e-9), "right"))
         if cut:
             s = products(q[flat], c[:cut])
@@ -113,9 +137,16 @@ def search_bucket(best: Best, qid: np.ndarray, q: np.ndarray, qnorm: np.ndarray,
             best.add(flat[a], s[a, b], cid[b])
 
 
-def _block(k: int, shared):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _scored(q: np.ndarray, i: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """Results as rows: scores beyond 64 bits are held to them, and given whole in a form that sorts like them."""
+    wide = [None] * len(s)
+    if s.dtype == object:
+        wide = [(x + (1 << 8 * WIDE - 1)).to_bytes(WIDE) if not LEAST < x < MOST else None for x in s]
+        s = np.array([max(LEAST, min(x, MOST)) for x in s], np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s), pa.array(wide, pa.binary())], names=["query_id", "vec_id", "score", "wide"])
+
 
+def _block(k: int, shared):
     def run(batches):
         queries = shared.value
         state = {dim: Best(len(ids), k, floor) for dim, (ids, _, _, floor) in queries.items()}
@@ -133,9 +164,9 @@ def _block(k: int, shared):
                     own = order[at : at + BUCKET]
                     search_bucket(state[int(dim)], qid, q, qnorm, ids[own], vectors[own], norms[own])
         for dim, best in state.items():
-            yield pa.RecordBatch.from_arrays([pa.array(queries[dim][0][best.q]), pa.array(best.i), pa.array(best.s)], schema=schema)
+            yield _scored(queries[dim][0][best.q], best.i, best.s)
 
-    return run, "query_id long, vec_id long, score long"
+    return run, "query_id long, vec_id long, score long, wide binary"
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -143,9 +174,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
 
     :param is_query: condition on ``vectors`` that picks the queries.
     :returns: query_id long, rank int (from 1), vec_id long, score long; ties go to the smaller id, all candidates if fewer.
-        Components are ``floor(scale * x)`` in double. Rows without id, and vectors that are null, hold null or non-finite
-        components or integers of 2 ** 52 or more take no part. Only vectors of the same length have a product. Rows that
-        repeat a query's id share its result. Other columns are ignored.
+        Components are ``floor(scale * x)`` in double. Rows without id, and vectors that are null or hold null or
+        non-finite components, take no part. Scores beyond 64 bits rank by their whole value and are given as the nearest
+        64-bit number. Only vectors of the same length have a product. Rows that repeat an id are candidates each; of
+        queries that repeat one, the shortest and then least vector asks. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -153,32 +185,40 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     make, fields = _integers(scale)
     whole = rows.select("id", "v").mapInArrow(make, fields)
     ordered = scratch.write(whole.repartitionByRange(partitions(spark), F.col("dim"), F.desc("norm"), F.col("id")).sortWithinPartitions(F.col("dim"), F.desc("norm"), "id"), "ordered")
-    asked = scratch.write(rows.where("asks").select("id", "v").mapInArrow(make, fields), "asked")
+    asked = rows.where("asks").select("id", "v").mapInArrow(make, fields)
     seeds = {}
     for r in ordered.orderBy(F.desc("norm"), "id").limit(SEEDS).collect():
         seeds.setdefault(r.dim, []).append((r.id, r.v))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    parts = []
+    # rows of a query that is repeated go to one block; a block's rows lie together in the table
+    blocks = max(1, -(-rows.where("asks").count() // BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    asked = scratch.write(asked.repartitionByRange(min(blocks, partitions(spark)), "block", "id").sortWithinPartitions("block") if blocks > 1 else asked, "asked")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id")
+    found = None
     for b in range(blocks):
         by_dim: dict[int, list] = {}
-        for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect():
-            by_dim.setdefault(r.dim, []).append(r)
+        last = None
+        for r in asked.where(F.col("block") == b).orderBy("id", "dim", "v").collect():
+            if r.id != last:
+                by_dim.setdefault(r.dim, []).append(r)
+            last = r.id
         queries = {}
-        for dim, found in by_dim.items():
-            ids, q = np.array([r.id for r in found]), np.array([r.v for r in found], np.int64).reshape(len(found), dim)
-            floor = np.full(len(found), -(1 << 63), np.int64)
+        for dim, rows_ in by_dim.items():
+            ids, q = np.array([r.id for r in rows_]), np.array([r.v for r in rows_], np.float64).reshape(len(rows_), dim)
+            floor = np.full(len(rows_), LEAST, np.int64)
             if dim in seeds:
-                sid, sv = np.array([i for i, _ in seeds[dim]]), np.array([v for _, v in seeds[dim]], np.int64).reshape(len(seeds[dim]), dim)
+                sid, sv = np.array([i for i, _ in seeds[dim]]), np.array([v for _, v in seeds[dim]], np.float64).reshape(len(seeds[dim]), dim)
                 best = Best(len(ids), k, floor)
                 s = products(q, sv)
                 x, y = np.nonzero(sid[None, :] != ids[:, None])
                 best.add(x, s[x, y], sid[y])
                 floor = best.floor
-            queries[dim] = ids, q, np.array([r.norm for r in found]), floor
-        search, out = _block(k, spark.sparkContext.broadcast(queries))
-        parts.append(ordered.mapInArrow(search, out))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            queries[dim] = ids, q, np.array([r.norm for r in rows_]), floor
+        shared = spark.sparkContext.broadcast(queries)
+        search, out = _block(k, shared)
+        part = ordered.mapInArrow(search, out).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            part = scratch.write(part, "found")
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -142,7 +142,7 @@ _INDEX = pa.schema([("page_id", pa.int64()), ("path", pa.string()), ("frame", pa
 
 def first_of_payload(pages: DataFrame, least: int = 100) -> DataFrame:
     """Of pages whose payload another page of a smaller id has: page_id and that smallest page_id as refers_to."""
-    facts = pages.where(F.col("page_id").isNotNull() & (F.octet_length(F.coalesce("html", F.lit(""))) >= least)).select("page_id", F.sha2("html", 256).alias("digest"))
+    facts = pages.where(F.col("page_id").isNotNull() & (F.octet_length(F.coalesce("html", F.lit(""))) >= least)).select("page_id", F.unhex(F.sha2("html", 256)).alias("digest"))
     first = facts.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to <> last")
     return facts.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     folder = folder or f"{scratch.root}/bundles"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     again = first_of_payload(rows, least)
-    keyed = rows.withColumn("digest", F.sha2("html", 256)).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    keyed = rows.withColumn("digest", F.unhex(F.sha2("html", 256))).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches):
         bundle, n = _Bundle(folder), 0
@@ -217,6 +217,22 @@ def read_archives(paths: DataFrame) -> DataFrame:
     return files.repartition(partitions(files.sparkSession), "path").mapInArrow(run, RECORDS)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """What each record stands for: page_id, payload_bytes long and payload_digest of the full payload, record_type, refers_to.
+
+    ``records`` has the columns of ``RECORDS`` and is read once. A response's figures come from its payload; a revisit's
+    from the payload of the response with the id and the digest that its header names (null if there is none). Only
+    revisits, and responses that may be meant, meet in a join.
+    """
+    slim = records.select("page_id", "record_type", "refers_to", F.col("digest").alias("named"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    slim = Scratch(records.sparkSession, "warc").write(slim, "records")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses, revisits = slim.where("record_type = 'response'"), slim.where("record_type = 'revisit'")
+    stored = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("named")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    found = revisits.select("page_id", "record_type", "refers_to", "named").join(stored, ["refers_to", "named"], "left")
+    return responses.select(*out).unionByName(found.withColumn("payload_digest", F.when(F.col("payload_bytes").isNotNull(), F.col("named"))).select(*out))
+
+
 def fetch(index: DataFrame) -> DataFrame:
     """The records that rows of an index point to, by unpacking only their frames."""
 

@@ -51,6 +51,15 @@ def test_archives(spark, tmp_path):
             assert len(list(warc.parse(s.read()))) == index.where(F.col("path").endswith(f.name)).count()
 
 
+def test_resolved_records_of_repeated_ids(spark):
+    """A revisit stands for the payload of its digest, also where the page it refers to has another one besides."""
+    x, y, z = ("<p>" + c * 200 for c in "xyz")
+    rows = [(3, "u", x, None), (3, "u", y, None), (5, "u", y, None), (6, "u", x, None), (3, "u", z, None), (9, "u", z + "!", None), (9, "u", z + "!", None), (7, "u", None, None)]
+    found = warc.resolved(warc.read_archives(warc.write_archives(spark.createDataFrame(rows, PAGES)))).collect()
+    want = [(i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if i in (5, 6) else "response", 3 if i in (5, 6) else None) for i, _, h, _ in rows]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
 def test_small_bundles_and_frames(spark, tmp_path, monkeypatch):
     b = warc._Bundle(f"file://{tmp_path}")
     monkeypatch.setattr(warc, "FRAME_BYTES", 1000)
@@ -129,12 +138,12 @@ VECTORS = "vec_id long, embedding array<double>, label int, score int"
 
 
 def plain_top(rows, k):
-    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(1024 * x) for x in v)]
     out = []
-    for q, v in ok:
-        if q % 10 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    asks = {i: v for i, v in sorted(ok, key=lambda r: (r[0], len(r[1]), r[1]), reverse=True) if i % 10 == 0}
+    for q, v in asks.items():
+        found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
 
@@ -146,8 +155,10 @@ def test_top_k(spark, monkeypatch, block, bucket, seeds):
     rows = [(k, (rng.standard_normal(8) * rng.gamma(0.5)).tolist(), 0, 0) for k in range(300)]
     rows += [(300 + k, rows[10][1], 0, 0) for k in range(30)]  # ties
     rows += [(400, [0.0] * 8, 0, 0), (401, None, 0, 0), (402, [1.0, None] * 4, 0, 0), (403, [float("nan")] * 8, 0, 0), (410, [float("inf")] * 8, 0, 0), (420, [1.0, 2.0], 0, 0), (421, [3.0, 1.0], 0, 0), (430, [], 0, 0), (None, [1.0] * 8, 0, 0), (440, [1e7] * 8, 0, 0), (441, [-1e7] * 8, 0, 0)]
+    rows += [(450, [5e12] + [0.0] * 7, 0, 0), (451, [3e38] * 8, 0, 0), (452, [3e38] * 7 + [2.9e38], 0, 0), (460, [-3e38, 1.0] * 4, 0, 0), (461, [1e250] * 8, 0, 0), (470, [1e307, 1e300] * 4, 0, 0), (20, rows[20][1], 0, 0), (30, rows[31][1], 0, 0), (33, rows[31][1], 0, 0)]
     found = topk.exact_top_k(spark.createDataFrame(rows, VECTORS).repartition(4), F.col("vec_id") % 10 == 0, 10).collect()
-    assert sorted(map(tuple, found)) == plain_top(rows, 10)
+    held = lambda x: max(-(1 << 63), min(x, (1 << 63) - 1))
+    assert sorted(map(tuple, found)) == [(*r[:3], held(r[3])) for r in plain_top(rows, 10)]
 
 
 def test_top_k_of_nothing(spark):
