@@ -42,14 +42,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class linked by 5-word shingles at 0.8; of rows that repeat an id, one."""
-    found = Scratch(spark, "near").write(jaccard_components(docs, n=5, percent=80), "classes")
-    kept = _without(spark, docs, found.where("doc_id <> component_id").select("doc_id"), "near")
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    again = Scratch(spark, "near").write(again, "again")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    """One document of each class linked by 5-word shingles at 0.8: a row of the smallest id.
+
+    Rows that repeat an id are documents each. Rows without id, and texts without words, link with nothing and stay.
+    """
+    scratch = Scratch(spark, "near")
+    found = scratch.write(jaccard_components(docs, n=5, percent=80, detail=True).where("class_id is not null"), "classes")
+    # rows of the smallest id: more than one where an id is repeated
+    heads = found.where("doc_id = component_id").groupBy("class_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).where("n > 1")
+    heads = scratch.write(heads.select("class_id", F.col("text_hash").alias("head")), "heads")
+    gone, repeated = found.where("doc_id <> component_id"), heads.count()
+    if repeated:
+        own = found.where("doc_id = component_id").join(F.broadcast(heads) if repeated <= BROADCAST_IDS else heads, "class_id")
+        gone = gone.select("doc_id", "text_hash").unionByName(own.where("text_hash <> head").select("doc_id", "text_hash"))
+    gone = scratch.write(gone.select("doc_id", "text_hash").distinct(), "gone")
+    marked = docs.withColumn("text_hash", F.xxhash64("text"))
+    kept = marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["doc_id", "text_hash"], "left_anti")
+    if repeated:
+        again = scratch.write(own.where("text_hash = head").select("doc_id", "text_hash").distinct(), "again")
+        kept = kept.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(kept.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return kept.select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
