@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from deltaforge.operators.choose import SCATTER
 from deltaforge.operators.diff import EPS, known
 
 #: Fixed values of the 8-bit encoding: largest code, and largest value below which the scale is 1.
@@ -11,7 +12,7 @@ TOP = 127
 TINY = 1e-10
 
 
-def sparse_encode(deltas: DataFrame, threshold: float = EPS) -> DataFrame:
+def nonzero_encode(deltas: DataFrame, threshold: float = EPS) -> DataFrame:
     """(layer, idx, value) of the elements of at least the threshold."""
     return deltas.where(known(F.col("delta"), threshold)).select("layer", "idx", F.col("delta").alias("value"))
 
@@ -21,12 +22,12 @@ def last_of_each(encoded: DataFrame, order: str = "ord") -> DataFrame:
     return encoded.groupBy("layer", "idx").agg(F.max_by("value", order).alias("value"))
 
 
-def sparse_decode(encoded: DataFrame, places: DataFrame) -> DataFrame:
+def scatter_decode(encoded: DataFrame, places: DataFrame) -> DataFrame:
     """Scatter into zeros: a value for every place (layer, idx); indices beyond them are ignored."""
     return places.select("layer", "idx").join(encoded.select("layer", "idx", "value"), ["layer", "idx"], "left").select("layer", "idx", F.coalesce("value", F.lit(0).cast("float")).alias("delta"))
 
 
-def apply_sparse(base: DataFrame, encoded: DataFrame) -> DataFrame:
+def apply_scattered(base: DataFrame, encoded: DataFrame) -> DataFrame:
     """Add values in place: those of one index add up, indices beyond the base are ignored."""
     total = encoded.groupBy("layer", "idx").agg(F.sum(F.col("value").cast("double")).cast("float").alias("delta"))
     return base.join(total, ["layer", "idx"], "left").select("layer", "idx", (F.col("value") + F.coalesce("delta", F.lit(0).cast("float"))).cast("float").alias("value"))
@@ -81,10 +82,6 @@ def hybrid_decode(exact: DataFrame, codes: DataFrame, places: DataFrame) -> Data
     return held.select("layer", "idx", F.coalesce("value", (F.col("q").cast("float") * F.col("scale")), F.lit(0).cast("float")).alias("delta"))
 
 
-def full_encode(deltas: DataFrame) -> DataFrame:
-    return deltas.select("layer", "idx", F.col("delta").alias("value"))
-
-
 def coordinates(idx: Column, shape: list[int]) -> Column:
     """Places in a tensor of this shape, row by row, of a flat index."""
     out, stride = [], 1
@@ -99,18 +96,18 @@ def tile_size(n: Column) -> Column:
 
 
 def packed_bytes(method: Column, numel: Column, nonzero: Column, dense_bytes: Column | None = None, profile: str = "standard") -> Column:
-    """Bytes a layer takes: of 4 + 2 a sparse value, 1 a code and 4 a scale, 2 an element stored whole.
+    """Bytes a layer takes: 4 + 2 for a value by place, 1 a code and 4 a scale, 2 an element stored whole.
 
     Profile ``streaming`` counts no scale, and its hybrid 6 a value and the codes' bytes.
     """
-    out = F.when(method == "zero", 0).when(method == "sparse", 6 * nonzero).when(method == "int8", numel + (0 if profile == "streaming" else 4))
+    out = F.when(method == "zero", 0).when(method == SCATTER, 6 * nonzero).when(method == "int8", numel + (0 if profile == "streaming" else 4))
     if profile == "streaming":
         out = out.when(method == "hybrid", 6 * nonzero + (F.lit(0) if dense_bytes is None else dense_bytes))
     return out.otherwise(2 * numel).cast("long")
 
 
 def changed(method: Column, numel: Column, nonzero: Column) -> Column:
-    return F.when(method == "zero", 0).when(method == "sparse", nonzero).otherwise(numel).cast("long")
+    return F.when(method == "zero", 0).when(method == SCATTER, nonzero).otherwise(numel).cast("long")
 
 
 def every_kth_layer(meta: DataFrame, k: int, least: int = 1_000_000, part: str = "weight") -> DataFrame:

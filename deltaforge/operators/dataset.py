@@ -10,6 +10,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from deltaforge.session import written
+
+#: Positions that are numbered in one task.
+CHUNK = 1_000_000
+
 
 def number(rows: DataFrame, order: list[str], splits: list[str] | None = None, one_task: int = 10_000_000) -> DataFrame:
     """Add ``pos``: a window over each split while tables are small, else range partitions with counts before them.
@@ -20,8 +25,8 @@ def number(rows: DataFrame, order: list[str], splits: list[str] | None = None, o
     splits = splits or []
     if rows.count() <= one_task:
         return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*splits).orderBy(*order)).cast("long") - 1)
-    dealt = rows.repartitionByRange(*splits, *order).sortWithinPartitions(*splits, *order)
-    dealt = dealt.withColumn("_part", F.spark_partition_id()).persist()
+    dealt = rows.repartitionByRange(*splits, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "numbered")  # ranges are drawn by sampling, so they must be the same for both uses
     sizes = dealt.groupBy("_part", *splits).agg(F.count("*").alias("_n"))
     ahead = sizes.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(*splits).orderBy("_part")) - F.col("_n")).drop("_n")
     place = F.row_number().over(Window.partitionBy("_part", *splits).orderBy(*order)).cast("long") - 1
@@ -62,9 +67,15 @@ def references(base: DataFrame, derived: DataFrame, splits: list[str] | None = N
     """
     splits = splits or []
     found = _matched(base, derived, splits, match).withColumn("type", F.when(F.col("base_index").isNotNull(), "reference").otherwise("new"))
-    new = F.col("type") == "new"
-    w = Window.partitionBy(*splits).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("new_index", F.when(new, F.sum(new.cast("long")).over(w) - 1))
+    found = found.withColumn("_chunk", F.floor(F.col("pos") / CHUNK))
+    # new rows are counted by chunk of positions, then within each
+    counts = found.groupBy(*splits, "_chunk").agg(F.count_if(F.col("type") == "new").alias("_k"))
+    ahead = counts.select(*splits, "_chunk", (F.sum("_k").over(Window.partitionBy(*splits).orderBy("_chunk")) - F.col("_k")).alias("_ahead"))
+    on = reduce(lambda a, b: a & b, [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in [*splits, "_chunk"]])
+    w = Window.partitionBy(*[f"f.{c}" for c in splits], "f._chunk").orderBy("f.pos").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.col("f.type") == "new"
+    index = F.when(new, F.col("a._ahead") + F.sum(new.cast("long")).over(w) - 1)
+    return found.alias("f").join(ahead.alias("a"), on).select(*[f"f.`{c}`" for c in found.columns if c != "_chunk"], index.alias("new_index"))
 
 
 def new_rows(refs: DataFrame, splits: list[str] | None = None) -> DataFrame:

@@ -21,27 +21,26 @@ def add_model(edges: DataFrame, model_id: str, parent: str | None = None) -> Dat
 
 def depths(edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Hops to the base: its direct children have 0. Models on or below a cycle, or whose ancestors are lost, have none."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_family_edges")
-    return spark.sql(
+    return edges.sparkSession.sql(
         f"""
         WITH RECURSIVE walk(model_id, depth) MAX RECURSION LEVEL {levels} AS (
-          SELECT model_id, 0 FROM _family_edges WHERE parent_id = '{BASE}' OR parent_id IS NULL
-          UNION ALL SELECT e.model_id, w.depth + 1 FROM walk w JOIN _family_edges e ON e.parent_id = w.model_id
-        ) SELECT model_id, CAST(depth AS BIGINT) AS depth FROM walk"""
+          SELECT model_id, 0 FROM {{edges}} WHERE parent_id = '{BASE}' OR parent_id IS NULL
+          UNION ALL SELECT e.model_id, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.parent_id = w.model_id
+        ) SELECT model_id, CAST(depth AS BIGINT) AS depth FROM walk""",
+        edges=edges,
     )
 
 
 def chains(edges: DataFrame, models: list[str] | None = None, levels: int = LEVELS) -> DataFrame:
     """(model_id, chain): from the base to the model. An unknown model hangs on the base."""
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("_family_edges")
     found = spark.sql(
         f"""
         WITH RECURSIVE walk(model_id, chain) MAX RECURSION LEVEL {levels} AS (
-          SELECT model_id, array('{BASE}', model_id) FROM _family_edges WHERE parent_id = '{BASE}' OR parent_id IS NULL
-          UNION ALL SELECT e.model_id, array_append(w.chain, e.model_id) FROM walk w JOIN _family_edges e ON e.parent_id = w.model_id
-        ) SELECT model_id, chain FROM walk"""
+          SELECT model_id, array('{BASE}', model_id) FROM {{edges}} WHERE parent_id = '{BASE}' OR parent_id IS NULL
+          UNION ALL SELECT e.model_id, array_append(w.chain, e.model_id) FROM walk w JOIN {{edges}} e ON e.parent_id = w.model_id
+        ) SELECT model_id, chain FROM walk""",
+        edges=edges,
     )
     if models is None:
         return found

@@ -8,7 +8,6 @@ base and fine-tune meet by block, and all that is gathered is a row a layer.
 from __future__ import annotations
 
 import json
-import uuid
 from datetime import UTC, datetime
 
 import numpy as np
@@ -81,8 +80,8 @@ def encode_blocks(deltas: DataFrame, layers: DataFrame) -> DataFrame:
                 d = np.asarray(r["delta"], np.float32)
                 positions = values = codes = scale = None
                 size = np.nan_to_num(np.abs(d), nan=0.0)
-                if r["method"] in ("sparse", "hybrid"):
-                    keep = (size >= np.float32(r["threshold"])) if r["method"] == "sparse" else (size > np.float32(r["threshold"]))
+                if r["method"] in (choose.SCATTER, "hybrid"):
+                    keep = (size >= np.float32(r["threshold"])) if r["method"] == choose.SCATTER else (size > np.float32(r["threshold"]))
                     positions = np.flatnonzero(keep).astype(np.int32)
                     values = d[positions]
                     d, size = np.where(keep, np.float32(0), d), np.where(keep, 0, size)
@@ -217,6 +216,3 @@ def reconstruct_dataset(base: DataFrame, folder: str, splits: list[str] | None =
     spark = base.sparkSession
     return ds.reconstruct(base, spark.read.parquet(f"{folder}/refs"), spark.read.parquet(f"{folder}/new"), splits)
 
-
-def fresh(folder: str) -> str:
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

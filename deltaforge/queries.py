@@ -17,7 +17,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("@scatter", f"'{choose.SCATTER}'")
         return f
 
     return add
@@ -49,12 +49,12 @@ _TYPE = """, ty AS (
 )"""
 _METHOD = """, me AS (
   SELECT st.*, layer_type, CASE WHEN max_abs < 1e-8::DOUBLE THEN 'zero'
-    WHEN layer_type = 'attention' THEN CASE WHEN sparsity > 0.85::DOUBLE THEN 'sparse' WHEN max_abs < 0.1::DOUBLE THEN 'int8' ELSE 'hybrid' END
-    WHEN layer_type = 'feedforward' THEN CASE WHEN sparsity > 0.95::DOUBLE THEN 'sparse' ELSE 'int8' END
-    WHEN layer_type = 'embedding' THEN CASE WHEN sparsity > 0.80::DOUBLE THEN 'sparse' ELSE 'int8' END
+    WHEN layer_type = 'attention' THEN CASE WHEN sparsity > 0.85::DOUBLE THEN @scatter WHEN max_abs < 0.1::DOUBLE THEN 'int8' ELSE 'hybrid' END
+    WHEN layer_type = 'feedforward' THEN CASE WHEN sparsity > 0.95::DOUBLE THEN @scatter ELSE 'int8' END
+    WHEN layer_type = 'embedding' THEN CASE WHEN sparsity > 0.80::DOUBLE THEN @scatter ELSE 'int8' END
     WHEN layer_type = 'normalization' THEN 'int8'
-    WHEN layer_type = 'output' THEN CASE WHEN sparsity > 0.90::DOUBLE THEN 'sparse' ELSE 'int8' END
-    ELSE CASE WHEN sparsity > 0.90::DOUBLE THEN 'sparse' WHEN max_abs < 0.15::DOUBLE THEN 'int8' ELSE 'hybrid' END END AS method
+    WHEN layer_type = 'output' THEN CASE WHEN sparsity > 0.90::DOUBLE THEN @scatter ELSE 'int8' END
+    ELSE CASE WHEN sparsity > 0.90::DOUBLE THEN @scatter WHEN max_abs < 0.15::DOUBLE THEN 'int8' ELSE 'hybrid' END END AS method
   FROM st JOIN ty USING (layer)
 )"""
 _SCALE = """, sc AS (
@@ -68,7 +68,7 @@ _QUANT = """, qu AS (
     avg(CAST(delta AS DOUBLE)) AS mean, stddev_samp(CAST(delta AS DOUBLE)) AS std FROM d GROUP BY layer
 )"""
 _PARAMS = """, pa AS (
-  SELECT me.layer, method, CASE WHEN method = 'sparse' THEN greatest(1e-6::DOUBLE, q25) WHEN method = 'hybrid' THEN median END AS threshold FROM me JOIN qu USING (layer)
+  SELECT me.layer, method, CASE WHEN method = @scatter THEN greatest(1e-6::DOUBLE, q25) WHEN method = 'hybrid' THEN median END AS threshold FROM me JOIN qu USING (layer)
 )"""
 M = fx.MODEL_SQL
 
@@ -112,7 +112,7 @@ def layer_type(spark, sf_dir):
     return fx.base_model(spark, sf_dir).select("layer").distinct().select("layer", choose.layer_type(F.col("layer")).alias("layer_type"))
 
 
-@query(M + _STATS + " SELECT layer, CASE WHEN max_abs < 1e-8::DOUBLE THEN 'zero' WHEN sparsity > 0.90::DOUBLE THEN 'sparse' ELSE 'int8' END AS method FROM st")
+@query(M + _STATS + " SELECT layer, CASE WHEN max_abs < 1e-8::DOUBLE THEN 'zero' WHEN sparsity > 0.90::DOUBLE THEN @scatter ELSE 'int8' END AS method FROM st")
 def method_basic(spark, sf_dir):
     """Encodings by statistics alone."""
     return diff.layer_stats(_deltas(spark, sf_dir)).select("layer", choose.method("basic").alias("method"))
@@ -141,7 +141,7 @@ def compression_params(spark, sf_dir):
 @query(
     M + _STATS + _TYPE + _METHOD + _QUANT + _PARAMS + """, ct AS (
   SELECT layer, method, count(*) AS n, count(*) FILTER (WHERE CAST(abs(delta) AS DOUBLE) > threshold) AS k FROM d JOIN pa USING (layer) GROUP BY layer, method
-) SELECT layer, method, round(CAST(2 * n AS DOUBLE) / CASE method WHEN 'sparse' THEN nullif(5 * k, 0) WHEN 'int8' THEN n + 4 WHEN 'hybrid' THEN 5 * k + (n - k) + 4 END, 6) AS ratio FROM ct"""
+) SELECT layer, method, round(CAST(2 * n AS DOUBLE) / CASE method WHEN @scatter THEN nullif(5 * k, 0) WHEN 'int8' THEN n + 4 WHEN 'hybrid' THEN 5 * k + (n - k) + 4 END, 6) AS ratio FROM ct"""
 )
 def estimated_ratio(spark, sf_dir):
     """How much smaller each layer should get; null for unchanged layers."""
@@ -153,21 +153,21 @@ _KEEP = "abs(delta) >= CAST(1e-6 AS FLOAT)"
 
 
 @query(M + f" SELECT layer, idx, delta AS value FROM d WHERE {_KEEP}")
-def sparse_encode(spark, sf_dir):
+def nonzero_encode(spark, sf_dir):
     """Elements that change."""
-    return codec.sparse_encode(_deltas(spark, sf_dir))
+    return codec.nonzero_encode(_deltas(spark, sf_dir))
 
 
 @query(M + f" SELECT layer, idx, CASE WHEN {_KEEP} THEN delta ELSE CAST(0 AS FLOAT) END AS delta FROM d")
-def sparse_decode(spark, sf_dir):
+def scatter_decode(spark, sf_dir):
     """Changed elements scattered into zeros."""
-    return codec.sparse_decode(codec.sparse_encode(_deltas(spark, sf_dir)), fx.base_model(spark, sf_dir))
+    return codec.scatter_decode(codec.nonzero_encode(_deltas(spark, sf_dir)), fx.base_model(spark, sf_dir))
 
 
 @query(M + f" SELECT layer, idx, CAST(CASE WHEN {_KEEP} THEN base + delta ELSE base END AS FLOAT) AS value FROM d")
-def sparse_apply(spark, sf_dir):
+def scatter_apply(spark, sf_dir):
     """Changed elements added to the base."""
-    return codec.apply_sparse(fx.base_model(spark, sf_dir), codec.sparse_encode(_deltas(spark, sf_dir)))
+    return codec.apply_scattered(fx.base_model(spark, sf_dir), codec.nonzero_encode(_deltas(spark, sf_dir)))
 
 
 _DUP = "(VALUES ('l', CAST(0 AS BIGINT), 1.0, 0), ('l', 5, 2.0, 1), ('l', 0, 4.0, 2), ('l', 10, 3.0, 3), ('l', 99, 7.0, 4)) t(layer, idx, value, ord)"
@@ -178,17 +178,17 @@ def _repeats(spark):
 
 
 @query(f"SELECT 'l' AS layer, r.range AS idx, CAST(coalesce(v.value, 0) AS FLOAT) AS delta FROM range(15) r LEFT JOIN (SELECT idx, arg_max(value, ord) AS value FROM (SELECT * FROM {_DUP}) GROUP BY idx) v ON v.idx = r.range")
-def sparse_duplicate_last_wins(spark, sf_dir):
+def scatter_last_wins(spark, sf_dir):
     """Decoding repeated indices: the last counts, those out of range are ignored."""
     encoded, places = _repeats(spark)
-    return codec.sparse_decode(codec.last_of_each(encoded), places)
+    return codec.scatter_decode(codec.last_of_each(encoded), places)
 
 
 @query(f"SELECT 'l' AS layer, r.range AS idx, CAST(1 + coalesce(v.value, 0) AS FLOAT) AS value FROM range(15) r LEFT JOIN (SELECT idx, sum(value) AS value FROM (SELECT * FROM {_DUP}) GROUP BY idx) v ON v.idx = r.range")
-def sparse_duplicate_accumulate(spark, sf_dir):
+def scatter_accumulate(spark, sf_dir):
     """Applying repeated indices: they add up."""
     encoded, base = _repeats(spark)
-    return codec.apply_sparse(base, encoded)
+    return codec.apply_scattered(base, encoded)
 
 
 @query(M + _SCALE + " SELECT layer, scale FROM sc")
@@ -266,7 +266,7 @@ def hybrid_decode(spark, sf_dir):
     return codec.hybrid_decode(*_hybrid(spark, sf_dir), fx.base_model(spark, sf_dir))
 
 
-_BYTES = ", mb AS (SELECT *, 2 * numel AS ob, CASE method WHEN 'zero' THEN 0 WHEN 'sparse' THEN 6 * nonzero WHEN 'int8' THEN numel + 4 ELSE 2 * numel END AS cb, CASE method WHEN 'zero' THEN 0 WHEN 'sparse' THEN nonzero ELSE numel END AS ch FROM me)"
+_BYTES = ", mb AS (SELECT *, 2 * numel AS ob, CASE method WHEN 'zero' THEN 0 WHEN @scatter THEN 6 * nonzero WHEN 'int8' THEN numel + 4 ELSE 2 * numel END AS cb, CASE method WHEN 'zero' THEN 0 WHEN @scatter THEN nonzero ELSE numel END AS ch FROM me)"
 
 
 def _sizes(spark, sf_dir):
@@ -289,7 +289,7 @@ def model_manifest(spark, sf_dir):
 
 
 _REBUILT = _SCALE + f""", rb AS (
-  SELECT q8.layer, idx, base, ft, method, CAST(base + CASE method WHEN 'zero' THEN CAST(0 AS FLOAT) WHEN 'sparse' THEN CASE WHEN {_KEEP} THEN delta ELSE CAST(0 AS FLOAT) END
+  SELECT q8.layer, idx, base, ft, method, CAST(base + CASE method WHEN 'zero' THEN CAST(0 AS FLOAT) WHEN @scatter THEN CASE WHEN {_KEEP} THEN delta ELSE CAST(0 AS FLOAT) END
     WHEN 'int8' THEN CAST(CAST(q AS FLOAT) * scale AS FLOAT) ELSE CASE WHEN abs(delta) > CAST(1e-6 AS FLOAT) THEN delta ELSE CAST(0 AS FLOAT) END END AS FLOAT) AS value FROM q8 JOIN me USING (layer)
 )"""
 
@@ -301,8 +301,8 @@ def _rebuilt(spark, sf_dir):
     of = lambda m: named.where(F.col("method") == m).drop("method")
     coded = codec.int8_decode(codec.int8_encode(of("int8"), codec.int8_scales(of("int8"))))
     exact = codec.hybrid_encode(of("hybrid"))[0]
-    delta = codec.sparse_encode(of("sparse")).withColumnRenamed("value", "delta").unionByName(coded).unionByName(exact.withColumnRenamed("value", "delta"))
-    return codec.apply_sparse(base, delta.withColumnRenamed("delta", "value")), named
+    delta = codec.nonzero_encode(of(choose.SCATTER)).withColumnRenamed("value", "delta").unionByName(coded).unionByName(exact.withColumnRenamed("value", "delta"))
+    return codec.apply_scattered(base, delta.withColumnRenamed("delta", "value")), named
 
 
 @query(M + _STATS + _TYPE + _METHOD + _REBUILT + " SELECT layer, idx, value FROM rb")

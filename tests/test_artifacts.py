@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaforge import cache, cli, fixtures, functions as fn, model
-from deltaforge.operators import dataset as ds, family
+from deltaforge.operators import choose, dataset as ds, family
 from deltaforge.plans import artifact, lossy
 from deltaforge.sources import tensors
 from tests.conftest import rows
@@ -42,7 +42,7 @@ def test_lost_payload_is_an_error(spark, models, tmp_path):
 
     base, other = models
     artifact.compress_model(base, other, str(tmp_path))
-    shutil.rmtree(tmp_path / "encoded" / "method=sparse")
+    shutil.rmtree(tmp_path / "encoded" / f"method={choose.SCATTER}")
     with pytest.raises(FileNotFoundError):
         artifact.reconstruct_model(base, str(tmp_path))
 

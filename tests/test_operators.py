@@ -16,19 +16,19 @@ def by_idx(df, column):
     return [r[column] for r in df.orderBy("idx").collect()]
 
 
-def test_sparse_literal(spark):
-    found = codec.sparse_encode(tensor(spark, [0, 1.5, 0, 2.3, 0, -1.2]))
+def test_nonzero_literal(spark):
+    found = codec.nonzero_encode(tensor(spark, [0, 1.5, 0, 2.3, 0, -1.2]))
     assert [r.idx for r in found.orderBy("idx").collect()] == [1, 3, 5]
 
 
-def test_sparse_periodic(spark):
+def test_nonzero_periodic(spark):
     rows = spark.range(100_000).select(F.lit("l").alias("layer"), F.col("id").alias("idx"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(0).cast("float").alias("delta"))
-    assert codec.sparse_encode(rows).count() == 9_999
+    assert codec.nonzero_encode(rows).count() == 9_999
 
 
 def test_nan_is_neither_kept_nor_small(spark):
     rows = spark.createDataFrame([("l", 0, float("nan")), ("l", 1, 1.0), ("l", 2, 0.0)], "layer string, idx long, delta float")
-    assert by_idx(codec.sparse_encode(rows), "idx") == [1]
+    assert by_idx(codec.nonzero_encode(rows), "idx") == [1]
     s = diff.layer_stats(rows).first()
     assert s.sparsity == pytest.approx(1 / 3) and s.nonzero == 1
     assert by_idx(codec.int8_encode(rows, codec.int8_scales(rows)), "q") == [0, 127, 0]
@@ -37,7 +37,7 @@ def test_nan_is_neither_kept_nor_small(spark):
 def test_scatter_literal(spark):
     encoded = spark.createDataFrame([("l", 0, 1.0), ("l", 5, 2.0), ("l", 10, 3.0)], "layer string, idx long, value float")
     places = spark.range(15).select(F.lit("l").alias("layer"), F.col("id").alias("idx"))
-    assert by_idx(codec.sparse_decode(encoded, places), "delta") == [1, 0, 0, 0, 0, 2, 0, 0, 0, 0, 3, 0, 0, 0, 0]
+    assert by_idx(codec.scatter_decode(encoded, places), "delta") == [1, 0, 0, 0, 0, 2, 0, 0, 0, 0, 3, 0, 0, 0, 0]
 
 
 def test_int8_apply_literal(spark):
@@ -56,7 +56,7 @@ def test_codecs_keep_their_bounds(spark, seed):
     x = np.random.default_rng(seed).standard_normal(500).astype(np.float32)
     x[np.abs(x) < 1] = 0
     d = tensor(spark, x)
-    assert np.array_equal(np.array(by_idx(codec.sparse_decode(codec.sparse_encode(d), d), "delta"), np.float32), x)
+    assert np.array_equal(np.array(by_idx(codec.scatter_decode(codec.nonzero_encode(d), d), "delta"), np.float32), x)
     scales = codec.int8_scales(d)
     back = np.array(by_idx(codec.int8_decode(codec.int8_encode(d, scales)), "delta"))
     assert np.abs(back - x).max() <= scales.first().scale / 2 + 1e-6
@@ -105,7 +105,7 @@ def test_svd_of_a_sketched_matrix():
 
 
 def test_sizes(spark):
-    row = spark.range(1).select(codec.packed_bytes(F.lit("int8"), F.lit(100), F.lit(7)).alias("a"), codec.packed_bytes(F.lit("sparse"), F.lit(100), F.lit(7)).alias("b"), codec.packed_bytes(F.lit("int8"), F.lit(100), F.lit(7), profile="streaming").alias("c"), choose.size_ratio(F.lit(10), F.lit(0)).alias("d")).first()
+    row = spark.range(1).select(codec.packed_bytes(F.lit("int8"), F.lit(100), F.lit(7)).alias("a"), codec.packed_bytes(F.lit(choose.SCATTER), F.lit(100), F.lit(7)).alias("b"), codec.packed_bytes(F.lit("int8"), F.lit(100), F.lit(7), profile="streaming").alias("c"), choose.size_ratio(F.lit(10), F.lit(0)).alias("d")).first()
     assert (row.a, row.b, row.c, row.d) == (104, 42, 100, float("inf"))
 
 
