@@ -12,7 +12,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltaforge.plans import artifact
+from deltaforge.plans import artifact, lossy
+from deltaforge.session import shared_dir
 from deltaforge.sources.tensors import load_tensors
 
 
@@ -36,9 +37,8 @@ class BaseModelCache:
         return self.held[path]["blocks"]
 
     def _evict(self, more: float) -> None:
-        while self.held and self.size_gb() + more > self.max_gb:
-            oldest = min(self.held, key=lambda p: self.held[p]["used"])
-            self.held.pop(oldest)["blocks"].unpersist()
+        for path in outlived([(p, m["gb"], m["used"]) for p, m in self.held.items()], self.max_gb - more):
+            self.held.pop(path)["blocks"].unpersist()
 
     def size_gb(self) -> float:
         return sum(m["gb"] for m in self.held.values())
@@ -52,12 +52,32 @@ class BaseModelCache:
         return {"models": list(self.held), "size_gb": self.size_gb(), "max_gb": self.max_gb, "hits": self.hits, "misses": self.misses}
 
 
-_caches: dict[int, BaseModelCache] = {}
+_caches: dict[str, BaseModelCache] = {}
+_rebuilt: dict[str, DeltaCache] = {}
 
 
 def get_cache(spark: SparkSession, max_gb: float = 20.0) -> BaseModelCache:
-    """The session's cache; the first call sets its size."""
-    return _caches.setdefault(id(spark), BaseModelCache(spark, max_gb))
+    """The application's cache; the first call sets its size."""
+    return _caches.setdefault(spark.sparkContext.applicationId, BaseModelCache(spark, max_gb))
+
+
+def get_global_cache(spark: SparkSession, root: str | None = None, max_gb: float = 50.0) -> DeltaCache:
+    """The application's cache of rebuilt models; the first call says where it lies, by default in the shared folder."""
+    key = spark.sparkContext.applicationId
+    if key not in _rebuilt:
+        _rebuilt[key] = DeltaCache(spark, root or f"{shared_dir(spark)}/deltaforge-cache", max_gb)
+    return _rebuilt[key]
+
+
+def outlived(entries: list[tuple[str, float, float]], limit: float) -> list[str]:
+    """Of (key, size, last use) those that go, longest unused first, until the rest is within ``limit``; ties by key, the larger first."""
+    total, gone = sum(size for _, size, _ in entries), []
+    for key, size, _ in sorted(sorted(entries, key=lambda e: e[0], reverse=True), key=lambda e: e[2]):
+        if total <= limit:
+            break
+        gone.append(key)
+        total -= size
+    return gone
 
 
 @dataclass
@@ -74,6 +94,8 @@ class Job:
 class DeltaCache:
     """Models rebuilt from artifacts, by what base and artifact hold rather than where they lie, so none goes stale.
 
+    A base's content is read for its hash when its files have changed since they were last read.
+
     A rebuilt model counts when Spark has marked it whole. Jobs run in threads of the driver in a scheduler pool of their
     own; a job that has failed starts again when asked for, one that waits or runs doesn't.
     """
@@ -84,6 +106,7 @@ class DeltaCache:
         self.lock = threading.Lock()
         self.pool = ThreadPoolExecutor(workers)
         self.index = self._read()
+        self.hashes: dict[str, tuple[str, str]] = {}
 
     def _read(self) -> dict:
         empty = {"hits": 0, "misses": 0, "entries": {}}
@@ -93,8 +116,20 @@ class DeltaCache:
         artifact.write_text(self.spark, f"{self.root}/index.json", json.dumps(self.index))
 
     def key(self, base: str, delta: str) -> str:
-        manifest = artifact.read_text(self.spark, f"{delta}/manifest.json")
-        return hashlib.md5(f"{base}:{delta}:{manifest}".encode()).hexdigest()[:16]
+        return hashlib.md5(f"{self._content(base)}:{artifact.read_text(self.spark, f'{delta}/manifest.json')}".encode()).hexdigest()[:16]
+
+    def _content(self, base: str) -> str:
+        """The base's hash; read again when names, sizes or times of its files are others."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(base)
+        files = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+        seen = []
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+        state = "\n".join(sorted(seen))
+        if self.hashes.get(base, ("", ""))[0] != state:
+            self.hashes[base] = state, artifact.model_hash(load_tensors(self.spark, base))
+        return self.hashes[base][1]
 
     def path(self, key: str) -> str:
         return f"{self.root}/reconstructed/{key}"
@@ -105,10 +140,13 @@ class DeltaCache:
     def reconstructed_path(self, base: str, delta: str) -> str | None:
         """Where the rebuilt model lies, if it does; counts as a hit or a miss."""
         with self.lock:
-            found = self.is_reconstructed(base, delta)
+            key = self.key(base, delta)
+            found = artifact.exists(self.spark, f"{self.path(key)}/_SUCCESS")
             self.index["hits" if found else "misses"] += 1
+            if found and key in self.index["entries"]:
+                self.index["entries"][key]["used"] = time.time()
             self._save()
-        return self.path(self.key(base, delta)) if found else None
+        return self.path(key) if found else None
 
     def get_or_reconstruct(self, base: str, delta: str, background: bool = False, poll: float = 0.5) -> str | None:
         """The rebuilt model's path; in the background None until it is there."""
@@ -132,7 +170,7 @@ class DeltaCache:
         try:
             self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", "reconstruct")
             began, path = time.time(), self.path(job.key)
-            artifact.reconstruct_model(load_tensors(self.spark, job.base), job.delta).write.mode("overwrite").parquet(path)
+            rebuild(load_tensors(self.spark, job.base), job.delta).write.mode("overwrite").parquet(path)
             with self.lock:
                 self.index["entries"][job.key] = {"base": job.base, "delta": job.delta, "seconds": time.time() - began, "used": time.time()}
                 self._evict(job.key)
@@ -152,14 +190,11 @@ class DeltaCache:
             fs = where.getFileSystem(conf)
             return fs.getContentSummary(where).getLength() / 2**30 if fs.exists(where) else 0.0
 
-        sizes = {k: size(k) for k in self.index["entries"]}
-        for k in sorted(self.index["entries"], key=lambda k: self.index["entries"][k]["used"]):
-            if sum(sizes.values()) <= self.max_gb:
-                break
+        entries = [(k, size(k), e["used"] if k != keep else float("inf")) for k, e in self.index["entries"].items()]
+        for k in outlived(entries, self.max_gb):
             if k != keep:
                 where = jvm.org.apache.hadoop.fs.Path(self.path(k))
                 where.getFileSystem(conf).delete(where, True)
-                sizes.pop(k)
                 del self.index["entries"][k]
 
     def prefetch(self, pairs: list[tuple[str, str]]) -> list[str]:
@@ -184,13 +219,27 @@ def asdict_job(job: Job) -> dict:
         job.future = future
 
 
-def load(spark: SparkSession, path: str, base: str | None = None, mode: str = "auto", cache: DeltaCache | None = None) -> DataFrame:
-    """A model in block form: rebuilt if ``path`` is an artifact, read as it is otherwise or with mode ``full_only``."""
+def rebuild(base: DataFrame, folder: str, strict: bool = False) -> DataFrame:
+    """A model in block form from an artifact of any type: differences, low-rank factors or an adapter."""
+    kind = artifact.read_manifest(base.sparkSession, folder).get("type", "model_delta")
+    known = {"model_delta": artifact.reconstruct_model, "svd_delta": lossy.reconstruct, "adapter": artifact.reconstruct_adapter}
+    if kind not in known:
+        raise ValueError(f"{folder} is no model but a {kind}")
+    return known[kind](base, folder, strict=strict)
+
+
+def load(spark: SparkSession, path: str, base: str | None = None, mode: str = "auto", cache: DeltaCache | None = None, splits: list[str] | None = None) -> DataFrame:
+    """What ``path`` stands for: a model rebuilt from an artifact of any type, in block form; a dataset's rows, if it is a
+    dataset's artifact (``base`` is then Parquet with ``pos``); a model read as it is, otherwise or with mode ``full_only``.
+    """
     if mode not in ("auto", "prefer_delta", "full_only"):
         raise ValueError(mode)
     if mode == "full_only" or not artifact.exists(spark, f"{path}/manifest.json"):
         return load_tensors(spark, path)
-    base = base or artifact.read_manifest(spark, path)["base_id"]
+    manifest = artifact.read_manifest(spark, path)
+    base = base or manifest["base_id"]
+    if manifest.get("type") == "dataset_delta":
+        return artifact.reconstruct_dataset(spark.read.parquet(base), path, splits)
     if cache is not None:
         return spark.read.parquet(cache.get_or_reconstruct(base, path))
-    return artifact.reconstruct_model(load_tensors(spark, base), path)
+    return rebuild(load_tensors(spark, base), path)

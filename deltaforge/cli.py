@@ -54,12 +54,15 @@ def _long(spark, path: str):
 
 
 def _shapes(spark, path: str):
-    """First dimensions from the files' headers; without them every layer is a row and is stored whole."""
-    from deltaforge.sources.tensors import layer_names, shards
+    """First dimensions of the matrices among the layers."""
+    from pyspark.sql import functions as F
 
-    if path.endswith(".parquet") or not shards(path):
-        return spark.createDataFrame([], "layer string, rows long")
-    return spark.createDataFrame([(n, int(s[0])) for n, _, s in layer_names(path) if len(s) >= 2], "layer string, rows long")
+    from deltaforge.sources.tensors import shapes
+
+    found = shapes(spark, path)
+    if found is None:
+        raise ValueError(f"{path}: the layers' shapes aren't known; save models by save_tensors, with their shapes")
+    return found.where(F.size("shape") >= 2).select("layer", F.col("shape")[0].alias("rows"))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -67,6 +70,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "help":
         print(HELP)
         return 0
+    from deltaforge.cache import rebuild
     from deltaforge.operators import dataset as ds
     from deltaforge.plans import artifact, lossy
     from deltaforge.session import session
@@ -79,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
             m = artifact.compress_model(load_tensors(spark, a.base), load_tensors(spark, a.derived), a.out, a.base, a.derived, a.mode, report=say)
             print(f"{m['num_layers']} layers, {m['compression_ratio']:.2f} times smaller")
         elif a.command == "reconstruct":
-            artifact.reconstruct_model(load_tensors(spark, a.base), a.delta, a.base, a.strict).write.mode("overwrite").parquet(a.out)
+            rebuild(load_tensors(spark, a.base), a.delta, a.strict).write.mode("overwrite").parquet(a.out)
         elif a.command == "compress-lossy":
             m = lossy.compress_model_svd(_long(spark, a.base), _long(spark, a.derived), _shapes(spark, a.base), a.out, a.rank, a.base, a.derived)
             print(f"rank {m['rank']}, {m['compression_ratio']:.2f} times smaller")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from deltaforge.model import to_blocks
 from deltaforge.operators import svd
 from deltaforge.operators.diff import difference
-from deltaforge.plans.artifact import read_manifest, write_manifest
+from deltaforge.plans.artifact import check_base, read_manifest, write_manifest
 
 
 def compress_model_svd(base: DataFrame, other: DataFrame, shapes: DataFrame, folder: str, rank: int = 16, base_id: str = "base", derived_id: str = "derived") -> dict:
@@ -30,5 +31,10 @@ def reconstruct_model_svd(base: DataFrame, folder: str) -> DataFrame:
     return base.join(delta, ["layer", "idx"], "left").select("layer", "idx", (F.col("value") + F.coalesce("delta", F.lit(0).cast("float"))).cast("float").alias("value"))
 
 
-def info(spark: SparkSession, folder: str) -> dict:
-    return read_manifest(spark, folder)
+def reconstruct(base: DataFrame, folder: str, base_id: str | None = None, strict: bool = False) -> DataFrame:
+    """The same for a base in block form: the blocks of the rebuilt model."""
+    from deltaforge.model import to_long
+
+    size = base.agg(F.max(F.size("values"))).first()[0] or 1
+    check_base(base, read_manifest(base.sparkSession, folder), base_id, strict)
+    return to_blocks(reconstruct_model_svd(to_long(base), folder), size)

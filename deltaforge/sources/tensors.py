@@ -118,6 +118,33 @@ def load_layer(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.format("safetensors").load(path).where(F.col("layer") == name)
 
 
+def tensors_of(content: bytes):
+    """(name, float array) of every tensor of a small file at hand."""
+    size = struct.unpack("<Q", content[:8])[0]
+    for name, t in json.loads(content[8 : 8 + size]).items():
+        if name != "__metadata__":
+            a, b = t["data_offsets"]
+            x = np.frombuffer(content[8 + size + a : 8 + size + b], DTYPES[t["dtype"]])
+            x = (x.astype(np.uint32) << 16).view(np.float32) if t["dtype"] == "BF16" else x.astype(np.float32)
+            yield name, x.reshape(t["shape"])
+
+
+def shapes(spark: SparkSession, path: str) -> DataFrame | None:
+    """(layer, shape array<bigint>) of a model: from ``safetensors`` headers, or as ``save_tensors`` has kept them; None if not known."""
+    from deltaforge.plans.artifact import exists
+
+    if path.endswith(".safetensors") or (not path.endswith(".parquet") and shards(path)):
+        return spark.createDataFrame([(n, s) for n, _, s in layer_names(path)], "layer string, shape array<bigint>")
+    return spark.read.parquet(f"{path}/_shapes") if exists(spark, f"{path}/_shapes") else None
+
+
+def save_tensors(blocks: DataFrame, path: str, shapes: DataFrame | None = None) -> None:
+    """Blocks as Parquet, with the layers' shapes beside them, in a folder that readers of the blocks pass over."""
+    blocks.write.mode("overwrite").parquet(path)
+    if shapes is not None:
+        shapes.select("layer", F.col("shape").cast("array<bigint>").alias("shape")).write.mode("overwrite").parquet(f"{path}/_shapes")
+
+
 def write_safetensors(tensors: dict[str, np.ndarray], path: str) -> None:
     """Write arrays that are at hand, such as test inputs, as one file."""
     header, at, parts = {}, 0, []
