@@ -24,6 +24,43 @@ class Timing:
         return self.elements / max(self.seconds, 1e-9)
 
 
+@dataclass
+class Comparison:
+    """The same work done in two ways."""
+
+    one: Timing
+    other: Timing
+
+    @property
+    def speedup(self) -> float:
+        return self.one.seconds / max(self.other.seconds, 1e-9)
+
+
+@dataclass
+class StreamResult:
+    """What a stream of layers has done."""
+
+    layers: int
+    elements: int
+    seconds: float
+
+    @property
+    def megabytes_per_second(self) -> float:
+        """At two bytes an element."""
+        return 2 * self.elements / max(self.seconds, 1e-9) / 1e6
+
+
+@dataclass
+class Rebuilt:
+    """A model's reconstruction: where it lies, how long it took, or why it failed."""
+
+    success: bool
+    seconds: float
+    path: str | None = None
+    layers: int = 0
+    error: str | None = None
+
+
 def timed(what: str, df: DataFrame, elements: int, times: int = 1) -> Timing:
     """The median time of running a plan whole, without keeping its result."""
     seen = []
@@ -46,21 +83,52 @@ def extrapolated(timing: Timing) -> dict[int, float]:
     return {b: b * 1e9 / timing.per_second for b in SIZES}
 
 
-def long_or_blocks(spark: SparkSession, n: int = 1_000_000, block: int = 65_536) -> tuple[Timing, Timing, float]:
-    """Differences of n elements in long and in block form, and how many times faster blocks are."""
+def long_or_blocks(spark: SparkSession, n: int = 1_000_000, block: int = 65_536) -> Comparison:
+    """Differences of n elements in long and in block form."""
     from deltaforge.operators.diff import block_differences, difference
 
     long = spark.range(n).select(F.lit("l").alias("layer"), F.col("id").alias("idx"), F.sin("id").cast("float").alias("value"))
     made = spark.range(-(-n // block)).select(F.lit("l").alias("layer"), F.col("id").alias("block_id"), (F.col("id") * block).alias("start"), F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: i.cast("float")).alias("values"))
-    a = timed("long", difference(long, long), n)
-    b = timed("blocks", block_differences(made, made), n)
-    return a, b, a.seconds / max(b.seconds, 1e-9)
+    return Comparison(timed("long", difference(long, long), n), timed("blocks", block_differences(made, made), n))
 
 
-def parallel_speedup(spark: SparkSession, n: int = 1_000_000, parts: int | None = None) -> tuple[Timing, Timing, float]:
-    """Encoding n elements in one partition and in many, and how many times faster many are."""
+def parallel_speedup(spark: SparkSession, n: int = 1_000_000, parts: int | None = None) -> Comparison:
+    """Encoding n elements in one partition and in many."""
     parts = parts or spark.sparkContext.defaultParallelism
     scales = spark.createDataFrame([("l", 0.01)], "layer string, scale float")
     rows = lambda k: spark.range(0, n, 1, k).select(F.lit("l").alias("layer"), F.col("id").alias("idx"), F.sin("id").cast("float").alias("delta"))
     one, many = (timed(what, codec.int8_encode(rows(k), scales), n) for what, k in (("one partition", 1), (f"{parts} partitions", parts)))
-    return one, many, one.seconds / max(many.seconds, 1e-9)
+    return Comparison(one, many)
+
+
+def stream_benchmark(spark: SparkSession, layers: int = 4, elements: int = 65_536, files: int = 1) -> tuple[StreamResult, Comparison]:
+    """Applying ``layers`` layers of one block each as they arrive, ``files`` files a batch, and all in one batch plan."""
+    from deltaforge.plans.artifact import ENCODED, apply_blocks
+    from deltaforge.session import written
+    from deltaforge.streaming.layers import apply_block_stream
+
+    block = lambda name, x: F.transform(F.sequence(F.lit(0), F.lit(elements - 1)), lambda i: x).alias(name)
+    rows = spark.range(0, layers, 1, layers).select(F.concat(F.lit("layer"), "id").alias("layer"), F.lit(0).cast("long").alias("block_id"), F.lit(0).cast("long").alias("start"))
+    base = written(rows.select("*", block("values", F.lit(0).cast("float"))), "stream-base")
+    full = rows.select("*", F.lit(elements).cast("long").alias("n"), F.lit("full").alias("method"), F.lit(None).cast("array<int>").alias("positions"), block("values", F.lit(0.001).cast("float")), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("scale"))
+    encoded = written(full.select(*[c.split(" ")[0] for c in ENCODED.split(", ")]), "stream-in")
+    folder = encoded.inputFiles()[0].rsplit("/", 1)[0]
+    whole = timed("one batch", apply_blocks(base, encoded), layers * elements)
+    began = time.perf_counter()
+    apply_block_stream(base, folder, f"{folder}-out", f"{folder}-state", files).awaitTermination()
+    seconds = time.perf_counter() - began
+    return StreamResult(layers, layers * elements, seconds), Comparison(Timing("stream", layers * elements, seconds), whole)
+
+
+def rebuilt(spark: SparkSession, base: str, folder: str, out: str) -> Rebuilt:
+    """Rebuild a model and say how it went."""
+    from deltaforge.cache import rebuild
+    from deltaforge.sources.tensors import load_tensors
+
+    began = time.perf_counter()
+    try:
+        rebuild(load_tensors(spark, base), folder).write.mode("overwrite").parquet(out)
+        layers = spark.read.parquet(out).select("layer").distinct().count()
+        return Rebuilt(True, time.perf_counter() - began, out, layers)
+    except Exception as e:
+        return Rebuilt(False, time.perf_counter() - began, error=str(e).splitlines()[0])

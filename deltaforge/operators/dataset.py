@@ -6,6 +6,7 @@ contract, so positions are always explicit; ``number`` gives them without sortin
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -118,6 +119,31 @@ def estimate(base: DataFrame, derived: DataFrame, sample: int = 1000, payload: l
     return got.select("shared", "new", F.lit(0).cast("long").alias("modified"), mb.alias("derivative_mb"), delta.alias("delta_mb"), (F.try_divide(mb - delta, mb) * 100).alias("savings_percent"))
 
 
+_SLICE = re.compile(r"(?P<split>[^\[\]]+)(\[(?P<first>-?\d+%?)?:(?P<last>-?\d+%?)?\])?")
+
+
+def part(rows: DataFrame, spec: str, split: str | None = None) -> DataFrame:
+    """Rows of a split by position: ``train``, ``train[:100]``, ``train[10%:20%]``, ``train[-50:]``; percents are rounded to rows.
+
+    :param split: the column that names the split; without one the whole table is the split.
+    """
+    found = _SLICE.fullmatch(spec)
+    if not found:
+        raise ValueError(f"no slice: {spec}")
+    rows = rows if split is None else rows.where(F.col(split) == found["split"])
+    if not found["first"] and not found["last"]:
+        return rows
+    n = rows.count()
+
+    def place(text: str | None, default: int) -> int:
+        if not text:
+            return default
+        at = round(n * int(text[:-1]) / 100) if text.endswith("%") else int(text)
+        return min(n, max(0, at + n if at < 0 else at))
+
+    return rows.where((F.col("pos") >= place(found["first"], 0)) & (F.col("pos") < place(found["last"], n)))
+
+
 def reconstruct(base: DataFrame, refs: DataFrame, new: DataFrame, splits: list[str] | None = None) -> DataFrame:
     """The derived dataset from references and new rows, with its positions; a split that the base lacks has new rows only."""
     splits = splits or []

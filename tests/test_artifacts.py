@@ -203,4 +203,169 @@ def test_int8_quality_of_spread_layers(spark, sf):
 def test_parallel_speedup(spark):
     from deltaforge.measure import parallel_speedup
 
-    assert parallel_speedup(spark, 1000, 2)[2] > 0
+    assert parallel_speedup(spark, 1000, 2).speedup > 0
+
+
+def test_layers_of_unlike_size_are_left_out_whole(spark, tmp_path):
+    """16 and 12 elements in blocks of 8: neither half a layer in the artifact nor a mix in what is rebuilt."""
+    of = lambda n, x: [("a", k, float(x)) for k in range(n)] + [("b", k, float(x)) for k in range(9)]
+    base, other = (model.to_blocks(spark.createDataFrame(of(n, x), "layer string, idx long, value float"), 8) for n, x in ((16, 1), (12, 2)))
+    made = artifact.compress_model(base, other, str(tmp_path / "d"))
+    assert [(x["layer"], x["numel"]) for x in made["layers"]] == [("b", 9)]
+    back = {(r.layer, r.idx): r.value for r in model.to_long(artifact.reconstruct_model(base, str(tmp_path / "d"), strict=True)).collect()}
+    assert back == {("a", k): 1.0 for k in range(16)} | {("b", k): pytest.approx(2.0, abs=0.01) for k in range(9)}
+    unlike = [spark.createDataFrame([("a", s), ("b", [9])], "layer string, shape array<bigint>") for s in ([4, 4], [2, 8])]
+    made = artifact.compress_model(base, base, str(tmp_path / "e"), shapes=tuple(unlike))
+    assert [x["layer"] for x in made["layers"]] == ["b"]
+    with pytest.raises(Exception, match="blocks of unlike size"):
+        artifact.compress_model(base, model.to_blocks(model.to_long(base), 16), str(tmp_path / "f"))
+
+
+def test_a_changed_base_is_warned_of(spark, models, tmp_path):
+    base, other = models
+    artifact.compress_model(base, other, str(tmp_path))
+    with pytest.warns(UserWarning, match="changed"):
+        artifact.reconstruct_model(other, str(tmp_path))
+
+
+def test_a_changed_base_is_rebuilt_again(spark, models, tmp_path):
+    base, other = models
+    where = (str(tmp_path / "base.parquet"), str(tmp_path / "delta"))
+    base.write.parquet(where[0])
+    artifact.compress_model(base, other, where[1])
+    c = cache.DeltaCache(spark, str(tmp_path / "cache"))
+    first = c.get_or_reconstruct(*where)
+    other.write.mode("overwrite").parquet(where[0])
+    with pytest.warns(UserWarning, match="changed"):
+        again = artifact.reconstruct_model(spark.read.parquet(where[0]), where[1])
+    second = c.get_or_reconstruct(*where)
+    assert first != second
+    total = lambda df: model.to_long(df).agg(F.sum("value")).first()[0]
+    assert total(spark.read.parquet(second)) == pytest.approx(total(again)) != pytest.approx(total(spark.read.parquet(first)))
+
+
+def test_what_was_used_last_stays():
+    entries = [("a", 3.0, 10.0), ("b", 3.0, 5.0), ("c", 3.0, 7.0), ("d", 3.0, 7.0)]
+    assert cache.outlived(entries, 12) == [] and cache.outlived(entries, 6) == ["b", "d"] and cache.outlived(entries, 0) == ["b", "d", "c", "a"]
+
+
+def test_a_hit_counts_as_use(spark, models, tmp_path):
+    base, other = models
+    base.write.parquet(str(tmp_path / "base.parquet"))
+    for name, mode in (("x", "smart"), ("y", "full")):
+        artifact.compress_model(base, other, str(tmp_path / name), mode=mode)
+    c = cache.get_global_cache(spark, str(tmp_path / "cache"))
+    assert cache.get_global_cache(spark) is c
+    b, x, y = (str(tmp_path / n) for n in ("base.parquet", "x", "y"))
+    c.get_or_reconstruct(b, x)
+    c.get_or_reconstruct(b, y)
+    c.get_or_reconstruct(b, x)
+    used = {k: e["used"] for k, e in c.index["entries"].items()}
+    assert used[c.key(b, x)] > used[c.key(b, y)]
+
+
+@pytest.fixture
+def adapter(tmp_path):
+    rng = np.random.default_rng(0)
+    a, b = rng.standard_normal((4, 50)).astype(np.float32), rng.standard_normal((30, 4)).astype(np.float32)
+    folder = tmp_path / "ad"
+    folder.mkdir()
+    tensors.write_safetensors({"base_model.model.x.q_proj.lora_A.weight": a, "base_model.model.x.q_proj.lora_B.weight": b}, str(folder / "adapter_model.safetensors"))
+    (folder / "adapter_config.json").write_text(json.dumps({"r": 4, "lora_alpha": 8}))
+    return str(folder), 2 * b.astype(np.float64) @ a
+
+
+@pytest.mark.parametrize("block", [64, 1500])
+def test_adapter_merge(spark, adapter, tmp_path, block):
+    folder, delta = adapter
+    w = np.arange(1500, dtype=np.float32).reshape(30, 50) / 100
+    tensors.write_safetensors({"x.q_proj.weight": w, "x.other": np.ones(7, np.float32)}, str(tmp_path / "base.safetensors"))
+    tensors.register(spark)
+    base = spark.read.format("safetensors").option("block", block).load(str(tmp_path / "base.safetensors"))
+    artifact.compress_adapter(folder, str(tmp_path / "out"), spark, base=base)
+    for merged in (artifact.reconstruct_adapter(base, str(tmp_path / "out"), strict=block != 64 and True), cache.load(spark, str(tmp_path / "out"), str(tmp_path / "base.safetensors"))):
+        got = {(r.layer, r.idx): r.value for r in model.to_long(merged).collect()}
+        assert np.allclose([got["x.q_proj.weight", k] for k in range(1500)], (w + delta).ravel(), atol=1e-4)
+        assert [got["x.other", k] for k in range(7)] == [1.0] * 7
+
+
+def test_load_serves_every_type(spark, sf, models, tmp_path):
+    base, other = (model.dense(t) for t in (fixtures.base_model(spark, sf), fixtures.fine_tune(spark, sf)))
+    shapes = base.groupBy("layer").agg(F.array((F.count("*") / 64).cast("long"), F.lit(64).cast("long")).alias("shape"))
+    where = str(tmp_path / "base.parquet")
+    tensors.save_tensors(models[0], where, shapes)
+    assert tensors.shapes(spark, where).count() == 10 and tensors.load_tensors(spark, where).count() == models[0].count()
+    lossy.compress_model_svd(base, other, shapes.select("layer", F.col("shape")[0].alias("rows")), str(tmp_path / "svd"), 64, where)
+    artifact.compress_model(models[0], models[1], str(tmp_path / "delta"), where)
+    for name in ("svd", "delta"):
+        both = model.to_long(cache.load(spark, str(tmp_path / name))).join(other.withColumnRenamed("value", "v"), ["layer", "idx"])
+        assert both.agg(F.max(F.abs(F.col("value") - F.col("v"))), F.count("*")).first()[0] < 0.02
+    data, derived = (ds.number(t, ["id"]) for t in (fixtures.base_dataset(spark, sf), fixtures.derived_dataset(spark, sf)))
+    data.write.parquet(str(tmp_path / "data"))
+    artifact.compress_dataset(data, derived, str(tmp_path / "ds"), match="content", base_id=str(tmp_path / "data"))
+    assert rows(cache.load(spark, str(tmp_path / "ds"))) == rows(derived.select("pos", "id", "text"))
+
+
+def test_lossy_command_line_factors_parquet(spark, sf, models, tmp_path):
+    shapes = fixtures.base_model(spark, sf).groupBy("layer").agg(F.array((F.count("*") / 64).cast("long"), F.lit(64).cast("long")).alias("shape"))
+    for name, m in zip(("base", "ft"), models, strict=True):
+        tensors.save_tensors(m, str(tmp_path / f"{name}.parquet"), shapes)
+    p = [str(tmp_path / k) for k in ("base.parquet", "ft.parquet", "delta", "out")]
+    assert cli.main(["compress-lossy", *p[:3], "--rank", "8"]) == 0
+    assert spark.read.parquet(f"{p[2]}/factors").count() == 10
+    assert cli.main(["reconstruct-lossy", p[0], p[2], p[3]]) == 0 and spark.read.parquet(p[3]).count() > 0
+    models[0].write.parquet(str(tmp_path / "bare.parquet"))
+    assert cli.main(["compress-lossy", str(tmp_path / "bare.parquet"), p[1], p[2] + "2"]) == 1
+
+
+def test_half_precision(spark):
+    fn.register(spark)
+    row = spark.sql("SELECT int8_apply_half(array(1F, 2F), X'0AF6', 0.1F) AS a, scatter_apply_half(array(1F, 2048F, 3F), array(1, 1, 9, 2), array(0.4F, 1.0F, 5F, 0.0001F)) AS b, tensor_hash('x', array(1F)) AS h").first()
+    assert row.a == [2.0, 1.0] and row.b == [1.0, 2048.0, 3.0] and len(row.h) == 64
+    got = spark.sql("SELECT * FROM reconstruct(TABLE(SELECT 'l' AS layer, 4L AS start, array(1F, 2F) AS values, X'0AF6' AS codes, 0.1F AS scale UNION ALL SELECT 'm', 0L, array(7F), NULL, NULL))")
+    assert [(r.layer, r.idx, round(r.value, 5)) for r in got.orderBy("layer", "idx").collect()] == [("l", 4, 2.0), ("l", 5, 1.0), ("m", 0, 7.0)]
+
+
+def test_slices(spark):
+    table = spark.range(10).select(F.col("id").alias("pos"), F.when(F.col("id") < 100, "train").alias("split"))
+    got = lambda spec: [r.pos for r in ds.part(table, spec, "split").orderBy("pos").collect()]
+    assert got("train") == list(range(10)) and got("train[:3]") == [0, 1, 2] and got("train[-2:]") == [8, 9] and got("train[20%:50%]") == [2, 3, 4] and got("test[:5]") == []
+    with pytest.raises(ValueError):
+        ds.part(table, "train[1")
+
+
+def test_references_count_new_rows_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ds, "CHUNK", 7)
+    base = spark.range(100).select(F.col("id").alias("pos"), (2 * F.col("id")).alias("id"))
+    derived = spark.range(100).select(F.col("id").alias("pos"), F.col("id").alias("id"), F.when(F.col("id") % 2 == 0, "a").alias("split"))
+    found = {r.id: r.new_index for r in ds.references(base, derived).collect()}
+    assert found == {k: (None if k % 2 == 0 else k // 2) for k in range(100)}
+    by = ds.references(base.withColumn("split", F.lit("a")), derived, ["split"])
+    assert {r.id: r.new_index for r in by.collect() if r.split is None} == {k: k // 2 for k in range(1, 100, 2)}
+    plan = ds.references(base, derived)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1  # the counts, a row a chunk
+
+
+def test_no_layer_is_sorted_for_its_quantiles(spark):
+    from deltaforge.operators import diff
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.standard_normal(997).astype(np.float32), np.zeros(50, np.float32), np.full(31, 0.5, np.float32)])
+    d = spark.createDataFrame([("l", k, float(v)) for k, v in enumerate(x)] + [("one", 0, 2.0), ("none", 0, 0.0), ("none", 1, 0.0)], "layer string, idx long, delta float")
+    found = {r.layer: r for r in diff.distribution(d).collect()}
+    a = np.abs(x.astype(np.float64))
+    for name, p in (("q25", 0.25), ("q75", 0.75), ("q95", 0.95), ("q99", 0.99)):
+        assert found["l"][name] == pytest.approx(np.quantile(a, p), abs=1e-12)
+    assert found["l"].median == np.sort(a)[int(np.ceil(0.5 * len(a))) - 1] and found["one"].q99 == 2.0 and found["none"].q25 == 0.0
+    assert "percentile" not in diff.distribution(d)._jdf.queryExecution().toString()
+
+
+def test_low_rank_product_in_blocks(spark, monkeypatch):
+    from deltaforge.operators import svd
+
+    monkeypatch.setattr(svd, "ROWS", 3)
+    rng = np.random.default_rng(0)
+    u, v = rng.standard_normal((10, 4)).astype(np.float32), rng.standard_normal((4, 7)).astype(np.float32)
+    enc = spark.createDataFrame([("l", 10, 7, 4, u.ravel().tolist(), v.ravel().tolist())], "layer string, m long, n long, k long, u array<float>, v array<float>")
+    got = [r.delta for r in svd.product(enc).orderBy("idx").collect()]
+    assert np.allclose(got, (u @ v).ravel(), atol=1e-5)

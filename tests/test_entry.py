@@ -56,4 +56,7 @@ def test_engine_info_and_measures(spark):
     assert engine_info(spark)["spark.sql.session.timeZone"] == "UTC"
     t = measure.int8_apply(spark, 1000, 1)
     assert t.per_second > 0 and set(measure.extrapolated(t)) == set(measure.SIZES)
-    assert measure.long_or_blocks(spark, 1000, 100)[2] > 0
+    assert measure.long_or_blocks(spark, 1000, 100).speedup > 0
+    stream, both = measure.stream_benchmark(spark, 2, 100)
+    assert stream.elements == 200 and stream.megabytes_per_second > 0 and both.speedup > 0
+    assert not measure.rebuilt(spark, "/none", "/none", "/none").success
