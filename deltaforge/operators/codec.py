@@ -82,6 +82,14 @@ def hybrid_decode(exact: DataFrame, codes: DataFrame, places: DataFrame) -> Data
     return held.select("layer", "idx", F.coalesce("value", (F.col("q").cast("float") * F.col("scale")), F.lit(0).cast("float")).alias("delta"))
 
 
+def decoded(method: Column, delta: Column, scale: Column, threshold: float = EPS) -> Column:
+    """What an element's difference is after a trip through its layer's encoding, in one expression; hybrid keeps exact values only."""
+    none, cut = F.lit(0).cast("float"), F.lit(threshold).cast("float")
+    by_place = F.when(known(delta, threshold), delta).otherwise(none)
+    above = F.when((F.abs(delta) > cut) & ~F.isnan(delta), delta).otherwise(none)
+    return F.when(method == "zero", none).when(method == SCATTER, by_place).when(method == "int8", code(delta, scale).cast("tinyint").cast("float") * scale).otherwise(above)
+
+
 def coordinates(idx: Column, shape: list[int]) -> Column:
     """Places in a tensor of this shape, row by row, of a flat index."""
     out, stride = [], 1

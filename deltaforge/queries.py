@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltaforge import fixtures as fx, model
 from deltaforge.operators import choose, codec, dataset as ds, diff, family, svd
+from deltaforge.plans import artifact
+from deltaforge.session import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,6 +74,8 @@ _PARAMS = """, pa AS (
   SELECT me.layer, method, CASE WHEN method = @scatter THEN greatest(1e-6::DOUBLE, q25) WHEN method = 'hybrid' THEN median END AS threshold FROM me JOIN qu USING (layer)
 )"""
 M = fx.MODEL_SQL
+#: x in half precision, where e is the distance of the numbers around it.
+_HALF_OF = "CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE sign(x) * round_even(abs(x) / e, 0) * e END"
 
 
 @query(M + " SELECT layer, idx, base, ft, delta FROM d")
@@ -296,27 +301,23 @@ _REBUILT = _SCALE + f""", rb AS (
 
 def _rebuilt(spark, sf_dir):
     """Each layer encoded as chosen and decoded; hybrid with its exact values (codes hold dust below 1e-6 only, left out here)."""
-    d, base = _deltas(spark, sf_dir), fx.base_model(spark, sf_dir)
-    named = d.join(F.broadcast(_chosen(d).select("layer", "method")), "layer")
-    of = lambda m: named.where(F.col("method") == m).drop("method")
-    coded = codec.int8_decode(codec.int8_encode(of("int8"), codec.int8_scales(of("int8"))))
-    exact = codec.hybrid_encode(of("hybrid"))[0]
-    delta = codec.nonzero_encode(of(choose.SCATTER)).withColumnRenamed("value", "delta").unionByName(coded).unionByName(exact.withColumnRenamed("value", "delta"))
-    return codec.apply_scattered(base, delta.withColumnRenamed("delta", "value")), named
+    d = _deltas(spark, sf_dir)
+    chosen = _chosen(d).select("layer", "method", codec.scale_of(F.col("max_abs").cast("float")).alias("scale"))
+    value = (F.col("base") + codec.decoded(F.col("method"), F.col("delta"), F.col("scale"))).cast("float")
+    return d.join(F.broadcast(chosen), "layer").select("layer", "idx", "ft", "method", value.alias("value"))
 
 
 @query(M + _STATS + _TYPE + _METHOD + _REBUILT + " SELECT layer, idx, value FROM rb")
 def reconstruct_model(spark, sf_dir):
     """The fine-tune rebuilt from the base and the chosen encodings."""
-    return _rebuilt(spark, sf_dir)[0]
+    return _rebuilt(spark, sf_dir).select("layer", "idx", "value")
 
 
 @query(M + _STATS + _TYPE + _METHOD + _REBUILT + " SELECT method, count(*) AS n, round(max(abs(CAST(value AS DOUBLE) - CAST(ft AS DOUBLE))), 6) AS max_error, round(avg(abs(CAST(value AS DOUBLE) - CAST(ft AS DOUBLE))), 6) AS mean_error FROM rb GROUP BY method")
 def reconstruct_error_by_method(spark, sf_dir):
     """How far the rebuilt model is from the fine-tune."""
-    value, named = _rebuilt(spark, sf_dir)
     e = F.abs(F.col("value").cast("double") - F.col("ft").cast("double"))
-    return value.join(named.select("layer", "idx", "ft", "method"), ["layer", "idx"]).groupBy("method").agg(F.count("*").alias("n"), _r(F.max(e), "max_error"), _r(F.avg(e), "mean_error"))
+    return _rebuilt(spark, sf_dir).groupBy("method").agg(F.count("*").alias("n"), _r(F.max(e), "max_error"), _r(F.avg(e), "mean_error"))
 
 
 @query(
@@ -386,7 +387,7 @@ def zstd_roundtrip(spark, sf_dir):
     return back.groupBy("layer").agg(F.bool_and(F.col("codes") == F.col("back")).alias("same"), F.sum(F.octet_length("back").cast("long")).alias("n"))
 
 
-@query()
+@query("SELECT label, max(abs(x - v)) AS max_change FROM (SELECT label, CAST(v AS FLOAT) AS v, CAST(" + _HALF_OF + " AS FLOAT) AS x FROM (SELECT label, x AS v, CAST(x AS DOUBLE) AS x, pow(2.0::DOUBLE, greatest(CASE WHEN x = 0 THEN -24 ELSE floor(log2(abs(CAST(x AS DOUBLE)))) END, -14) - 10) AS e FROM (SELECT label, unnest(embedding) AS x FROM embeddings))) GROUP BY label")
 def half_rounding(spark, sf_dir):
     """The largest change of each layer's base by half precision."""
     from deltaforge.functions import round_half
@@ -396,6 +397,19 @@ def half_rounding(spark, sf_dir):
     return rows.select("label", e.alias("e")).groupBy("label").agg(F.max("e").alias("max_change"))
 
 
+@query(M + ", dn AS (SELECT layer, row_number() OVER (PARTITION BY layer ORDER BY idx) - 1 AS idx, CAST(base + delta AS FLOAT) AS value FROM d), zero AS (SELECT layer FROM d GROUP BY layer HAVING max(abs(delta)) = 0) SELECT * FROM dn WHERE layer NOT IN (SELECT layer FROM zero)")
+def streaming_blocks(spark, sf_dir):
+    """Encoded blocks that arrive as files, applied batch by batch; layers without a difference send nothing."""
+    from deltaforge.streaming.layers import apply_block_stream
+
+    base, other = _blocks(spark, sf_dir)
+    root = _folder(spark, "stream")
+    artifact.compress_model(base, other, f"{root}/delta", mode="full")
+    artifact.encoded_blocks(spark, f"{root}/delta").repartition(3, "layer", "block_id").write.parquet(f"{root}/in")
+    apply_block_stream(base, f"{root}/in", f"{root}/out", f"{root}/state", 1).awaitTermination()
+    return model.to_long(spark.read.parquet(f"{root}/out"))
+
+
 def _data(spark, sf_dir):
     return ds.number(fx.base_dataset(spark, sf_dir), ["id"]), ds.number(fx.derived_dataset(spark, sf_dir), ["id"])
 
@@ -532,33 +546,205 @@ def family_best_parent(spark, sf_dir):
     return family.best_parent(spark, _edges(spark))
 
 
-@query("SELECT doc_id, substr(md5('base:' || CAST(doc_id AS VARCHAR)), 1, 16) AS key FROM documents")
+_DENSE = """, dn AS (SELECT layer, row_number() OVER (PARTITION BY layer ORDER BY idx) - 1 AS place, base, ft, value FROM rb)"""
+
+
+def _blocks(spark, sf_dir, size: int = 4096):
+    """Both models of the fixture in blocks, their elements numbered from 0."""
+    return [written(model.to_blocks(model.dense(t), size), "blocks") for t in (fx.base_model(spark, sf_dir), fx.fine_tune(spark, sf_dir))]
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(M + _STATS + _TYPE + _METHOD + _REBUILT + _DENSE + " SELECT layer, place AS idx, round(CAST(value AS DOUBLE), 5) AS value FROM dn")
+def artifact_reconstruct(spark, sf_dir):
+    """An artifact written, read and applied by blocks: the fine-tune as its encodings keep it."""
+    base, other = _blocks(spark, sf_dir)
+    folder = _folder(spark, "artifact")
+    artifact.compress_model(base, other, folder)
+    return model.to_long(artifact.reconstruct_model(base, folder, strict=True)).select("layer", "idx", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query(M + ", dn AS (SELECT layer, row_number() OVER (PARTITION BY layer ORDER BY idx) - 1 AS idx, CAST(base + delta AS FLOAT) AS value FROM d) SELECT * FROM dn")
+def artifact_reconstruct_full(spark, sf_dir):
+    """The same without loss: differences stored whole."""
+    base, other = _blocks(spark, sf_dir)
+    folder = _folder(spark, "artifact")
+    artifact.compress_model(base, other, folder, mode="full")
+    return model.to_long(artifact.reconstruct_model(base, folder, strict=True))
+
+
+@query(M + _STATS + _TYPE + _METHOD + _BYTES + " SELECT layer, layer_type, method, numel, nonzero, CAST(cb AS BIGINT) AS compressed_bytes, round(max_abs, 6) AS max_abs, round(l2_norm, 6) AS l2_norm, round(sparsity, 6) AS sparsity FROM mb")
+def artifact_manifest_layers(spark, sf_dir):
+    """The layers that an artifact's manifest lists, read back from its file."""
+    folder = _folder(spark, "artifact")
+    artifact.compress_model(*_blocks(spark, sf_dir), folder)
+    rows = artifact.read_manifest(spark, folder)["layers"]
+    fields = "layer string, layer_type string, method string, numel long, nonzero long, compressed_bytes long, max_abs double, l2_norm double, sparsity double"
+    found = spark.createDataFrame(rows, fields)
+    return found.select("layer", "layer_type", "method", "numel", "nonzero", "compressed_bytes", *[_r(c, c) for c in ("max_abs", "l2_norm", "sparsity")])
+
+
+@query(M + " SELECT layer, count(*) AS n, true AS near FROM d GROUP BY layer")
+def artifact_svd_full_rank(spark, sf_dir):
+    """An artifact of factors of full rank gives every element back, but for half precision: within 0.002 of the fine-tune."""
+    from deltaforge.plans import lossy
+
+    base, other = (written(model.dense(t), "long") for t in (fx.base_model(spark, sf_dir), fx.fine_tune(spark, sf_dir)))
+    folder = _folder(spark, "artifact")
+    lossy.compress_model_svd(base, other, base.groupBy("layer").agg((F.count("*") / 64).cast("long").alias("rows")), folder, 64)
+    both = lossy.reconstruct_model_svd(base, folder).join(other.withColumnRenamed("value", "ft"), ["layer", "idx"])
+    return both.groupBy("layer").agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("value") - F.col("ft")) < 0.002).alias("near"))
+
+
+#: An adapter of rank 2 for one layer: factors by rule, so that SQL can give them as well.
+ADAPTED = fx.LAYERS[0][1]
+
+
+@query(
+    M + f""", w AS (SELECT layer, row_number() OVER (PARTITION BY layer ORDER BY idx) - 1 AS idx, base FROM d)
+ SELECT layer, idx, round(CAST(base AS DOUBLE) + CASE WHEN layer = '{ADAPTED}' THEN 2.0::DOUBLE * (CAST(((idx // 64) % 5 - 2) / 8.0::DOUBLE AS FLOAT) * CAST((idx % 64 % 7 - 3) / 16.0::DOUBLE AS FLOAT)
+   + CAST(((idx // 64) % 3 - 1) / 8.0::DOUBLE AS FLOAT) * CAST((idx % 64 % 4 - 1) / 16.0::DOUBLE AS FLOAT)) ELSE 0 END, 4) AS value FROM w"""
+)
+def artifact_adapter_merge(spark, sf_dir):
+    """Base plus scale * B * A in the adapted layer."""
+    base = _blocks(spark, sf_dir)[0]
+    rows = base.where(F.col("layer") == ADAPTED).agg((F.sum(F.size("values").cast("long")) / 64).cast("long").alias("m"))
+    x = lambda c: c.cast("float")
+    b = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda i: F.array(x((i % 5 - 2) / 8), x((i % 3 - 1) / 8))))
+    j = F.sequence(F.lit(0), F.lit(63))
+    a = F.concat(F.transform(j, lambda i: x((i % 7 - 3) / 16)), F.transform(j, lambda i: x((i % 4 - 1) / 16)))
+    factors = rows.select(F.lit(ADAPTED).alias("layer"), "m", F.lit(64).cast("long").alias("n"), F.lit(2).cast("long").alias("k"), a.alias("a"), b.alias("b"), F.lit(2.0).alias("scale"))
+    return model.to_long(artifact.merge_adapter(base, factors)).select("layer", "idx", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('same rows in another order', true), ('one element edited', false), ('one layer renamed', false)) t(change, same)")
+def model_hash(spark, sf_dir):
+    """What leaves a model's hash as it is, and what doesn't."""
+    base = _blocks(spark, sf_dir)[0]
+    edited = base.withColumn("values", F.when((F.col("layer") == ADAPTED) & (F.col("block_id") == 0), F.transform("values", lambda v, k: F.when(k == 7, v + 1).otherwise(v))).otherwise(F.col("values")))
+    renamed = base.withColumn("layer", F.when(F.col("layer") == ADAPTED, "other").otherwise(F.col("layer")))
+    whole = artifact.model_hash(base)
+    changes = {"same rows in another order": base.repartition(3, "block_id"), "one element edited": edited, "one layer renamed": renamed}
+    return spark.createDataFrame([(name, artifact.model_hash(df) == whole) for name, df in changes.items()], "change string, same boolean")
+
+
+@query(M + _STATS + _TYPE + _METHOD + _REBUILT + _DENSE + " SELECT layer, place AS idx, round(CAST(value AS DOUBLE), 5) AS value FROM dn")
+def cached_reconstruct(spark, sf_dir):
+    """A model rebuilt by a cache's job and served from its folder."""
+    return _cached(spark, sf_dir)[0].select("layer", "idx", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+def _cached(spark, sf_dir):
+    from deltaforge.cache import DeltaCache, load
+
+    base, other = _blocks(spark, sf_dir)
+    root = _folder(spark, "cached")
+    base.write.parquet(f"{root}/base.parquet")
+    artifact.compress_model(base, other, f"{root}/delta", f"{root}/base.parquet")
+    cache = DeltaCache(spark, f"{root}/cache")
+    before = cache.key(f"{root}/base.parquet", f"{root}/delta")
+    served = model.to_long(load(spark, f"{root}/delta", cache=cache))
+    return served, cache, root, before, other
+
+
+@query("SELECT * FROM (VALUES ('asked again', true, true), ('base overwritten', false, false)) t(when_asked, same_key, there)")
 def cache_key(spark, sf_dir):
-    """Keys of cached rebuilds."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.left(F.md5(F.concat(F.lit("base:"), F.col("doc_id").cast("string"))), F.lit(16)).alias("key"))
+    """Whether a cache's key is the same, and the rebuilt model there, when it is asked again and when the base has changed."""
+    _, cache, root, before, other = _cached(spark, sf_dir)
+    where, rows = (f"{root}/base.parquet", f"{root}/delta"), []
+    for what in ("asked again", "base overwritten"):
+        if what != "asked again":
+            other.write.mode("overwrite").parquet(where[0])
+        rows.append((what, cache.key(*where) == before, cache.is_reconstructed(*where)))
+    return spark.createDataFrame(rows, "when_asked string, same_key boolean, there boolean")
+
+
+@query("SELECT * FROM (VALUES (768, 12, 50257), (4096, 32, 50000), (8192, 80, 32000)) t(hidden, layers, vocab), LATERAL (SELECT round((12.0::DOUBLE * hidden * hidden * layers + CAST(vocab AS DOUBLE) * hidden) / 1e9::DOUBLE, 6) AS billions, round(4.0::DOUBLE * hidden * hidden * layers / 1e9::DOUBLE, 6) AS billions_by_width) b, LATERAL (SELECT billions >= 30 OR billions_by_width > 10 AS large) c")
+def model_size(spark, sf_dir):
+    """Parameters of transformers by their shape, and which are large."""
+    shapes = spark.createDataFrame([(768, 12, 50257), (4096, 32, 50000), (8192, 80, 32000)], "hidden int, layers int, vocab int")
+    return choose.model_size(shapes).withColumns({c: F.round(c, 6) for c in ("billions", "billions_by_width")})
+
+
+@query(M + _STATS + _TYPE + _METHOD + _BYTES + " SELECT layer, CAST(ob AS BIGINT) AS original_bytes, CAST(cb AS BIGINT) AS compressed_bytes, round(CASE WHEN cb = 0 THEN 'Infinity'::DOUBLE ELSE CAST(ob AS DOUBLE) / cb END, 6) AS compression_ratio, round(1 - CAST(cb AS DOUBLE) / ob, 6) AS sparsity FROM mb")
+def compression_stats(spark, sf_dir):
+    """Ratio and share of room saved by layer."""
+    found = choose.compression_stats(_sizes(spark, sf_dir).select("layer", "original_bytes", "compressed_bytes"))
+    return found.withColumns({c: F.round(c, 6) for c in ("compression_ratio", "sparsity")})
+
+
+_STREAM_BYTES = ", mb AS (SELECT *, CASE method WHEN 'zero' THEN 0 WHEN @scatter THEN 6 * nonzero WHEN 'int8' THEN numel WHEN 'hybrid' THEN 6 * nonzero + numel ELSE 2 * numel END AS cb FROM me)"
+
+
+@query(M + _STATS + _TYPE + _METHOD + _STREAM_BYTES + " SELECT layer, method, CAST(cb AS BIGINT) AS compressed_bytes FROM mb")
+def layer_bytes_streaming(spark, sf_dir):
+    """Room that each layer takes by the streaming profile."""
+    chosen = _chosen(_deltas(spark, sf_dir))
+    return chosen.select("layer", "method", codec.packed_bytes(F.col("method"), F.col("numel"), F.col("nonzero"), F.col("numel"), "streaming").alias("compressed_bytes"))
+
+
+@query(M + _STATS + _TYPE + _METHOD + " SELECT layer, method, CASE method WHEN 'int8' THEN layer NOT LIKE '%layernorm%' WHEN 'hybrid' THEN true END AS per_channel FROM me")
+def per_channel_flag(spark, sf_dir):
+    """Which layers' 8-bit codes would have scales by row: matrices, here all but the norm."""
+    d = _chosen(_deltas(spark, sf_dir)).select("layer", "method", F.lit(0.0).alias("q25"), F.lit(0.0).alias("median"), "numel")
+    shapes = d.select("layer", F.when(F.contains("layer", F.lit("layernorm")), F.array("numel")).otherwise(F.array(F.floor(F.col("numel") / 64), F.lit(64).cast("long"))).alias("shape"))
+    return choose.parameters(d, shapes).select("layer", "method", "per_channel")
+
+
+
+
+@query(
+    M + _SCALE + f""", h0 AS (SELECT layer, idx, CAST(base AS DOUBLE) AS x, CAST(CAST(q AS FLOAT) * scale AS FLOAT) AS dq FROM q8),
+ h1 AS (SELECT *, pow(2.0::DOUBLE, greatest(CASE WHEN x = 0 THEN -24 ELSE floor(log2(abs(x))) END, -14) - 10) AS e FROM h0), h2 AS (SELECT layer, idx, dq, CAST({_HALF_OF} AS FLOAT) AS b FROM h1),
+ h3 AS (SELECT layer, idx, CAST(CAST(b + dq AS FLOAT) AS DOUBLE) AS x FROM h2), h4 AS (SELECT *, pow(2.0::DOUBLE, greatest(CASE WHEN x = 0 THEN -24 ELSE floor(log2(abs(x))) END, -14) - 10) AS e FROM h3)
+ SELECT layer, count(*) AS n, round(sum({_HALF_OF}), 4) AS total, round(max({_HALF_OF}), 6) AS most FROM h4 GROUP BY layer"""
+)
+def half_apply(spark, sf_dir):
+    """8-bit codes added to a base in half precision: sums and maxima by layer."""
+    from deltaforge.functions import int8_apply_half
+
+    d, q = _int8(spark, sf_dir)
+    rows = d.select("layer", "idx", "base").join(q, ["layer", "idx"])
+    out = rows.select("layer", int8_apply_half(F.array("base"), F.unhex(F.right(F.hex(F.col("q").cast("long")), F.lit(2))), F.col("scale"))[0].cast("double").alias("v"))
+    return out.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.max("v"), 6).alias("most"))
+
+
+@query(M + _SCALE + " SELECT layer, row_number() OVER (PARTITION BY layer ORDER BY idx) - 1 AS idx, CAST(base + CAST(CAST(q AS FLOAT) * scale AS FLOAT) AS FLOAT) AS value FROM q8")
+def reconstruct_function(spark, sf_dir):
+    """Blocks rebuilt by the table function, from SQL."""
+    from deltaforge import functions
+
+    functions.register(spark)
+    base, other = _blocks(spark, sf_dir)
+    deltas = diff.block_differences(base, other)
+    layers = artifact.layer_table(deltas).withColumn("method", F.lit("int8"))
+    coded = artifact.encode_blocks(deltas.drop("base"), layers).select("layer", "block_id", "codes", "scale")
+    rows = base.join(coded, ["layer", "block_id"]).select("layer", "start", "values", "codes", "scale")
+    return spark.sql("SELECT * FROM reconstruct(TABLE({rows}))", rows=rows)
 
 
 @query(
     """WITH e AS (SELECT user_id, max(ts) AS used, count(*) AS size FROM events GROUP BY user_id), r AS (SELECT user_id, size, sum(size) OVER (ORDER BY used DESC, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM e)
- SELECT user_id, size, CAST(held AS BIGINT) AS held, held <= 200 AS kept FROM r"""
+ SELECT user_id, size, held <= 200 AS kept FROM r"""
 )
 def lru_eviction_order(spark, sf_dir):
-    """What a cache of 200 keeps, by last use."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("used"), F.count("*").alias("size"))
-    held = F.sum("size").over(Window.orderBy(F.desc("used"), "user_id").rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("held", held).select("user_id", "size", "held", (F.col("held") <= 200).alias("kept"))
+    """What a cache of 200 keeps, by last use: the rule that both caches evict by, over users and their events."""
+    from deltaforge.cache import outlived
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max("ts").alias("used"), F.count("*").alias("size")).collect()
+    gone = set(outlived([(r.user_id, r["size"], r.used) for r in e], 200))
+    return spark.createDataFrame([(r.user_id, r["size"], r.user_id not in gone) for r in e], "user_id long, size long, kept boolean")
 
 
 @query(M + _SCALE + " SELECT layer, idx, CAST(base + CAST(CAST(q AS FLOAT) * scale AS FLOAT) AS FLOAT) AS value FROM q8")
 def streaming_apply(spark, sf_dir):
     """Codes that arrive as files, added to the base by a stream; the table it has written when all are done."""
-    import tempfile
-    import uuid
-
     from deltaforge.streaming.layers import apply_stream, stream_chunks
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="deltaforge-")).rstrip("/") + "/stream-" + uuid.uuid4().hex
+    root = _folder(spark, "stream")
     _int8(spark, sf_dir)[1].select("layer", "idx", F.col("q").cast("byte").alias("q"), "scale").repartition(4, "layer").write.parquet(f"{root}/chunks")
     apply_stream(fx.base_model(spark, sf_dir), stream_chunks(spark, f"{root}/chunks", 2), f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("layer", "idx", "value")
