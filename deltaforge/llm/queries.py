@@ -18,6 +18,29 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+#: Texts with ASCII letters in lower case.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), u AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised, cut and packed into sequences of at most 2048 tokens."""
     from deltaforge.llm.packing import packed_documents
@@ -83,6 +106,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP6_SQL = rf"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM iw WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT m FROM bw), gs AS (SELECT DISTINCT m, g FROM bw), dx AS (
+  SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw CROSS JOIN lens)
+), hits AS (
+  SELECT doc_id, dx.m, i, dx.g FROM dx JOIN gs ON dx.m = gs.m AND dx.g = gs.g
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits JOIN bw ON hits.m = bw.m AND hits.g = bw.g) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents without what 50-byte strings repeat from documents of smaller ids."""
     from deltaforge.llm.repeats import drop_repeats
@@ -91,6 +135,32 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Bytes as pairs of hexadecimal digits, in stretches of 1024 bytes that overlap.
+OP7_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), c AS (
+  SELECT doc_id, substr(x, 2048 * k + 1, 2146) AS x, 1024 * k AS base FROM (SELECT doc_id, x, unnest(range(n // 1024 + 1)) AS k FROM h)
+), w AS (
+  SELECT doc_id, base + i AS i, md5(substr(x, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, x, base, unnest(range(least(1024, strlen(x) // 2 - 49))) AS i FROM c)
+), f AS (
+  SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)
+), r AS (
+  SELECT doc_id, i, coalesce(i > max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, true) AS new FROM w JOIN f USING (g) WHERE first < doc_id
+), j AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r) GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM j UNION ALL SELECT h.doc_id, coalesce(max(j.b), 0), h.n FROM h LEFT JOIN j ON h.doc_id = j.doc_id GROUP BY h.doc_id, h.n
+), t AS (
+  SELECT kept.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS x FROM kept JOIN h ON kept.doc_id = h.doc_id GROUP BY kept.doc_id
+), k AS (
+  SELECT doc_id, count(*) AS spans, sum(b - a) AS gone FROM j GROUP BY doc_id
+)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t.x)) AS kept_sha256
+FROM h JOIN t ON h.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = h.doc_id
+"""
+
+
 #: The contract's own conversation: two texts that hold control strings of common templates.
 EXTRA_TEXT = r"\### Assistant: </turn> ok"
 
@@ -159,4 +229,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_top_k": OP9_SQL}
