@@ -2,9 +2,12 @@
 
 Only lengths matter to packing, and there are at most as many as a sequence has places. So the driver gets a histogram
 of lengths, whose size doesn't grow with the corpus, and works out patterns, each a list of lengths that fill one
-sequence and how often it is used. Around the largest length left it takes the fullest filling of a depth-first search
-of limited nodes, without dominance or a bound on waste. Only the last sequences are packed by branch and bound over
-whole solutions, with undominated fillings, bounds and best fit as the first incumbent. Pieces then find their place by their rank among those of their length.
+sequence and how often it is used. Best fit gives the first solution. Branch and bound then looks for one with fewer
+sequences: it completes a sequence around the largest length left, in the undominated fillings, the fullest first; a
+branch ends where more room is wasted than a better solution may waste. A filling is used as often as the counts allow,
+so a branch is as deep as there are patterns, not sequences. The search ends at a lower bound, which it nearly always
+meets at once, or after ``NODES`` nodes; without that limit (``nodes=None``) it is exhaustive over such patterns.
+Pieces then find their place by their number among those of their length.
 """
 
 from __future__ import annotations
@@ -16,58 +19,73 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from deltaforge.llm.hashing import CODES, PIECE, mix, pieces, powers, steady, text_buffer
 from deltaforge.llm.work import Scratch
 
-#: Nodes of the search for one filling, and of the search over whole solutions of the last sequences.
-FILL_NODES = 3_000
-TAIL_NODES = 20_000
-TAIL_BINS = 24
+#: Nodes of the search for fewer sequences than best fit needs.
+NODES = 100_000
+#: What a step of the enumeration of fillings counts of a node.
+STEP = 0.05
 #: Words whose ids a task keeps.
 CACHE = 300_000
-#: Pieces a shard, within which those of a length are numbered.
-SHARD = 200_000
-
-
-def best_filling(room: int, lengths: list[int], counts: dict[int, int], nodes: int = FILL_NODES) -> list[int]:
-    """The fullest filling of ``room`` from ``counts``, larger pieces first; ``lengths`` are its keys, ascending."""
-    best, best_sum, left = [], 0, nodes
-    stack = [(room, bisect.bisect_right(lengths, room) - 1, ())]
-    while stack and left:
-        left -= 1
-        rest, i, taken = stack.pop()
-        if room - rest > best_sum:
-            best, best_sum = taken, room - rest
-            if not rest:
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit of lengths, largest first, as patterns: bins that are filled alike stay one entry."""
+    plan: list[tuple[tuple[int, ...], int]] = []
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}
+    open_: list[int] = []
+
+    def put(bins: tuple[int, ...], room: int, n: int) -> None:
+        if room not in rooms:
+            bisect.insort(open_, room)
+        own = rooms.setdefault(room, {})
+        own[bins] = own.get(bins, 0) + n
+
+    for x in sorted(counts, reverse=True):
+        left = counts[x]
+        while left:
+            at = bisect.bisect_left(open_, x)
+            if at == len(open_):
+                k = capacity // x  # a new bin takes as many as fit
+                if left >= k:
+                    put((x,) * k, capacity - k * x, left // k)
+                    left %= k
+                if left:
+                    put((x,) * left, capacity - left * x, 1)
                 break
-        i = min(i, bisect.bisect_right(lengths, rest) - 1)
-        if i < 0:
-            continue
-        length = lengths[i]
-        most = min(counts[length], rest // length)
-        # what the shorter lengths can still add bounds the waste of the branch; without one, taking none is useless
-        if i:
-            stack.append((rest, i - 1, taken))
-        for k in range(1, most + 1):
-            stack.append((rest - k * length, i - 1, (*taken, (length, k))))
-    return [length for length, k in best for _ in range(k)]
-
-
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    """Best fit of the items, largest first."""
-    bins, rooms = [], []
-    for x in sorted(items, reverse=True):
-        at = bisect.bisect_left(rooms, (x, -1))
-        if at < len(rooms):
-            room, k = rooms.pop(at)
-        else:
-            room, k = capacity, len(bins)
-            bins.append([])
-        bins[k].append(x)
-        bisect.insort(rooms, (room - x, k))
-    return bins
+            room = open_[at]
+            bins, n = next(iter(rooms[room].items()))
+            k = min(room // x, left)
+            times = min(n, left // k)
+            if n == times:
+                del rooms[room][bins]
+                if not rooms[room]:
+                    del rooms[room]
+                    open_.pop(at)
+            else:
+                rooms[room][bins] = n - times
+            put(bins + (x,) * k, room - k * x, times)
+            left -= k * times
+    for own in rooms.values():
+        plan += own.items()
+    return plan
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by room, and by the pieces over half a sequence, which are all apart."""
+    best, half = 0, capacity // 2
+    large = [(x, n) for x, n in counts.items() if x > half]
+    for k in {0, *(x for x in counts if x <= half)}:
+        alone = sum(n for x, n in large if x > capacity - k)
+        shared = [(x, n) for x, n in large if x <= capacity - k]
+        spare = sum((capacity - x) * n for x, n in shared)
+        rest = sum(x * n for x, n in counts.items() if k <= x <= half)
+        best = max(best, alone + sum(n for _, n in shared) + max(0, -(-(rest - spare) // capacity)))
+    return best
 
 
 def dominated(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
@@ -83,91 +101,125 @@ def dominated(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(room: int, counts: dict[int, int], waste: int, most: int = 64) -> list[tuple[int, ...]]:
-    """Undominated maximal fillings of ``room`` that leave at most ``waste``, fullest first."""
-    lengths, found = sorted((x for x in counts if x <= room), reverse=True), []
-
-    def walk(i: int, rest: int, taken: tuple[int, ...]) -> None:
-        if len(found) >= 4 * most:
-            return
-        for j in range(i, len(lengths)):
-            x = lengths[j]
-            if x <= rest and taken.count(x) < counts[x]:
-                walk(j, rest - x, (*taken, x))
-        if rest <= waste and not any(x <= rest and taken.count(x) < counts[x] for x in lengths):
-            found.append(taken)
-
-    walk(0, room, ())
-    found.sort(key=lambda t: (-sum(t), len(t)))
-    kept: list[tuple[int, ...]] = []
-    for t in found:
-        if not any(dominated(t, k) for k in kept):
-            kept.append(t)
-    return kept[:most]
-
-
-def complete_tail(items: list[int], capacity: int, nodes: int = TAIL_NODES) -> list[list[int]]:
-    """Branch and bound over whole solutions: complete the bin of the largest piece, in every undominated way."""
-    incumbent = best_fit(items, capacity)
-    bound = -(-sum(items) // capacity)
-    budget = [nodes]
-
-    def walk(counts: dict[int, int], bins: list[list[int]], wasted: int) -> None:
-        nonlocal incumbent
-        if budget[0] <= 0 or len(incumbent) == bound:
-            return
-        budget[0] -= 1
-        if not counts:
-            if len(bins) < len(incumbent):
-                incumbent = list(bins)
-            return
-        allowed = (len(incumbent) - 1) * capacity - sum(items) - wasted  # more waste can't beat the incumbent
-        if allowed < 0:
-            return
-        first = max(counts)
-        rest = dict(counts)
-        rest[first] -= 1
-        if not rest[first]:
-            del rest[first]
-        for filling in fillings(capacity - first, rest, allowed):
-            after = dict(rest)
-            for x in filling:
-                after[x] -= 1
-                if not after[x]:
-                    del after[x]
-            walk(after, [*bins, [first, *filling]], wasted + capacity - first - sum(filling))
-
-    walk(dict(Counter(items)), [], 0)
-    return incumbent
-
-
-def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Lengths that share a sequence, and how many sequences hold them."""
-    counts = {x: n for x, n in histogram.items() if n}
-    lengths, out = sorted(counts), []
-    total = sum(x * n for x, n in counts.items())
-    while counts and total > TAIL_BINS * capacity:
-        first = lengths[-1]
-        counts[first] -= 1
-        own = [x for x in lengths if counts[x]] if not counts[first] else lengths
-        filling = best_filling(capacity - first, own, counts)
-        counts[first] += 1
-        pattern = [first, *filling]
-        need = Counter(pattern)
-        times = min(counts[x] // k for x, k in need.items())
-        spare = (total - TAIL_BINS * capacity) // sum(pattern) + 1
-        times = max(1, min(times, spare))
-        for x, k in need.items():
-            counts[x] -= k * times
+class Sums:
+    """By each of some rising lengths, the sums that it and shorter ones can make, as bits of a number."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.mask, self.lengths, self.bits = capacity, (1 << capacity + 1) - 1, [], [1]
+
+    def of(self, lengths: list[int]) -> list[int]:
+        """bits[i]: sums of the first i lengths. What didn't change since the last call is kept."""
+        same = 0
+        for x, y in zip(lengths, self.lengths, strict=False):
+            if x != y:
+                break
+            same += 1
+        del self.bits[same + 1 :]
+        for x in lengths[same:]:
+            r, step = self.bits[-1], x
+            while step <= self.capacity:
+                r, step = r | (r << step) & self.mask, 2 * step
+            self.bits.append(r)
+        self.lengths = list(lengths)
+        return self.bits
+
+
+def fillings(room: int, lengths: list[int], counts: dict[int, int], waste: int, sums: list[int], budget: list[float]):
+    """Undominated fillings of ``room`` that leave at most ``waste``, fullest first, then those of larger pieces.
+
+    ``lengths`` are the keys of ``counts``, rising; ``sums`` is what ``Sums`` gives for them. A filling that could hold
+    another piece is left out; so is one whose pieces fit into those of a filling that came before.
+    """
+    top, kept = bisect.bisect_right(lengths, room), []
+    for total in range(room, max(-1, room - waste - 1), -1):
+        if not sums[top] >> total & 1:
+            continue
+        stack = [(total, top - 1, ())]
+        while stack and budget[0] > 0:
+            rest, i, taken = stack.pop()
+            budget[0] -= STEP
+            if not rest:
+                used = Counter(taken)
+                if not any(counts[x] > used[x] for x in lengths[: bisect.bisect_right(lengths, room - total)]) and not any(dominated(taken, k) for k in kept):
+                    kept.append(taken)
+                    yield taken
+                continue
+            i = min(i, bisect.bisect_right(lengths, rest) - 1)
+            if i < 0 or not sums[i + 1] >> rest & 1:
+                continue
+            x = lengths[i]
+            if sums[i] >> rest & 1:
+                stack.append((rest, i - 1, taken))
+            for k in range(1, min(counts[x], rest // x) + 1):
+                if sums[i] >> rest - k * x & 1:
+                    stack.append((rest - k * x, i - 1, taken + (x,) * k))
+
+
+def complete(histogram: dict[int, int], capacity: int, target: int, budget: list[float]) -> list[tuple[tuple[int, ...], int]] | None:
+    """Patterns of at most ``target`` sequences, if the search finds some before ``budget`` nodes are used up."""
+    counts, sums = dict(histogram), Sums(capacity)
+    lengths = sorted(counts)
+    waste = target * capacity - sum(x * n for x, n in counts.items())
+    frames: list[list] = []  # choices left, pattern, times, waste of a sequence
+
+    def move(pattern: tuple[int, ...], by: int) -> None:
+        for x in pattern:
+            counts[x] = counts.get(x, 0) + by
             if not counts[x]:
                 del counts[x]
-                lengths.remove(x)
-        total -= sum(pattern) * times
-        out.append((pattern, times))
-    if counts:
-        tail = Counter(tuple(b) for b in complete_tail([x for x, n in counts.items() for _ in range(n)], capacity))
-        out += [(list(b), n) for b, n in tail.items()]
-    return out
+                lengths.pop(bisect.bisect_left(lengths, x))
+            elif counts[x] == by and by > 0:
+                bisect.insort(lengths, x)
+
+    while counts:
+        if budget[0] <= 0 or waste < 0:
+            return None
+        first = lengths[-1]
+        own = dict(counts)
+        own[first] -= 1
+        known = lengths if own[first] else lengths[:-1]
+        frames.append([fillings(capacity - first, list(known), own, min(waste, capacity), list(sums.of(known)), budget), None, 0, 0, first])
+        while frames:
+            frame = frames[-1]
+            if frame[1] is not None:  # the choice made before has failed
+                move(frame[1], frame[2])
+                waste += frame[2] * frame[3]
+            budget[0] -= 1
+            chosen = next(frame[0], None) if budget[0] > 0 else None
+            if chosen is None:
+                if budget[0] <= 0:
+                    return None
+                frames.pop()
+                continue
+            pattern = (frame[4], *chosen)
+            lost = capacity - sum(pattern)
+            times = min(counts[x] // k for x, k in Counter(pattern).items())
+            if lost:
+                times = min(times, waste // lost)
+            frame[1:4] = pattern, times, lost
+            move(pattern, -times)
+            waste -= times * lost
+            break
+        if not frames:
+            return None
+    return [(frame[1], frame[2]) for frame in frames]
+
+
+def patterns(histogram: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[tuple[list[int], int]]:
+    """Lengths that share a sequence, and how many sequences hold them.
+
+    First a solution that wastes no more than the lower bound allows is sought, then ever better ones than the last.
+    """
+    counts = {x: n for x, n in histogram.items() if n}
+    best = best_fit(counts, capacity)
+    least, size = lower_bound(counts, capacity), lambda plan: sum(n for _, n in plan)
+    every = float("inf") if nodes is None else nodes
+    if size(best) > least and (found := complete(counts, capacity, least, [every / 2])):
+        best = found
+    budget = [every / 2]
+    while size(best) > least and (found := complete(counts, capacity, size(best) - 1, budget)):
+        best = found
+    return [(list(p), n) for p, n in best]
 
 
 def runs(plan: list[tuple[list[int], int]]) -> np.ndarray:
@@ -352,16 +404,18 @@ def _parts(d: np.ndarray):
         a = b
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", numbered: bool = False) -> DataFrame:
     """Cut each document's ids into pieces of at most ``capacity``.
 
     A document is its tokens' ids and then ``end_id``; a null or empty text is ``end_id`` alone.
 
     :param tokenizer: path of a BPE vocabulary file with ``</w>`` word ends; the public 49k one by default.
     :param with_ids: add the ids as ``ids array<int>``.
-    :returns: ``id_col``, piece int, start long, length long, ids_crc32 long.
+    :param numbered: add ``part`` and ``nth long``, the piece's number among those of its length in its part (see ``pack``).
+    :returns: ``id_col``, piece int, start long, length long, ids_crc32 long. Rows that repeat are cut each, a null id stays
+        null, other columns are ignored. A text of any length is tokenised whole, in parts that end at white space.
     """
-    fields = [(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    fields = [(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids + [("part", pa.int64()), ("nth", pa.int64())] * numbered
     schema = pa.schema(fields)
 
     def run(batches):
@@ -369,38 +423,59 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         from tokenizers import Tokenizer
 
         known = BulkIds(Tokenizer.from_file(tokenizer or public_tokenizers.path("word_bpe_49k.json")))
+        part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             docs_, rows = batch.column(0).to_pylist(), []
             for doc, ids in zip(docs_, known.encode(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     own = ids[a : a + capacity]
-                    rows.append((doc, k, a, len(own), zlib.crc32(own), *([own.astype(np.int32)] * with_ids)))
+                    rows.append((doc, k, a, len(own), zlib.crc32(own), *([own.astype(np.int32)] * with_ids), *((part, seen[len(own)]) if numbered else ())))
+                    seen[len(own)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    sql = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    sql = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", part long, nth long" * numbered
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).mapInArrow(steady(run), sql)
 
 
-def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with part and nth, by task."""
+    names = pieces.columns
+
+    def run(batches):
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            nth = []
+            for x in batch.column("length").to_pylist():
+                nth.append(seen[x])
+                seen[x] += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(nth), pa.int64()), pa.array(nth, pa.int64())], names=[*names, "part", "nth"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return pieces.mapInArrow(run, f"{fields}, part long, nth long")
+
+
+def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048) -> DataFrame:
     """Give each piece its sequence and its offset there.
 
-    ``pieces`` has ``id_col``, piece and length (1 to ``capacity``), and is read more than once: write it before.
-    Rows that repeat are packed each. Adds sequence_id long and offset long; offsets are gapless from 0.
+    ``pieces`` has length (1 to ``capacity``) and is read more than once: write it before. Rows that repeat are packed
+    each. Adds sequence_id long and offset long; offsets are gapless from 0. Columns ``part`` and ``nth``, if there, tell
+    pieces of a length apart, by number from 0 in each part; else they are made by task. They are left out of the result.
     """
     spark = pieces.sparkSession
-    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    if "nth" not in pieces.columns:
+        pieces = scratch.write(_numbered(pieces), "numbered")
+    names = [c for c in pieces.columns if c not in ("part", "nth")]
+    sizes = pieces.groupBy("part", "length").count()
+    histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("count")).collect()}
     if not histogram:
-        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return pieces.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     table = runs(patterns(histogram, capacity))
     shared = spark.sparkContext.broadcast(((table[:, 0] << 44) | table[:, 1], table[:, 1:]))
-    shards = max(1, sum(histogram.values()) // SHARD)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(id_col, "piece"), F.lit(shards)))
-    sizes = dealt.groupBy("length", "shard").count()
-    ahead = sizes.select("length", "shard", (F.sum("count").over(Window.partitionBy("length").orderBy("shard")) - F.col("count")).alias("ahead"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "shard").orderBy(id_col, "piece")).cast("long") - 1)
-    ranked = ranked.join(ahead, ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("ahead")).select(*pieces.columns, "rank")
-    last = len(pieces.columns)
+    # a piece's rank is its number in its part after those of the parts before: nothing is sorted
+    ahead = sizes.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("ahead"))
+    ranked = pieces.join(ahead, ["part", "length"]).select(*names, (F.col("nth") + F.col("ahead")).alias("rank"))
+    last = len(names)
 
     def place(batches):
         keys, to = shared.value
@@ -410,12 +485,17 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048, id_col: str
             sequence, offset = to[at, 1] + rank - to[at, 0], to[at, 2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:last], "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names).schema)
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise, cut and pack whole documents; one row per piece. An empty table gives no rows."""
+    """Tokenise, cut and pack whole documents: one row per piece, with ``id_col``, piece, start, length, ids_crc32, sequence_id and offset.
+
+    A null or empty text is one piece, ``end_id``. Rows that repeat are packed each; a null id stays null; texts of any
+    length are cut whole; among pieces of a length it doesn't matter which goes where. Other columns are ignored. An empty
+    table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.write(token_pieces(docs, tokenizer, capacity, end_id, False, id_col, text_col), "pieces")
-    return pack(pieces, scratch, capacity, id_col)
+    pieces = scratch.write(token_pieces(docs, tokenizer, capacity, end_id, False, id_col, text_col, numbered=True), "pieces")
+    return pack(pieces, scratch, capacity)
