@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
-P(grade > j) = sigmoid(score - threshold j): one weight vector, shared by all thresholds, over hashed words, word
-beginnings, token endings and a few shapes of the text, with thresholds kept in order. A document's score gives its
+P(grade > j) = sigmoid(score - threshold j): one weight vector, shared by all thresholds, over hashed words, beginnings of
+longer words, token endings and shares of unusual tokens, with thresholds kept in order. A document's score gives its
 expected grade and the probability of the upper grades, by which documents are selected.
 
 The model is fitted in numpy on a bounded sample of labelled rows; all rows of the table are scored.
@@ -9,31 +9,47 @@ The model is fitted in numpy on a bounded sample of labelled rows; all rows of t
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from deltaforge.llm.hashing import CODES, NON_SPACE, RAW_CODES, mix, pieces, powers, steady, text_buffer
+from deltaforge.llm.hashing import ALNUM, CODES, NON_SPACE, RAW_CODES, mix, pieces, powers, steady, text_buffer
 from deltaforge.llm.work import settle
 
 BUCKETS = 1 << 18
 #: Labelled rows that the fit uses at most.
 SAMPLE = 8_000
 #: A feature of fewer fitted rows has no weight.
-MIN_ROWS = 20
+MIN_ROWS = 8
 EPOCHS = 30
 RATE = 0.1
 DECAY = 1e-3
+#: Weights shrink by so much of a rate a step, and stay 0 where that is more than the step: most features say nothing.
+SHRINK = 4e-4
 SEED = 7
+#: Weight of a rating of a rare grade, at most.
+HEAVIEST = 1
 #: Share of the sample that isn't fitted but sets the bar, and share of its best grade that the bar lets pass.
 HELD_OUT = 0.3
-KEEP_SHARE = 0.992
+KEEP_SHARE = 0.995
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of tokens of texts that lie side by side: (feature columns by token, first tokens, shapes by text)."""
+#: Bytes of the beginnings of words that are features of longer words.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Steps of shares; a share has the features of all steps that it reaches.
+STEPS = np.array([0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8])
+#: Tokens from which shares of tokens say something.
+FEW = 10
+
+
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of texts that lie side by side: hashes, by text the first, (feature, token) pairs as two rows, and marks by token.
+
+    Marks: equal to the token before, ending in two marks, without letters or digits, in capitals.
+    """
     base = int(offs[0])
     d = data[base : int(offs[-1])]
     n = len(d)
@@ -53,45 +69,64 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     def part(t, a, b, kind):
         return (mix((t[b] - t[a]) * inv[a] + np.uint64(kind * 0x9E3779B9)) % np.uint64(BUCKETS)).astype(np.int64)
 
-    letters = ((d >= 97) & (d <= 122)) | ((d >= 65) & (d <= 90)) | (d >= 128)
-    whole = part(total, s, e, 1)
-    columns = np.stack([whole, part(total, s, np.minimum(s + 5, e), 2), part(total, s, np.minimum(s + 4, e), 3), part(raw, np.maximum(e - 2, s), e, 4)]) if len(s) else np.zeros((4, 0), np.int64)
+    h = mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64))
+    every = np.arange(len(s))
+    found = [(part(total, s, e, 1), every), (part(raw, np.maximum(e - 2, s), e, 4), every)]
+    for k in BEGINNINGS:
+        longer = np.flatnonzero(e - s > k)
+        found.append((part(total, s[longer], s[longer] + k, 10 + k), longer))
     upper = np.concatenate(([0], np.cumsum((d >= 65) & (d <= 90))))
-    letter = np.concatenate(([0], np.cumsum(letters)))
-    return columns, np.searchsorted(s, starts), np.stack([upper[starts[1:]] - upper[starts[:-1]], letter[starts[1:]] - letter[starts[:-1]], np.diff(starts)], axis=1)
+    letter = np.concatenate(([0], np.cumsum(ALNUM[d])))
+    place = np.searchsorted(s, starts)
+    again = np.zeros(len(s), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[place[:-1][place[:-1] < len(s)]] = False
+    size = e - s
+    marks = np.stack([again, (size > 1) & (letter[e] - letter[np.maximum(e - 2, s)] == 0), letter[e] == letter[s], (size > 1) & (upper[e] - upper[s] > 1) & (upper[e] - upper[s] == letter[e] - letter[s])])
+    return h, place, np.stack([np.concatenate(c) for c in zip(*found, strict=True)]), marks
 
 
-def _shape(upper: int, letters: int, size: int, distinct: int, tokens: int) -> list[int]:
-    """Features of the text as a whole, in steps."""
-    steps = (int(10 * upper / max(letters, 1)), int(10 * letters / max(size, 1)), int(10 * distinct / max(tokens, 1)) if tokens > 20 else 11)
-    return [int(mix(np.array([100 + 16 * k + v], np.uint64))[0] % np.uint64(BUCKETS)) for k, v in enumerate(steps)]
+def _shares(n: int, most: int, distinct: int, marks: np.ndarray) -> np.ndarray:
+    """Features of the text as a whole: shares of its tokens, in steps. A text of few tokens has none."""
+    if n < FEW:
+        return np.array([int(mix(np.array([99], np.uint64))[0] % np.uint64(BUCKETS))])
+    shares = np.array([most, distinct, *marks]) / n
+    kind, step = np.nonzero(shares[:, None] >= STEPS[None, :])
+    return (mix((100 + 16 * kind + step).astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-#: Bytes of text that are taken at once; each needs about a hundred bytes meanwhile.
-PIECE = 1 << 18
+#: Bytes of text that are taken at once; each needs about two hundred bytes meanwhile.
+PIECE = 1 << 17
+#: Bytes from which a text is taken in parts, and bytes of a part.
+LONG, PART = 1 << 20, 1 << 19
 
 
 def features(column: pa.Array):
-    """By row its distinct features. Whole texts; a null or empty text has only its shape."""
+    """By row its distinct features. Whole texts; a null or empty text has one feature, that of few tokens."""
     data, offs = text_buffer(column)
     for lo, hi in pieces(offs, PIECE):
-        if hi - lo == 1 and offs[hi] - offs[lo] > 1 << 22:  # a very long text in parts of a few megabytes
-            found, shape, first = [], np.zeros(3, np.int64), int(offs[lo])
+        if hi - lo == 1 and offs[hi] - offs[lo] > LONG:
+            found, counts, marks, first = [], Counter(), 0, int(offs[lo])
             while first < offs[hi]:
-                end = min(first + (1 << 21), int(offs[hi]))
+                end = min(first + PART, int(offs[hi]))
                 while end < offs[hi] and NON_SPACE[data[end]]:
                     end += 1
-                c, _, sh = _tokens(data, np.array([first, end]))
-                found.append((np.unique(c), np.unique(c[0]), c.shape[1]))
-                shape, first = shape + sh[0], end
-            distinct = len(np.unique(np.concatenate([f[1] for f in found])))
-            yield np.union1d(np.concatenate([f[0] for f in found]), _shape(*shape.tolist(), distinct, sum(f[2] for f in found)))
+                h, _, pairs, own = _tokens(data, np.array([first, end]))
+                found.append(np.unique(pairs[0]))
+                words, n = np.unique(h, return_counts=True)
+                counts.update(dict(zip(words.tolist(), n.tolist(), strict=True)))
+                marks, first = marks + own.sum(axis=1), end
+            yield np.union1d(np.unique(np.concatenate(found)), _shares(counts.total(), max(counts.values(), default=0), len(counts), marks))
             continue
-        columns, first, shapes = _tokens(data, offs[lo : hi + 1])
+        h, first, pairs, marks = _tokens(data, offs[lo : hi + 1])
+        text = np.searchsorted(first, pairs[1], "right") - 1
+        by_text = np.unique(text * BUCKETS + pairs[0])
+        ends = np.searchsorted(by_text, np.arange(hi - lo + 1) * BUCKETS)
+        total = np.concatenate((np.zeros((len(marks), 1), np.int64), np.cumsum(marks, axis=1)), axis=1)
         for k in range(hi - lo):
-            own = columns[:, first[k] : first[k + 1]]
-            distinct = len(np.unique(own[0]))
-            yield np.union1d(own, _shape(*shapes[k].tolist(), distinct, own.shape[1]))
+            a, b = first[k], first[k + 1]
+            n = np.unique(h[a:b], return_counts=True)[1]
+            yield np.union1d(by_text[ends[k] : ends[k + 1]] % BUCKETS, _shares(int(b - a), int(n.max(initial=0)), len(n), total[:, b] - total[:, a]))
 
 
 @dataclass
@@ -120,7 +155,7 @@ def scale(n: int) -> float:
 
 
 def fit_and_set_bar(rows: list[np.ndarray], grades: np.ndarray, levels: int) -> Ordinal:
-    """Fit on most of the sample; the rest sets the bar so that ``KEEP_SHARE`` of its best grade pass, and at most at 0.5."""
+    """Fit on most of the sample; the rest sets the bar: the highest, up to 0.5, that ``KEEP_SHARE`` of its best grade pass."""
     held = np.random.default_rng(SEED).random(len(rows)) < HELD_OUT
     model = fit([r for r, h in zip(rows, held, strict=True) if not h], grades[~held], levels)
     good = model.tail(model.scores([rows[k] for k in np.flatnonzero(held & (grades == levels - 1))]))[:, -1]
@@ -129,10 +164,10 @@ def fit_and_set_bar(rows: list[np.ndarray], grades: np.ndarray, levels: int) ->
     return model
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = SEED) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, shrink: float = SHRINK, seed: int = SEED) -> Ordinal:
     """Maximise the cumulative-link likelihood by AdaGrad over small batches, in an order fixed by ``seed``.
 
-    Grades weigh alike however many rows they have.
+    Grades weigh alike however many rows they have, but for rare ones, whose rows weigh ``HEAVIEST`` at most.
     """
     seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=BUCKETS) >= min(MIN_ROWS, max(2, len(rows) // 100))
     rows = [r[seen[r]] for r in rows]
@@ -142,7 +177,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = E
     if not rows:
         return Ordinal(w, theta)
     share = np.bincount(grades, minlength=levels) / len(grades)
-    weigh = np.minimum(1 / np.maximum(share[grades] * levels, 1e-9), 5)
+    weigh = np.minimum(1 / np.maximum(share[grades] * levels, 1e-9), HEAVIEST)
     rng = np.random.default_rng(seed)
     above = (grades[:, None] > np.arange(levels - 1)[None, :]).astype(np.float64)
     for _ in range(epochs):
@@ -161,7 +196,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = E
             at, back = np.unique(flat, return_inverse=True)
             step = np.bincount(back, weights=grad) / len(batch) - decay * w[at]
             g2[at] += step * step
-            w[at] += rate * step / np.sqrt(g2[at])
+            pace = rate / np.sqrt(g2[at])
+            moved = w[at] + pace * step
+            w[at] = np.sign(moved) * np.maximum(0, np.abs(moved) - pace * shrink)
             down = -error.mean(axis=0)
             t2 += down * down
             theta = np.maximum.accumulate(theta + rate * down / np.sqrt(t2))
@@ -190,7 +227,9 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE
             for k, f in enumerate(features(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(2).slice(k, 1), pa.array([f.astype(np.int32).tobytes()], pa.binary())], names=["id", "grade", "f"])
 
-    rows = docs.select(id_col, text_col).join(few, id_col).select(F.col(id_col).alias("id"), text_col, "grade").mapInArrow(run, f"id {kind}, grade int, f binary")
+    # of documents that repeat an id, one is fitted: the text of least hash
+    first = docs.select(id_col, text_col).join(few, id_col).groupBy(id_col, "grade").agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col))
+    rows = first.select(F.col(id_col).alias("id"), text_col, "grade").mapInArrow(run, f"id {kind}, grade int, f binary")
     found = sorted(((r.id, r.grade, np.frombuffer(r.f, np.int32)) for r in rows.toLocalIterator()), key=lambda r: (r[0], len(r[2]), r[2].tobytes()))
     return fit_and_set_bar([r[2] for r in found], np.array([r[1] for r in found], np.int64), levels)
 
@@ -220,6 +259,12 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, least: float | None = None, sample: int = SAMPLE) -> DataFrame:
-    """Documents whose probability of the highest of three grades is at least ``least``, by default the model's bar, with their scores."""
+    """Documents whose probability of the highest of three grades is at least ``least``, by default the model's bar, with their scores.
+
+    The scale is toxic < of low quality < good: weights learned for the first step, away from insults, and for the second,
+    away from noise, add up in one score, and on rated documents that aren't fitted the three grades lie in that order.
+    Rows that repeat are judged each, alike; a row without id or text is judged as well, a null text as an empty one; very
+    long texts are judged whole; equal scores are treated alike. An empty table gives no rows; without ratings all pass.
+    """
     model = train(docs, grades_of(labels), 3, sample)
     return score_documents(docs, model).where(F.col("tail_probability") >= (model.bar if least is None else least))
