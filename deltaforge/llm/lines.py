@@ -22,16 +22,16 @@ BROADCAST_LINES = 200_000
 def common_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Hashes of the lines that at least ``min_sites`` distinct sites hold, with the first document and place of each.
 
-    Rows (h long, doc, place int). A null site is a site of its own; empty lines and null ids don't count.
+    Rows (h long, doc, place int, n long), n the places that hold the line. A null site is a site of its own; empty lines and null ids don't count.
     """
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), _key(F.col(site_col)).alias("site"), F.posexplode(F.split(text_col, "\n")).alias("place", "line")).where("line <> ''").withColumn("h", F.xxhash64("line")).drop("line")
     sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
     lo, hi = min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)
-    guess = sketched.where(F.col("n") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch")).where(F.col("sites") >= int(lo)).select("h", "first", "sites")
+    guess = sketched.where(F.col("n") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch")).where(F.col("sites") >= int(lo)).select("h", "first", "sites", "n")
     guess = Scratch(docs.sparkSession, "lines").write(guess, "guess")
     sure, near = guess.where(F.col("sites") > hi), guess.where(F.col("sites") <= hi)
     exact = lines.join(near.select("h"), "h", "left_semi").groupBy("h", "site").count().groupBy("h").count().where(F.col("count") >= min_sites)
-    return sure.select("h", "first.*").unionByName(near.join(exact, "h", "left_semi").select("h", "first.*"))
+    return sure.select("h", "first.*", "n").unionByName(near.join(exact, "h", "left_semi").select("h", "first.*", "n"))
 
 
 def _key(c):
@@ -50,8 +50,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", te
     docs = docs.select(*names)
     found = Scratch(spark, "lines").write(common_lines(docs, min_sites, id_col, text_col, site_col), "common")
     if (n := found.count()) > broadcast_lines:
-        return _joined(docs, found, id_col, text_col)
-    table = spark.sparkContext.broadcast({h: (doc, place) for h, doc, place in found.collect()} if n else {})
+        return _joined(docs, found, broadcast_lines, id_col, text_col)
+    table = spark.sparkContext.broadcast({r.h: (r.doc, r.place) for r in found.collect()} if n else {})
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -78,11 +78,18 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", te
     return docs.mapInArrow(run, f"{fields}, n_lines long, n_removed long")
 
 
-def _joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same without a broadcast: common places are found by a join and brought back to their rows by id and text hash."""
+def _joined(docs: DataFrame, found: DataFrame, broadcast_lines: int, id_col: str, text_col: str) -> DataFrame:
+    """The same with only the most frequent lines in a broadcast; the places of the others are found by a join.
+
+    So a line that a third of all rows hold isn't joined on. Places come back to their rows by id and text hash.
+    """
+    cut = found.orderBy(F.desc("n")).limit(broadcast_lines).agg(F.min("n")).first()[0]
+    hot = found.where(F.col("n") > (cut if cut is not None else 1 << 62)).drop("n")  # fewer than ``broadcast_lines``
+    cold = found.join(F.broadcast(hot.select("h")), "h", "left_anti").drop("n")
     keyed = docs.withColumn("_k", F.struct(_key(F.col(id_col)).alias("a"), F.xxhash64(text_col).alias("b"), F.xxhash64(F.lit(1), text_col).alias("c")))
     places = keyed.select("_k", F.col(id_col).alias("_d"), F.posexplode(F.split(text_col, "\n")).alias("_p", "_l")).where("_l <> ''").select("_k", "_d", "_p", F.xxhash64("_l").alias("h"))
-    gone = places.join(found, "h").where(~F.coalesce((F.col("_d") == F.col("doc")) & (F.col("_p") == F.col("place")), F.lit(False))).groupBy("_k").agg(F.collect_set("_p").alias("_gone"))
+    met = places.join(F.broadcast(hot), "h").unionByName(places.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cold, "h"))
+    gone = met.where(~F.coalesce((F.col("_d") == F.col("doc")) & (F.col("_p") == F.col("place")), F.lit(False))).groupBy("_k").agg(F.collect_set("_p").alias("_gone"))
     lines = F.coalesce(F.split(text_col, "\n"), F.array().cast("array<string>"))
     back = keyed.join(gone, "_k", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("_gone", k)), "\n")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
-import tempfile
 import time
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaforge.session import reachable
-
+from deltaforge.session import reachable, shared_dir
 
 #: Rows and bytes of the batches that go to Python workers, where the session has Spark's defaults: rows are whole texts.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
@@ -24,24 +25,48 @@ def settle(spark: SparkSession) -> None:
             spark.conf.set(key, own)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="deltaforge-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Folders of scratch tables that are still there.
+_roots: set[str] = set()
+
+
+def roots() -> set[str]:
+    """Folders of scratch tables that are still there."""
+    return set(_roots)
+
+
+def clean(folders: set[str] | None = None) -> None:
+    """Delete scratch folders, by default all of them: what results that aren't saved yet read from is lost.
+
+    Runs by itself when Python ends.
+    """
+    if (gateway := SparkContext._gateway) is None:
+        return
+    conf = gateway.jvm.org.apache.hadoop.conf.Configuration() if SparkContext._active_spark_context is None else SparkContext._active_spark_context._jsc.hadoopConfiguration()
+    for root in _roots & (_roots if folders is None else folders):
+        where = gateway.jvm.org.apache.hadoop.fs.Path(root)
+        where.getFileSystem(conf).delete(where, True)
+        _roots.discard(root)
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        clean()
+
+
+atexit.register(_at_exit)
 
 
 class Scratch:
-    """Tables written under one fresh folder. A written table cuts lineage: a lost executor costs no recomputation."""
+    """Tables written under one fresh folder. A written table cuts lineage: a lost executor costs no recomputation.
+
+    The folder goes when Python ends, or by ``clean``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         settle(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _roots.add(self.root)
         self.n = 0
 
     def path(self, name: str) -> str:

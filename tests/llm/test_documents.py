@@ -285,6 +285,40 @@ def test_large_histograms_pack_near_the_bound():
     assert used == hist
 
 
+def long_text(n, seed=7):
+    """A text of megabytes: prose, lines without a space, marks."""
+    rng = np.random.default_rng(seed)
+    made = [f"word{x}" if x % 50 else "it's 1.5 % — ÇA" for x in rng.integers(0, 3000, n)]
+    return " ".join(made[: n // 2]) + "\n" + "x" * 300_000 + "\n" + " ".join(made[n // 2 :])
+
+
+def test_packing_of_a_very_long_text(spark):
+    """Cut in parts for the lookup of words, the ids are those of the whole text."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain = long_text(300_000).replace("it's 1.5 % — ÇA", "some 1.5 % ÇA").replace("x" * 300_000, "x" * 20_000)
+    rows = [(1, plain), (2, long_text(5_000).replace("x" * 300_000, "y")), (3, "short")]
+    found = packed_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = set()
+    for i, text in rows:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        want |= {(i, k, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+    assert len(plain) > 2_000_000 and {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in found} == want
+    pack_checks(found, None, 2048)
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    text = long_text(400_000)
+    words_ = ALNUM.findall(text.translate(LOWER))
+    bench = [("end", " ".join(words_[-12:])), ("middle", " ".join(words_[200_000:200_030])), ("none", " ".join(words_[100:110][::-1]))]
+    found = decontaminate(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found) == plain_hits([(1, text), (2, "short")], bench, 10)
+
+
 def plain_lines(rows, least):
     sites, first = defaultdict(set), {}
     for i, t, _, source, *_ in rows:
@@ -302,7 +336,7 @@ def plain_lines(rows, least):
     return Counter(out)
 
 
-@pytest.mark.parametrize("broadcast_lines", [200_000, 0])
+@pytest.mark.parametrize("broadcast_lines", [200_000, 3, 0])
 @pytest.mark.parametrize("least", [2, 5])
 def test_lines(docs, least, broadcast_lines):
     found = dedup_lines(docs, least, broadcast_lines=broadcast_lines)

@@ -332,6 +332,70 @@ def test_language_model_of_messy_rows(spark):
     assert lm.pseudo_likelihood(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_language_model_of_a_very_long_text(spark):
+    """A text of megabytes counts word for word: at rate 0 its score is the sum of its words' shares."""
+    rng = random.Random(3)
+    text = sentence(rng, 700_000)
+    rows = [(1, text), (2, "ba ko ti")]
+    n = Counter(w for _, t in rows for w in t.split())
+    found = {r.doc_id: (r.n_tokens, r.log_likelihood) for r in lm.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string"), rate=0.0).collect()}
+    want = sum(math.log(n[w] / n.total()) for w in text.split())
+    assert len(text) > 2 << 20 and found[1][0] == 700_000 and abs(found[1][1] - want) < 1e-4 * abs(want)
+
+
+def test_scratch_folders_are_deleted(spark):
+    from deltaforge.llm import work
+
+    before = work.roots()
+    scratch = Scratch(spark, "kept")
+    scratch.write(spark.range(3), "t")
+    assert os.path.isdir(scratch.root.removeprefix("file://")) and work.roots() - before == {scratch.root}
+    work.clean({scratch.root})
+    assert not os.path.exists(scratch.root.removeprefix("file://")) and work.roots() == before
+
+
+def messy_corpus(spark, tmp_path):
+    """Tables for the pipeline with nulls, empty texts, repeated ids and rows; a folder."""
+    rows = [(i, t, lang, source, n) for i, t, lang, source, n, *_ in documents()] + [(500, None, None, None, None), (500, "a line", "en", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (None, 1, 0), (4, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, documents()[2][1]), (None, "x"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_stages_on_messy_rows(spark, tmp_path):
+    """Nulls in all columns, empty texts, repeated ids and rows: every stage keeps what it has no reason to drop."""
+    import corpus_pipeline as p
+
+    d = messy_corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    all_ = Counter((r.doc_id, r.text) for r in docs.collect())
+    found = {name: stage(spark, docs, d) for name, stage in p.STAGES}
+    assert p.quality(spark, docs, d).columns == list(p.COLUMNS)
+    near, lines_, bench = (Counter((r.doc_id, r.text) for r in found[n].collect()) for n in ("n-gram jaccard join", "line dedup", "benchmark decontamination"))
+    assert not near - all_ and {k: v for k, v in all_.items() if k[0] is None} == {k: v for k, v in near.items() if k[0] is None}
+    assert all(near[k] == v for k, v in all_.items() if not (k[1] or "").split())
+    assert sum(lines_.values()) == sum(all_.values()) and Counter(i for i, _ in lines_.elements()) == Counter(i for i, _ in all_.elements())
+    hit = {i for (i, t), n in all_.items() if t and documents()[2][1] in t}
+    assert set(all_) - set(bench) == {(i, t) for i, t in all_ if i in hit and i is not None}
+    pieces = found["best-fit packing"].collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(i for i, _ in all_.elements())
+
+
+@pytest.mark.parametrize("extra", ["", ", n_shingles long, component_id long, text_hash long, h long, items string, part long, sequence_id long"])
+def test_pipeline_stages_on_no_rows_and_clashing_columns(spark, tmp_path, extra):
+    import corpus_pipeline as p
+
+    d = messy_corpus(spark, tmp_path)
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(1, "some text here", "en", "s", 3), (2, "other text", "en", "t", 3)]):
+        docs = spark.createDataFrame([(*r, *([None] * extra.count(" long")), *(["x"] if extra else [])) for r in rows], fields + extra.replace("items string, ", "").replace(", h long", ", h long") + (", items string" if extra else ""))
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, d)
+            assert out.count() == len(rows) or name == "quality classifier", name
+            assert name == "best-fit packing" or out.columns == list(p.COLUMNS)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from deltaforge.llm.jaccard import jaccard_components
