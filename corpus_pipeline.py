@@ -13,30 +13,32 @@ from deltaforge.llm.jaccard import jaccard_components
 from deltaforge.llm.lines import dedup_lines
 from deltaforge.llm.packing import packed_documents
 from deltaforge.llm.quality import select_documents
-from deltaforge.llm.work import Scratch
+from deltaforge.llm.work import Scratch, clean, roots
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Distinct sources from which a line is boilerplate.
 MIN_SITES = 10
-#: Words of a benchmark item below which meeting it in a document says nothing.
-MIN_ITEM_WORDS = 8
-#: Ids up to which the table of dropped documents is broadcast; 16 MB. Beyond it is joined by shuffle.
+#: Dropped documents up to which their table is broadcast; 16 MB. Beyond it is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` but for those in ``ids(doc_id)``."""
-    gone = Scratch(spark, name).write(ids.where("doc_id is not null").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*COLUMNS)
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier selects; those likely toxic or of low quality go."""
+    """Documents that the ordinal classifier selects; those likely toxic or of low quality go.
+
+    Rows that repeat are judged each, alike; a null text as an empty one. Without labels all stay.
+    """
     return select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources hold stay in their first document only; no document goes, and n_chars follows the text."""
+    """Lines that many sources hold stay in their first document only; no document goes, and n_chars follows the text.
+
+    A null text stays null; a row without id keeps no such line; rows that repeat the first document keep it as well.
+    """
     found = dedup_lines(docs, min_sites=MIN_SITES)
     return found.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
@@ -53,11 +55,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     heads = scratch.write(heads.select("class_id", F.col("text_hash").alias("head")), "heads")
     gone, repeated = found.where("doc_id <> component_id"), heads.count()
     if repeated:
-        own = found.where("doc_id = component_id").join(F.broadcast(heads) if repeated <= BROADCAST_IDS else heads, "class_id")
+        own = found.where("doc_id = component_id").join(_few(heads), "class_id")
         gone = gone.select("doc_id", "text_hash").unionByName(own.where("text_hash <> head").select("doc_id", "text_hash"))
     gone = scratch.write(gone.select("doc_id", "text_hash").distinct(), "gone")
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
-    kept = marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["doc_id", "text_hash"], "left_anti")
+    kept = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash")).join(_few(gone), ["doc_id", "text_hash"], "left_anti")
     if repeated:
         again = scratch.write(own.where("text_hash = head").select("doc_id", "text_hash").distinct(), "again")
         kept = kept.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(kept.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
@@ -65,13 +66,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a 10-word window, or a whole shorter item of some words, of the benchmark."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, min_item_words=MIN_ITEM_WORDS)
-    return _without(spark, docs, found.where("n_hit > 0").select("doc_id"), "benchmark")
+    """Documents without a 10-word window of the benchmark, or a whole item of fewer words.
+
+    Rows that repeat an id are judged each; a row without id goes like others, one without words stays.
+    """
+    marked = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    found = decontaminate(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, id_col="row")
+    gone = Scratch(spark, "benchmark").write(found.where("n_hit > 0").select("row").distinct(), "gone")
+    return marked.join(_few(gone), "row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' token pieces and where they stand in sequences of at most 2048."""
+    """The kept documents' token pieces and where they stand in sequences of at most 2048; a null or empty text is one piece."""
     return packed_documents(docs, capacity=2048, end_id=0)
 
 
@@ -81,9 +87,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each on what the one before kept."""
+    """All stages over ``documents``, each on what the one before kept. Scratch tables of a stage go when it is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        before = roots()
+        made = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clean(roots() - before)
+        if k:
+            scratch.drop(docs)
+        docs = made
     return docs
