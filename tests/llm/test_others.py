@@ -428,7 +428,7 @@ def test_pipeline(spark, tmp_path):
     assert ids[1] == ids[0] and sum("One line" in t for t in kept[1].values()) <= 1
     before = spark.createDataFrame(list(kept[1].items()), "doc_id long, text string")
     assert ids[2] == {r.doc_id for r in jaccard_components(before, 5, 80).collect() if r.component_id == r.doc_id} and not ids[2] & set(range(2000, 2010))
-    hits = {i for (i, _, n, _), _ in plain_hits(list(kept[2].items()), [("1", item)], 10, 8).items() if n}
+    hits = {i for (i, _, n, _), _ in plain_hits(list(kept[2].items()), [("1", item), ("2", "a b")], 10).items() if n}
     assert hits == {3000} and ids[3] == ids[2] - hits
     pieces = docs.collect()
     assert {r.doc_id for r in pieces} == ids[3]
