@@ -133,6 +133,23 @@ def test_jaccard_of_an_id_with_two_texts(spark, parts):
     assert {(i, c) for i, _, c in found} == {(7, 7), (7, 5), (9, 7), (10, 7), (8, 5), (5, 5)}
 
 
+@pytest.mark.parametrize("many", [10_000, 0])
+def test_components(spark, monkeypatch, many):
+    from deltaforge.llm import graph
+
+    monkeypatch.setattr(graph, "MANY", many)
+    rng = np.random.default_rng(2)
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [tuple(x) for x in rng.integers(200, 260, (40, 2)).tolist()] + [(9, 9)]
+    up = {i: i for x in links for i in x if x[0] != x[1]}
+    for _ in up:
+        for a, b in links:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    found = graph.components(spark.createDataFrame(links, "a long, b long"), packing.Scratch(spark, "c")).collect()
+    assert {r.id: r.comp for r in found} == up and len(found) == len(up)
+    assert graph.components(spark.createDataFrame([], "a long, b long"), packing.Scratch(spark, "c")).collect() == []
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_components(empty).collect() == []
 
