@@ -11,6 +11,9 @@ the smallest hash, which equal windows choose alike. The passes are
    one document only are done.
 3. the whole window: what is left is grouped by its ``length`` bytes. Equal groups are exactly the repeated windows.
 
+A key that very many halves have, as those at the edges of a common line do, isn't joined or dealt by: each task finds
+its repeats among its own windows first, and only the windows of the smallest document go on to meet those of other tasks.
+
 Digits are compared by 64-bit hashes, windows by 128 bits in all. Shuffle files of a pass are let go before the next pass
 writes its own, so disk holds one pass at a time.
 """
@@ -93,6 +96,8 @@ def anchors(column: pa.Array, length: int):
 
 #: Anchors that a task sorts at once, and that a partition of the first pass should get.
 SORTED = 1_000_000
+#: Windows of hot keys that a task holds against each other at once.
+SETTLED = 1 << 17
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -254,11 +259,21 @@ def _second_digits(length: int):
 FILTER_BITS = 1 << 24
 
 
-def _shared(halves: DataFrame, scratch: Scratch) -> DataFrame:
-    """Halves whose key stands in more than one document; a fixed-size filter spares most others the shuffle."""
+#: Halves from which a key is hot, and the most hot keys there are: their table, 8 bytes each, goes to all tasks. Any other
+#: key has fewer halves than either HOT or one in HOT_KEYS of all.
+HOT = 5000
+HOT_KEYS = 10_000
+
+
+def _shared(halves: DataFrame, scratch: Scratch, parts: int) -> tuple[DataFrame, DataFrame | None]:
+    """Halves whose key stands in more than one document: those of most keys, joined, and those of hot keys as they lie.
+
+    A fixed-size filter spares most others the shuffle.
+    """
     spark = halves.sparkSession
-    found = halves.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
+    found = halves.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     found = scratch.write(found, "keys")
+    hot = scratch.write(found.where(F.col("n") > HOT).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key"), "hot")
     place = f"pmod(key, {FILTER_BITS})"
     words = found.selectExpr(f"shiftright({place}, 6) AS k", f"shiftleft(1L, cast({place} % 64 AS int)) AS bit").groupBy("k").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
@@ -272,13 +287,33 @@ def _shared(halves: DataFrame, scratch: Scratch) -> DataFrame:
             at = batch.column("key").to_numpy() & (FILTER_BITS - 1)
             yield batch.filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1))
 
-    return halves.mapInArrow(run, halves.schema).join(found, "key", "left_semi")
-
-
-def _windows(length: int):
-    schema = pa.schema([("key", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
-
-    def run(batches):
+    keys, often = found.select("key"), None
+    if not hot.isEmpty():
+        often = halves.join(F.broadcast(hot), "key", "left_semi")
+        halves, keys = (df.join(F.broadcast(hot), "key", "left_anti") for df in (halves, keys))
+    kept = halves.mapInArrow(run, halves.schema)
+    if parts > partitions(spark):
+        kept, keys = kept.repartition(parts, "key"), keys.repartition(parts, "key")
+    return kept.join(keys, "key", "left_semi"), often
+
+
+def _settled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Windows that a smaller document of the same batch has are marked as repeats, and dealt evenly from here on."""
+    key, window, doc, at = (batch.column(c).to_numpy() for c in ("key", "window", "doc", "at"))
+    order = np.lexsort((doc, window, key))
+    k, w, d = key[order], window[order], doc[order]
+    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))))
+    sure = np.empty(len(d), bool)
+    sure[order] = d > np.repeat(d[first], np.diff(np.append(first, len(d))))
+    columns = pa.array(np.where(sure, doc, key)), pa.array(np.where(sure, at, window)), *batch.columns[2:5], pa.array(sure)
+    return pa.RecordBatch.from_arrays(list(columns), schema=batch.schema)
+
+
+def _windows(length: int, settled: int = 0):
+    """The windows of halves; with ``settled``, that many or more at once are held against each other."""
+    schema = pa.schema([("key", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("sure", pa.bool_())])
+
+    def cut(batches):
         for batch in batches:
             data, offs = text_buffer(batch.column("z"))
             for lo, hi in pieces(offs, PIECE):
@@ -292,9 +327,23 @@ def _windows(length: int):
                 h = mix((total[s + length] - total[s]) * inv[s])
                 take = pa.array(lo + row)
                 at = batch.column("at").take(take).to_numpy() + step
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(take), pa.array(h.view(np.int64)), batch.column("doc").take(take), batch.column("row").take(take), pa.array(at)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(take), pa.array(h.view(np.int64)), batch.column("doc").take(take), batch.column("row").take(take), pa.array(at), pa.array(np.zeros(len(at), bool))], schema=schema)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in cut(batches):
+            if not settled:
+                yield batch
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= settled:
+                yield _settled(pa.concat_batches(held))
+                held, n = [], 0
+        if n:
+            yield _settled(pa.concat_batches(held))
 
-    return run, "key long, window long, doc long, row long, at long"
+    return run, "key long, window long, doc long, row long, at long, sure boolean"
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,14 +374,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     del flags, flagged
     scratch.free()
 
-    shared = _shared(halves.where("key is not null"), scratch).select("key", "doc", "row", "at", "z")
+    shared, often = _shared(halves.where("key is not null").select("key", "doc", "row", "at", "z"), scratch, parts)
     run, fields = _windows(length)
-    windows = shared.mapInArrow(steady(run), fields).withColumn("first", F.min("doc").over(Window.partitionBy("key", "window"))).where("doc > first")
+    windows = shared.mapInArrow(steady(run), fields)
+    if often is not None:
+        run, fields = _windows(length, SETTLED)
+        windows = windows.unionByName(often.mapInArrow(steady(run), fields))
+    if parts > partitions(spark):
+        windows = windows.repartition(parts, "sure", "key", "window")
+    windows = windows.withColumn("first", F.min("doc").over(Window.partitionBy("sure", "key", "window"))).where("sure OR doc > first")
     repeats = windows.groupBy("doc", "row").agg(F.collect_set("at").alias("at")).mapInArrow(_joined(length), "doc long, row long, spans array<struct<start:bigint,size:bigint>>")
     sure = halves.where("key is null").groupBy("doc", "row").agg(F.collect_list(F.struct(F.col("at").alias("start"), "size")).alias("spans"))
     both = scratch.write(sure.unionByName(repeats), "spans")
     scratch.drop(halves)
-    del halves, shared, windows, repeats, sure
+    del halves, shared, often, windows, repeats, sure
     scratch.free()
     return both.groupBy(F.col("doc").alias("id"), "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

@@ -1,6 +1,7 @@
 """Operators on documents against plain versions, on messy rows and on none."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from deltaforge.llm.jaccard import Rarity, boundary, jaccard_components
 from deltaforge.llm.lines import dedup_lines
 from deltaforge.llm.packing import packed_documents
 from deltaforge.llm.repeats import drop_repeats
-from tests.llm.data import SCHEMA, documents, table
+from tests.llm.data import SCHEMA, documents, sentence, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -434,12 +435,24 @@ def plain_repeats(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("length", "piece"), [(50, 1 << 19), (24, 1 << 19), (50, 600)])
-def test_repeats(docs, monkeypatch, length, piece):
+@pytest.mark.parametrize(("length", "piece", "hot"), [(50, 1 << 19, 5000), (24, 1 << 19, 5000), (50, 600, 5000), (50, 1 << 19, 2), (24, 1 << 19, 0)])
+def test_repeats(docs, monkeypatch, length, piece, hot):
     monkeypatch.setattr("deltaforge.llm.repeats.PIECE", piece)
+    monkeypatch.setattr("deltaforge.llm.repeats.HOT", hot)
     found = drop_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
     assert Counter(tuple(r) for r in found) == plain_repeats(documents(), length)
 
 
+def test_repeats_of_hot_lines(spark, monkeypatch):
+    """A line in most documents, between texts of their own: its edges are keys of all of them."""
+    monkeypatch.setattr("deltaforge.llm.repeats.HOT", 20)
+    rng = random.Random(4)
+    line = "All rights are reserved by the owners of this site, see the notice."
+    rows = [(k, sentence(rng, 12) + (f" {line} " if k % 3 else " ") + sentence(rng, 12)) for k in range(150)]
+    found = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
+    assert Counter(tuple(r) for r in found) == plain_repeats(rows, 50)
+    assert sum(r.n_removed > 0 for r in found) == 99
+
+
 def test_repeats_of_nothing(empty):
     assert drop_repeats(empty).collect() == []
