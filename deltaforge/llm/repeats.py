@@ -69,7 +69,7 @@ class Anchors:
         end[:-1] &= (pos[1:] != pos[:-1]) | ~ok[1:]
         self.lo, self.hi = np.flatnonzero(new), np.flatnonzero(end)
         self.at = pos[self.lo]
-        self.hash = h[self.at]
+        self.hash = mix(h[self.at])  # again, as the smallest hashes of their windows aren't spread evenly
         self.doc = np.searchsorted(starts, self.lo, "right") - 1
 
     def strings(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
