@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from deltaforge.llm.hashing import RAW_CODES, mix, pieces, powers, steady, text_buffer
@@ -131,7 +132,7 @@ def _first_digits(length: int, bits: int):
         later = np.flatnonzero(d > least)
         for k in range(0, len(later), 1 << 16):
             own = later[k : k + (1 << 16)]
-            rows.append(((turn + k * 40_503) % (1 << bits), 1, len(own), _packed(a[own] ^ r[own], d[own])))
+            rows.append(((turn + (k >> 16) * 40_503) % (1 << bits), 1, len(own), _packed(a[own] ^ r[own], d[own])))
         a, r, d = a[new], r[new], d[new]
         part = a >> (63 - bits)  # hashes are kept to 63 bits
         ends = np.searchsorted(part, np.arange((1 << bits) + 1))
@@ -139,7 +140,7 @@ def _first_digits(length: int, bits: int):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        held, n, turn = [], 0, 1
+        held, n, turn = [], 0, TaskContext.get().partitionId()  # tasks begin at parts of their own
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, _, _, x in anchors(batch.column(1), length):
@@ -148,7 +149,7 @@ def _first_digits(length: int, bits: int):
                     n += len(x.at)
                 if n >= SORTED:
                     yield flush(held, turn)
-                    held, n, turn = [], 0, turn * 7919 % 1_000_003
+                    held, n, turn = [], 0, turn + 7919
         if n:
             yield flush(held, turn)
 
