@@ -1,21 +1,24 @@
 """Removal of repeated byte strings by a depth-limited, sampled suffix sort.
 
 Suffixes are ordered only as deep as the threshold, by passes of most significant digits. As only strings of ``length``
-bytes matter, it is enough to sort the suffixes at anchors: in every window of ``length`` bytes the 16-byte string with
+bytes matter, it is enough to sort the suffixes at anchors: in every window of ``length`` bytes the 24-byte string with
 the smallest hash, which equal windows choose alike. The passes are
 
-1. digit of 16 bytes: anchors that stand in one document only are done. Where all windows of an anchor, taken as one
+1. digit of 24 bytes: anchors that stand in one document only are done. Where all windows of an anchor, taken as one
    string, also stand around it in a smaller document, all of them are repeats; only one document goes on for each
-   distinct surrounding.
-2. digit of 33 bytes: every window holds the 17 bytes before or the 17 after its anchor; halves whose 33 bytes stand in
+   distinct surrounding. Few strings of 24 bytes come twice by chance (of 16 bytes many do in gigabytes of text, and the
+   share grows with the text).
+2. digit of 37 bytes: every window holds the 13 bytes before or the 13 after its anchor; halves whose 37 bytes stand in
    one document only are done.
-3. the whole window: what is left is grouped by its ``length`` bytes. Equal groups are exactly the repeated windows.
+3. the whole window: halves are dealt by their 37 bytes, and the windows of each are held against each other by their
+   ``length`` bytes where they lie. Equal groups are exactly the repeated windows.
 
-A key that very many halves have, as those at the edges of a common line do, isn't joined or dealt by: each task finds
-its repeats among its own windows first, and only the windows of the smallest document go on to meet those of other tasks.
+A key that very many halves have, as those at the edges of a common line do, isn't dealt by: each task finds its repeats
+among its own windows first, and only the windows of the smallest document go on to meet those of other tasks.
 
-Digits are compared by 64-bit hashes, windows by 128 bits in all. Shuffle files of a pass are let go before the next pass
-writes its own, so disk holds one pass at a time.
+Surroundings and digits are compared by 64-bit hashes, windows by 128 bits in all. Shuffle files of a pass are let go
+before the next pass writes its own, so disk holds one pass at a time; of large tables the second pass takes a part of
+the documents at a time.
 """
 
 from __future__ import annotations
@@ -28,18 +31,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 from deltaforge.llm.hashing import RAW_CODES, mix, pieces, powers, steady, text_buffer
 from deltaforge.llm.work import Scratch, partitions
 
-DIGIT = 16
+DIGIT = 24
 _BITS = np.uint64(20)
 _LOW = np.uint64((1 << 20) - 1)
 PIECE = 1 << 18
 
 
+def _digit(length: int) -> int:
+    """Bytes of an anchor; those of short windows leave a choice of places."""
+    return min(DIGIT, 2 * length // 3)
+
+
 class Anchors:
     """The anchors of texts that lie side by side: of each the first and last start of the windows that choose it."""
 
     def __init__(self, d: np.ndarray, starts: np.ndarray, length: int):
         n = len(d)
         self.length, self.doc = length, np.zeros(0, np.int64)
+        digit = _digit(length)
         pw, self.inv = powers(n)
         self.total = np.empty(n + 1, np.uint64)
         self.total[0] = 0
@@ -48,9 +57,9 @@ class Anchors:
         self.hash = np.zeros(0, np.uint64)
         if n < length:
             return
-        m = n - DIGIT + 1
-        h = mix((self.total[DIGIT:] - self.total[:-DIGIT]) * self.inv[:m])
-        x, span, width = (h & ~_LOW) | np.arange(m, dtype=np.uint64), 1, length - DIGIT + 1
+        m = n - digit + 1
+        h = mix((self.total[digit:] - self.total[:-digit]) * self.inv[:m])
+        x, span, width = (h & ~_LOW) | np.arange(m, dtype=np.uint64), 1, length - digit + 1
         while 2 * span <= width:
             x = np.minimum(x[:-span], x[span:])
             span *= 2
@@ -97,16 +106,26 @@ def anchors(column: pa.Array, length: int):
 
 #: Anchors that a task sorts at once, and that a partition of the first pass should get.
 SORTED = 1_000_000
-#: Windows of hot keys that a task holds against each other at once.
+#: Windows that a task holds against each other at once: of hot keys, and of others at least.
 SETTLED = 1 << 17
+#: Bytes of text that the second pass takes at a time, in ROUNDS turns at most.
+ROUND = 1 << 31
+ROUNDS = 8
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    return b"".join(c.tobytes() for c in columns)
+def _packed(a: np.ndarray, r: np.ndarray, d: np.ndarray) -> tuple[int, int, bytes]:
+    """Anchors, surroundings and documents: (smallest document, bytes of a document's distance from it, all three)."""
+    least = d.min()
+    far = d.view(np.uint64) - least.view(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or far.max() < np.uint64(1 << (8 * w)))
+    return int(least), width, a.astype(np.uint32).tobytes() + r.tobytes() + far.astype(f"u{width}").tobytes()
 
 
-def _unpacked(blob: bytes, n: int, columns: int) -> list[np.ndarray]:
-    return [np.frombuffer(blob, np.int64, n, 8 * n * k) for k in range(columns)]
+def _unpacked(blob: bytes, n: int, anchored: bool, least: int, width: int) -> list[np.ndarray]:
+    at = 4 * n if anchored else 0
+    d = np.frombuffer(blob, f"u{width}", n, at + 8 * n).astype(np.uint64) + np.int64(least).view(np.uint64)
+    columns = [np.frombuffer(blob, np.int64, n, at), d.view(np.int64)]
+    return [np.frombuffer(blob, np.uint32, n).astype(np.int64), *columns] if anchored else columns
 
 
 def _pairs(a: np.ndarray, r: np.ndarray, d: np.ndarray):
@@ -119,12 +138,13 @@ def _pairs(a: np.ndarray, r: np.ndarray, d: np.ndarray):
 
 
 def _first_digits(length: int, bits: int):
-    """Anchors, sorted and packed by the leading bits of their hash: (part, kind, n, blob).
+    """Anchors, sorted and packed by the leading bits of their hash: (part, kind, n, least, width, blob).
 
-    Kind 0 has anchors, surroundings and documents. Documents that share surroundings with a smaller document of the same
-    task are settled here; kind 1 passes them on, dealt evenly, so what a third of all documents hold loads no part.
+    Kind 0 has anchors (the 32 bits after those of the part: more that are equal by chance are only open for longer),
+    surroundings and documents. Documents that share surroundings with a smaller document of the same task are settled
+    here; kind 1 passes them on, dealt evenly, so what a third of all documents hold loads no part.
     """
-    schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("least", pa.int64()), ("width", pa.int32()), ("blob", pa.binary())])
 
     def flush(held, turn):
         a, r, d, new, least = _pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -132,11 +152,11 @@ def _first_digits(length: int, bits: int):
         later = np.flatnonzero(d > least)
         for k in range(0, len(later), 1 << 16):
             own = later[k : k + (1 << 16)]
-            rows.append(((turn + (k >> 16) * 40_503) % (1 << bits), 1, len(own), _packed(a[own] ^ r[own], d[own])))
+            rows.append(((turn + (k >> 16) * 40_503) % (1 << bits), 1, len(own), *_packed(a[:0], r[own], d[own])))
         a, r, d = a[new], r[new], d[new]
-        part = a >> (63 - bits)  # hashes are kept to 63 bits
-        ends = np.searchsorted(part, np.arange((1 << bits) + 1))
-        rows += [(k, 0, int(q - p), _packed(a[p:q], r[p:q], d[p:q])) for k, (p, q) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if q > p]
+        ends = np.searchsorted(a >> 32, np.arange((1 << bits) + 1))
+        a &= (1 << 32) - 1
+        rows += [(k, 0, int(q - p), *_packed(a[p:q], r[p:q], d[p:q])) for k, (p, q) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if q > p]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
@@ -145,7 +165,7 @@ def _first_digits(length: int, bits: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, _, _, x in anchors(batch.column(1), length):
                 if len(x.at):
-                    held.append((_folded(x.hash), x.around().view(np.int64), ids[lo + x.doc]))
+                    held.append(((x.hash >> np.uint64(32 - bits)).view(np.int64), x.around().view(np.int64), ids[lo + x.doc]))
                     n += len(x.at)
                 if n >= SORTED:
                     yield flush(held, turn)
@@ -153,15 +173,11 @@ def _first_digits(length: int, bits: int):
         if n:
             yield flush(held, turn)
 
-    return run, "part long, kind int, n int, blob binary"
-
-
-def _folded(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(1)).view(np.int64)
+    return run, "part long, kind int, n int, least long, width int, blob binary"
 
 
 def _flags():
-    """Of a part's anchors those that aren't done: (doc, key, kind), kind 1 repeats for sure, kind 2 open."""
+    """Surroundings of a part's anchors that aren't done: (doc, key, kind), kind 1 repeats for sure, kind 2 open."""
     schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("kind", pa.int32())])
 
     def made(doc, key, kind):
@@ -170,22 +186,22 @@ def _flags():
     def run(batches):
         held = []
         for batch in batches:
-            for kind, n, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "n", "blob")), strict=True):
+            for part, kind, n, least, width, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "n", "least", "width", "blob")), strict=True):
                 if kind:
-                    key, doc = _unpacked(blob, n, 2)
+                    key, doc = _unpacked(blob, n, False, least, width)
                     yield made(doc, key, 1)
                 else:
-                    held.append(_unpacked(blob, n, 3))
+                    a, r, d = _unpacked(blob, n, True, least, width)
+                    held.append((a | (part << 32), r, d))
         if held:
             a, r, d, new, least = _pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
             del held
             anchor = np.concatenate(([True], a[1:] != a[:-1]))
             group, first = np.cumsum(anchor) - 1, np.flatnonzero(anchor)
             differ = (np.maximum.reduceat(least, first) > np.minimum.reduceat(least, first))[group]
-            key = a ^ r
             sure = d > least
-            yield made(d[sure], key[sure], 1)
-            yield made(d[new & differ], key[new & differ], 2)
+            yield made(d[sure], r[sure], 1)
+            yield made(d[new & differ], r[new & differ], 2)
 
     return run, "doc long, key long, kind int"
 
@@ -214,11 +230,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def _second_digits(length: int):
     """From texts with their flagged surroundings: spans that are repeats for sure, and halves of open windows.
 
-    Rows (doc, row, key, at, size, z): key null for a span of ``size`` bytes from ``at``, else the 33 bytes of a half and
+    Rows (doc, row, key, at, size, z): key null for a span of ``size`` bytes from ``at``, else the middle of a half and
     in z the bytes of its windows.
     """
     schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("z", pa.binary())])
-    half = (length - DIGIT) // 2
+    digit = _digit(length)
+    half = (length - digit) // 2
 
     def told(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Keys made unlike in unlike rows."""
@@ -234,7 +251,7 @@ def _second_digits(length: int):
             for lo, base, d, starts, x in anchors(batch.column("text"), length):
                 if not len(x.at):
                     continue
-                n, key, hit = len(starts) - 1, told(_folded(x.hash) ^ x.around().view(np.int64), x.doc), {}
+                n, key, hit = len(starts) - 1, told(x.around().view(np.int64), x.doc), {}
                 for kind, (flat, ends) in flags.items():
                     own = np.repeat(np.arange(n), np.diff(ends[lo : lo + n + 1]))
                     hit[kind] = np.isin(key, told(flat[ends[lo] : ends[lo + n]], own))
@@ -250,7 +267,7 @@ def _second_digits(length: int):
                     ok = s <= e
                     if ok.any():
                         s, e, u, k = s[ok], e[ok], at[ok], doc[ok]
-                        sign = x.strings(cut[ok], u + DIGIT) ^ np.uint64(1) if left else x.strings(u, u + length - half)
+                        sign = x.strings(cut[ok], u + digit) ^ np.uint64(1) if left else x.strings(u, u + length - half)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo + k]), pa.array(rows[lo + k]), pa.array(sign.view(np.int64)), pa.array(s - starts[k] + base), pa.array(e - s + length), _gathered(d, s, e + length)], schema=schema)
 
     return run, "doc long, row long, key long, at long, size long, z binary"
@@ -260,21 +277,20 @@ def _second_digits(length: int):
 FILTER_BITS = 1 << 24
 
 
-#: Halves from which a key is hot, and the most hot keys there are: their table, 8 bytes each, goes to all tasks. Any other
-#: key has fewer halves than either HOT or one in HOT_KEYS of all.
-HOT = 5000
-HOT_KEYS = 10_000
+#: A key is hot if it has more than HOT halves, and more than one in HOT_KEYS of all that share keys: there are fewer hot
+#: keys than that, whose table, 8 bytes each, goes to all tasks.
+HOT = 200
+HOT_KEYS = 1000
 
 
-def _shared(halves: DataFrame, scratch: Scratch, parts: int) -> tuple[DataFrame, DataFrame | None]:
-    """Halves whose key stands in more than one document: those of most keys, joined, and those of hot keys as they lie.
-
-    A fixed-size filter spares most others the shuffle.
-    """
+def _shared(halves: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Halves whose key stands in more than one document, and some others that pass a filter of fixed size: those of most
+    keys, and those of hot keys."""
     spark = halves.sparkSession
     found = halves.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     found = scratch.write(found, "keys")
-    hot = scratch.write(found.where(F.col("n") > HOT).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key"), "hot")
+    most = max(HOT, (found.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = scratch.write(found.where(F.col("n") > most).select("key"), "hot")
     place = f"pmod(key, {FILTER_BITS})"
     words = found.selectExpr(f"shiftright({place}, 6) AS k", f"shiftleft(1L, cast({place} % 64 AS int)) AS bit").groupBy("k").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
@@ -288,14 +304,11 @@ def _shared(halves: DataFrame, scratch: Scratch, parts: int) -> tuple[DataFrame,
             at = batch.column("key").to_numpy() & (FILTER_BITS - 1)
             yield batch.filter(pa.array((known[at >> 6] >> (at & 63)) & 1 == 1))
 
-    keys, often = found.select("key"), None
+    often = None
     if not hot.isEmpty():
         often = halves.join(F.broadcast(hot), "key", "left_semi")
-        halves, keys = (df.join(F.broadcast(hot), "key", "left_anti") for df in (halves, keys))
-    kept = halves.mapInArrow(run, halves.schema)
-    if parts > partitions(spark):
-        kept, keys = kept.repartition(parts, "key"), keys.repartition(parts, "key")
-    return kept.join(keys, "key", "left_semi"), often
+        halves = halves.join(F.broadcast(hot), "key", "left_anti")
+    return halves.mapInArrow(run, halves.schema), often
 
 
 def _settled(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -310,41 +323,81 @@ def _settled(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), schema=batch.schema)
 
 
-def _windows(length: int, settled: int = 0):
-    """The windows of halves; with ``settled``, that many or more at once are held against each other."""
+def _windows(batch: pa.RecordBatch, length: int):
+    """The windows of halves, by run of rows: (row of the batch, hash, place)."""
+    data, offs = text_buffer(batch.column("z"))
+    place = batch.column("at").to_numpy()
+    for lo, hi in pieces(offs, PIECE):
+        d, starts = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        pw, inv = powers(len(d))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(RAW_CODES[d] * pw[: len(d)])))
+        n = np.diff(starts) - length + 1
+        row = np.repeat(np.arange(hi - lo), n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        s = starts[row] + step
+        yield lo + row, mix((total[s + length] - total[s]) * inv[s]).view(np.int64), place[lo + row] + step
+
+
+def _hot_windows(length: int):
+    """The windows of halves of hot keys; as many at once as are settled together are held against each other."""
     schema = pa.schema([("key", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("sure", pa.bool_())])
 
-    def cut(batches):
+    def run(batches):
+        held, n = [], 0
         for batch in batches:
-            data, offs = text_buffer(batch.column("z"))
-            for lo, hi in pieces(offs, PIECE):
-                d, starts = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                pw, inv = powers(len(d))
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(RAW_CODES[d] * pw[: len(d)])))
-                n = np.diff(starts) - length + 1
-                row = np.repeat(np.arange(hi - lo), n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                s = starts[row] + step
-                h = mix((total[s + length] - total[s]) * inv[s])
-                take = pa.array(lo + row)
-                at = batch.column("at").take(take).to_numpy() + step
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(take), pa.array(h.view(np.int64)), batch.column("doc").take(take), batch.column("row").take(take), pa.array(at), pa.array(np.zeros(len(at), bool))], schema=schema)
+            for row, h, at in _windows(batch, length):
+                take = pa.array(row)
+                held.append(pa.RecordBatch.from_arrays([batch.column("key").take(take), pa.array(h), batch.column("doc").take(take), batch.column("row").take(take), pa.array(at), pa.array(np.zeros(len(at), bool))], schema=schema))
+                n += len(at)
+                if n >= SETTLED:
+                    yield _settled(pa.concat_batches(held))
+                    held, n = [], 0
+        if n:
+            yield _settled(pa.concat_batches(held))
+
+    return run, "key long, window long, doc long, row long, at long, sure boolean"
+
+
+def _matched(length: int):
+    """From halves sorted by key: the repeated windows of each, as spans."""
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("size", pa.int64())])
+
+    def spans(batch):
+        key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+        row, w, at = (np.concatenate(c) for c in zip(*_windows(batch, length), strict=True))
+        k, d = key[row], doc[row]
+        order = np.lexsort((d, w, k))
+        k, w, d = k[order], w[order], d[order]
+        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))))
+        sure = np.empty(len(d), bool)
+        sure[order] = d > np.repeat(d[first], np.diff(np.append(first, len(d))))
+        row, at = row[sure], at[sure]  # in the order of rows and places
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + length)
+        first = np.flatnonzero(new)
+        if len(first):
+            take, size = pa.array(row[first]), at[np.append(first[1:] - 1, len(at) - 1)] + length - at[first]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(take), batch.column("row").take(take), pa.array(at[first]), pa.array(size)], schema=schema)
 
     def run(batches):
         held, n = [], 0
-        for batch in cut(batches):
-            if not settled:
-                yield batch
+        for batch in batches:
+            if not batch.num_rows:
                 continue
             held.append(batch)
-            n += batch.num_rows
-            if n >= settled:
-                yield _settled(pa.concat_batches(held))
-                held, n = [], 0
-        if n:
-            yield _settled(pa.concat_batches(held))
+            n += batch.column("z").nbytes  # a window has a byte of its own at least
+            if n < SETTLED * 8 or held[0].column("key")[0] == batch.column("key")[-1]:
+                continue
+            whole = pa.concat_batches(held)
+            key = whole.column("key").to_numpy()
+            end = int(np.flatnonzero(key != key[-1])[-1]) + 1  # the last key may go on
+            yield from spans(whole.slice(0, end))
+            held = [whole.slice(end)]
+            n = held[0].column("z").nbytes
+        if held:
+            yield from spans(pa.concat_batches(held))
 
-    return run, "key long, window long, doc long, row long, at long, sure boolean"
+    return run, "doc long, row long, at long, size long"
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,7 +411,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     scratch = Scratch(spark, "repeats")
     read = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(partitions(spark), size // 18 // SORTED)
+    parts = max(partitions(spark), 2 * size // (length - _digit(length) + 2) // SORTED)
     bits = min(20, int(4 * parts - 1).bit_length())
     run, fields = _first_digits(length, bits)
     dealt = read.mapInArrow(steady(run), fields).repartition(parts, "part")
@@ -368,45 +421,35 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     scratch.free()
 
     of = lambda k: F.collect_set(F.when(F.col("kind") == k, F.col("key")))
-    flags = flagged.groupBy(F.col("doc").alias("id")).agg(of(1).alias("sure"), of(2).alias("open"))
     run, fields = _second_digits(length)
-    halves = scratch.write(read.withColumn("row", F.xxhash64("text")).join(flags, "id").select("id", "row", "text", "sure", "open").mapInArrow(steady(run), fields), "halves")
+    rounds, halves = min(ROUNDS, 1 + size // ROUND), None
+    for k in range(rounds):
+        turn = F.expr(f"pmod(xxhash64(id), {rounds}) = {k}")
+        flags = flagged.withColumnRenamed("doc", "id").where(turn).groupBy("id").agg(of(1).alias("sure"), of(2).alias("open"))
+        texts = read.where(turn).withColumn("row", F.xxhash64("text"))
+        found = scratch.write(texts.join(flags, "id").select("id", "row", "text", "sure", "open").mapInArrow(steady(run), fields), "halves")
+        halves = found if halves is None else halves.unionAll(found)
+        del flags, texts, found
+        scratch.free()
     scratch.drop(flagged)
-    del flags, flagged
-    scratch.free()
+    del flagged
 
-    shared, often = _shared(halves.where("key is not null").select("key", "doc", "row", "at", "z"), scratch, parts)
-    run, fields = _windows(length)
-    windows = shared.mapInArrow(steady(run), fields)
+    few, often = _shared(halves.where("key is not null").select("key", "doc", "row", "at", "z"), scratch)
+    scratch.free()
+    run, fields = _matched(length)
+    spans = halves.where("key is null").select("doc", "row", "at", "size")
+    spans = spans.unionAll(few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(steady(run), fields))
     if often is not None:
-        run, fields = _windows(length, SETTLED)
-        windows = windows.unionByName(often.mapInArrow(steady(run), fields))
-    if parts > partitions(spark):
-        windows = windows.repartition(parts, "sure", "key", "window")
-    windows = windows.withColumn("first", F.min("doc").over(Window.partitionBy("sure", "key", "window"))).where("sure OR doc > first")
-    repeats = windows.groupBy("doc", "row").agg(F.collect_set("at").alias("at")).mapInArrow(_joined(length), "doc long, row long, spans array<struct<start:bigint,size:bigint>>")
-    sure = halves.where("key is null").groupBy("doc", "row").agg(F.collect_list(F.struct(F.col("at").alias("start"), "size")).alias("spans"))
-    both = scratch.write(sure.unionByName(repeats), "spans")
+        run, fields = _hot_windows(length)
+        windows = often.mapInArrow(steady(run), fields).repartition(parts, "sure", "key", "window")
+        windows = windows.withColumn("first", F.min("doc").over(Window.partitionBy("sure", "key", "window"))).where("sure OR doc > first")
+        spans = spans.unionAll(windows.select("doc", "row", "at", F.lit(length).cast("long").alias("size")))
+        del windows
+    both = scratch.write(spans, "spans")
     scratch.drop(halves)
-    del halves, shared, often, windows, repeats, sure
+    del halves, few, often, spans
     scratch.free()
-    return both.groupBy(F.col("doc").alias("id"), "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def _joined(length: int):
-    """The starts of repeated windows of a text as spans."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for v in batch.column("at"):
-                a = np.sort(v.values.to_numpy())
-                a, b = _merged(a, a + length)
-                out.append([{"start": s, "size": e - s} for s, e in zip(a.tolist(), b.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(out, kind)], names=["doc", "row", "spans"])
-
-    return run
+    return both.groupBy(F.col("doc").alias("id"), "row").agg(F.collect_list(F.struct(F.col("at").alias("start"), "size")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from deltaforge.llm.jaccard import Rarity, boundary, jaccard_components
 from deltaforge.llm.lines import dedup_lines
 from deltaforge.llm.packing import packed_documents
 from deltaforge.llm.repeats import drop_repeats
+from deltaforge.llm.work import Scratch
 from tests.llm.data import SCHEMA, documents, sentence, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -454,5 +455,55 @@ def test_repeats_of_hot_lines(spark, monkeypatch):
     assert sum(r.n_removed > 0 for r in found) == 99
 
 
+def test_repeats_in_rounds(spark, docs, monkeypatch):
+    """Documents taken in turns, keys that go on from batch to batch."""
+    monkeypatch.setattr("deltaforge.llm.repeats.ROUND", 20_000)
+    monkeypatch.setattr("deltaforge.llm.repeats.SETTLED", 1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        found = drop_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert Counter(tuple(r) for r in found) == plain_repeats(documents(), 50)
+
+
+def shuffled(spark):
+    """Bytes that stages have written to the shuffle so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_repeats_keep_disk_low(spark, monkeypatch):
+    """What only short strings have in common is not written; windows of near copies aren't shuffled each."""
+    written = {}
+
+    def write(self, df, name, own=Scratch.write):
+        out = own(self, df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr("deltaforge.llm.repeats.Scratch.write", write)
+    rng = random.Random(6)
+    rows = [(k, "".join(rng.choice("ab") for _ in range(2000))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.n_removed for r in drop_repeats(df).collect()) == 0
+    assert written["halves"] < 1500  # 21,578 with anchors of 16 bytes
+
+    rows = [(k, "".join(rng.choice("abcdefgh") for _ in range(4000))) for k in range(40)]
+    for k in range(40, 200):
+        t = list(rows[k % 40][1])
+        for j in range(rng.randrange(150), 4000, 150):
+            t[j] = "-"
+        rows.append((k, "".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = shuffled(spark)
+    found = drop_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
+    size = shuffled(spark) - before
+    assert Counter(tuple(r) for r in found) == plain_repeats(rows, 50)
+    assert size < 8_000_000  # 10,138,935 when each window was shuffled
+
+
 def test_repeats_of_nothing(empty):
     assert drop_repeats(empty).collect() == []
